@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import decontaminate, minhash, repeats, secret_scan, sharding, topk, toxicity
+from quarrymill.llm import decontaminate, minhash, pieces, repeats, secret_scan, sharding, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's best pieces, the other segmentations of its n best, and the hash of the text that the pieces write."""
+    encoded = pieces.encode(_read(spark, sf_dir, "documents"))
+    return pieces.decode(encoded, keep=("doc_id", "n_pieces", "ids", "n_best")).withColumn("decoded_sha256", F.sha2("text", 256)).drop("text")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(_read(spark, sf_dir, "documents"))
     spans = F.col("spans")
@@ -48,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_topk, op4_decontaminate, op5_sharding, op6_minhash, op8_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_secrets, op3_topk, op4_decontaminate, op5_sharding, op6_minhash, op8_repeats, op10_toxicity)}
 
 ORACLES = {
     "op3_topk": """

@@ -26,6 +26,7 @@ SAMPLE_ROWS = 6_000
 SAMPLE_WORDS = 4_000
 GRAM = 4
 THRESHOLD = 0.3
+ROUNDS = 3
 
 
 def _codes_of() -> np.ndarray:
@@ -221,20 +222,27 @@ def train(sample: list[tuple[str, int]]) -> Model | None:
     # Insults count with the characters put in between, so that these pull the machine the same way.
     insults = by_count(positive)[: SAMPLE_WORDS // 2]
     spread = [".".join(w) for w in insults[:400] if len(w) <= 12] + [w[: k] + "*" + w[k:] for w in insults[:400] for k in (1, len(w) // 2) if len(w) > 3]
-    texts = [*insults, *spread, *dict.fromkeys(chosen)]
-    y = np.array([1.0] * (len(insults) + len(spread)) + [-1.0] * (len(texts) - len(insults) - len(spread)))
-    cost = np.where(y > 0, 5.0 * (y < 0).sum() / max(1, (y > 0).sum()), 5.0)
-    landmarks = insults[: LANDMARKS // 2] + [texts[i] for i in np.flatnonzero(y < 0)[:: max(1, int((y < 0).sum()) // (LANDMARKS // 2))]][: LANDMARKS // 2]
-    among = kernel(landmarks, landmarks)
-    value, vector = np.linalg.eigh(among + 1e-6 * np.eye(len(landmarks)))
+    others = list(dict.fromkeys(chosen))
+    landmarks = insults[: LANDMARKS // 2] + others[:: max(1, len(others) // (LANDMARKS // 2))][: LANDMARKS // 2]
+    value, vector = np.linalg.eigh(kernel(landmarks, landmarks) + 1e-6 * np.eye(len(landmarks)))
     half = vector / np.sqrt(np.maximum(value, 1e-6))
-    w, bias = _svm(kernel(texts, landmarks) @ half, y, cost)
-    alpha = half @ w
-    weights = np.zeros(DIMS)
-    for which, number, weight in features(landmarks):
-        for i, n, s in zip(which, number, weight, strict=True):
-            np.add.at(weights, n, alpha[i] * s)
-    model = Model(weights, bias, np.zeros(3))
+    hard: set[str] = set()
+    for _ in range(ROUNDS):
+        texts = [*insults, *spread, *others]
+        y = np.array([1.0] * (len(insults) + len(spread)) + [-1.0] * len(others))
+        cost = np.where(y > 0, 5.0 * (y < 0).sum() / max(1, (y > 0).sum()), 5.0)
+        cost[[i for i, t in enumerate(texts) if y[i] < 0 and t in hard]] = 200.0
+        w, bias = _svm(kernel(texts, landmarks) @ half, y, cost)
+        weights, alpha = np.zeros(DIMS), half @ w
+        for which, number, weight in features(landmarks):
+            for i, n, s in zip(which, number, weight, strict=True):
+                np.add.at(weights, n, alpha[i] * s)
+        model = Model(weights, bias, np.zeros(3))
+        # The other words that come nearest to insults join the next fit.
+        margins = model.margins(rare)
+        near = [rare[i] for i in np.argsort(-margins, kind="stable")[: SAMPLE_WORDS // 4] if margins[i] > -1]
+        hard.update(near[: SAMPLE_WORDS // 16])
+        others = list(dict.fromkeys([*others, *near]))
     rows = pa.RecordBatch.from_arrays([pa.array([t for t, _ in sample], pa.string())], ["text"])
     top = top_margins(model, rows, "text", {})
     x = np.hstack([np.clip(top, -3, 3), np.ones((len(top), 1))])
