@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,10 @@ from quarrymill.llm.common import LOWER, SPACED_WORDS, bitmap, broadcast_bytes,
 from quarrymill.llm.graph import components
 
 UNIVERSE_BITS = 20
-BANDS, BAND_ROWS = 32, 4  # a pair at 0.8 shares no band with a chance of (1 - 0.8**4)**32, under 1e-7
+BANDS, BAND_ROWS = 40, 5  # a pair at 0.8 shares no band with a chance of (1 - 0.8**5)**40, about 1e-7
+SMALL_BUCKET = 16
+ASK_ROWS, HOLD_ROWS, HOLD_SHINGLES = 256, 1_024, 1_000_000
+COLUMNS = 4_096
 CHUNK = 8_192
 
 
@@ -107,13 +111,60 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     return with_b.join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def _tiled(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components of large buckets: rows (key, node, n, label, rows, shingles, main, most).
+
+    The rows outside a bucket's largest component meet all its rows in tiles of bounded size, each one product of incidence matrices.
+    No pair leaves a tile but links, of which one for each row and other component is enough.
+    """
+    asks_all = F.col("rows") - F.col("most")
+    holds_in = F.greatest(F.ceil(F.col("rows") / HOLD_ROWS), F.ceil(F.col("shingles") / HOLD_SHINGLES)).cast("int")
+    asks_in = F.greatest(F.ceil(asks_all / ASK_ROWS), F.ceil(F.col("shingles") / HOLD_SHINGLES)).cast("int")
+    cut = rows.withColumns({"holds_in": holds_in, "asks_in": asks_in})
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    texts = _texts(docs, rows.select("node").distinct())
+    known = cut.join(texts, "node").select("key", "node", "label", "main", "holds_in", "asks_in", "text")
+    holds = known.select("key", every("asks_in").alias("i"), deal("holds_in").alias("j"), F.lit(False).alias("asks"), "node", "label", "text")
+    asks = known.where("label != main").select("key", deal("asks_in").alias("i"), every("holds_in").alias("j"), F.lit(True).alias("asks"), "node", "label", "text")
+
+    def tile(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["asks", "node"], kind="stable")
+        batch = pa.RecordBatch.from_arrays([pa.array(group["text"], pa.string())], ["text"])
+        sets: list[np.ndarray] = []
+        for _, _, data, offsets in text_slices(batch, "text"):
+            sets += shingle_sets(data, offsets, size)
+        asking = group["asks"].to_numpy()
+        sizes = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), sizes)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((int(asking.sum()), int((~asking).sum())), dtype=np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [first, first + COLUMNS])
+            part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            both += part[asking] @ part[~asking].T
+        node, label = group["node"].to_numpy(), group["label"].to_numpy()
+        union = sizes[asking][:, None] + sizes[~asking][None, :] - both
+        i, j = np.nonzero((both > 0) & (100 * both >= percent * union) & (label[asking][:, None] != label[~asking][None, :]))
+        found = pd.DataFrame({"a": node[asking][i], "b": node[~asking][j], "label": label[~asking][j]})
+        return found.drop_duplicates(["a", "label"])[["a", "b"]].astype("int64")
+
+    return asks.unionByName(holds).groupBy("key", "i", "j").applyInPandas(tile, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs, linked where the Jaccard similarity of word shingles is at least percent.
 
     1. One scan gives each row its set's size, hash and bands. Rows with equal sets form a class, stood for by its smallest id.
     2. In each band bucket of several classes, all are compared with one leader: the class that meets most others over all its buckets.
        Links are confirmed on the full sets, recomputed from the texts. A bucket of n classes so gives n - 1 pairs.
-    3. What then is still unconnected within a bucket is compared pair by pair, so no link of two that share a bucket is lost.
+    3. What then is still unconnected within a bucket is compared too, pair by pair in small buckets and in tiles in large ones, so no
+       link of two that share a bucket is lost.
     Components take the smallest id. Null and empty texts and texts without words have no shingles and link with nothing; texts with fewer
     words than a shingle are one shingle, linked only with the same words. An id that stands on several different texts takes the links of all of
     them as a node, each row reporting the component of its own set's class; rows without an id take no part in links: their component is null and they are kept.
@@ -140,18 +191,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     edges = materialize(_confirmed(docs, pairs, shingle, percent))
     labels = components(edges)
 
-    # Whatever else shares a bucket, in pairs of classes that aren't connected yet.
-    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    open_rows = materialize(placed.join(apart, "key"))
-    other = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    rest = open_rows.select("key", F.col("node").alias("a"), "n", "label").join(other, "key").where((F.col("label") < F.col("label_b")) & near(F.col("n"), F.col("n_b")))
-    untried = rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti").join(pairs.toDF("b", "a"), ["a", "b"], "left_anti")
-    untried = materialize(untried)
-    if untried.limit(1).count():
-        more = materialize(_confirmed(docs, untried, shingle, percent))
-        if more.limit(1).count():
-            labels = components(edges.union(more))
+    # Whatever else shares a bucket and isn't connected yet. The leader has met all the others.
+    followers = members.join(leaders.select("key", "leader"), "key").where("node != leader").join(labels, "node", "left")
+    followers = followers.select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    per_label = followers.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    apart = per_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.max_by("label", F.struct("rows", "label")).alias("main"), F.max("rows").alias("most")).where("labels > 1")
+    open_rows = materialize(followers.join(apart, "key"))
+    small = open_rows.where(F.col("rows") <= SMALL_BUCKET)
+    other = small.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+    rest = small.select("key", F.col("node").alias("a"), "n", "label").join(other, "key").where((F.col("label") < F.col("label_b")) & near(F.col("n"), F.col("n_b")))
+    untried = materialize(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti").join(pairs.toDF("b", "a"), ["a", "b"], "left_anti"))
+    more = [_confirmed(docs, untried, shingle, percent)] if untried.limit(1).count() else []
+    large = open_rows.where(F.col("rows") > SMALL_BUCKET)
+    if large.limit(1).count():
+        more.append(_tiled(docs, large, shingle, percent))
+    for links in more:
+        edges = edges.union(links)
+    if more:
+        labels = components(edges)
 
     nodes = classes.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("label"))
     linked = rows.drop("bands").join(nodes, "set_id", "left")
