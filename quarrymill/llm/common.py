@@ -17,11 +17,17 @@ BITMAP_BITS = 1 << 25  # 4 MB, whatever the input
 SLICE_BYTES = 1 << 20
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and read it back, which cuts the lineage and survives lost executors."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; where it is unset, as in tests, a new one of our own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's shared checkpoint folder and read it back, which cuts the lineage and survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import decontaminate, minhash, pieces, repeats, secret_scan, sharding, topk, toxicity
+from quarrymill.llm import decontaminate, minhash, pieces, repeats, secret_scan, sharding, topk, toxicity, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,13 +48,17 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.digest(base), 256).alias("base_sha256"), secret_scan.digest(spans).alias("spans"))
 
 
+def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.training_rows(docs, _read(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op2_secrets, op3_topk, op4_decontaminate, op5_sharding, op6_minhash, op8_repeats, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_secrets, op3_topk, op4_decontaminate, op5_sharding, op6_minhash, op8_repeats, op9_wrappers, op10_toxicity)}
 
 ORACLES = {
     "op3_topk": """
