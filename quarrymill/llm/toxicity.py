@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import unicodedata
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ LETTERS = 27
 DIMS = LETTERS**4
 WORD_CHARS = 32
 LANDMARKS = 256
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 3_000
 SAMPLE_WORDS = 4_000
 GRAM = 4
 THRESHOLD = 0.3
@@ -69,13 +70,21 @@ def features(text: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]
         points = np.frombuffer("".join(raw[i] for i in which).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, n)
         codes = np.where(points < len(CODES), CODES[np.minimum(points, len(CODES) - 1)], 0)
         at, weight = _shape(int(n))
-        padded = np.concatenate([codes, np.zeros((len(codes), 1), dtype=np.int64)], axis=1)
-        parts = padded[:, at]
-        valid = ((parts > 0) | (at < 0)).all(axis=2)
-        number = ((parts[:, :, 0] * LETTERS + parts[:, :, 1]) * LETTERS + parts[:, :, 2]) * LETTERS + parts[:, :, 3]
-        strength = np.where(valid, weight, 0.0)
-        norm = np.sqrt((strength**2).sum(axis=1, keepdims=True))
-        out.append((which, np.where(valid, number, 0), strength / np.maximum(norm, 1e-12)))
+        codes = np.concatenate([codes, np.zeros((len(codes), 1), dtype=np.int64)], axis=1).astype(np.int32)
+        letters = (codes[:, :-1] > 0).all(axis=1)
+        for rows, plain in ((np.flatnonzero(letters), True), (np.flatnonzero(~letters), False)):
+            if not len(rows):
+                continue
+            own = codes[rows]
+            number = ((own[:, at[:, 0]] * LETTERS + own[:, at[:, 1]]) * LETTERS + own[:, at[:, 2]]) * LETTERS + own[:, at[:, 3]]
+            if plain:
+                out.append((which[rows], number, np.broadcast_to(weight / np.sqrt((weight**2).sum()), number.shape)))
+                continue
+            there = own > 0
+            there[:, -1] = True
+            strength = np.where(there[:, at[:, 0]] & there[:, at[:, 1]] & there[:, at[:, 2]] & there[:, at[:, 3]], weight, 0.0)
+            norm = np.sqrt((strength**2).sum(axis=1, keepdims=True))
+            out.append((which[rows], np.where(strength > 0, number, 0), strength / np.maximum(norm, 1e-12)))
     return out
 
 
@@ -121,7 +130,7 @@ class Model:
         out = np.full(len(text), self.bias)
         for at in range(0, len(text), 4_096):
             for which, number, weight in features(text[at : at + 4_096]):
-                out[at + which] += (self.weights[number] * weight).sum(axis=1)
+                out[at + which] += np.einsum("ij,ij->i", self.weights[number], weight)
         return out
 
     def scores(self, top: np.ndarray) -> np.ndarray:
@@ -173,10 +182,16 @@ def top_margins(model: Model, batch: pa.RecordBatch, column: str, known: dict[in
     return top
 
 
+@functools.lru_cache(maxsize=1 << 20)
 def _plain(word: str) -> str:
     return "".join(chr(96 + CODES[ord(c)]) if ord(c) < len(CODES) and CODES[ord(c)] else " " for c in word.lower()).strip()
 
 
+@functools.lru_cache(maxsize=1 << 19)
+def _grams(plain: str) -> tuple[str, ...]:
+    return tuple(g for k in range(len(plain) - GRAM + 1) if " " not in (g := plain[k : k + GRAM]))
+
+
 def train(sample: list[tuple[str, int]]) -> Model | None:
     """From (text, label) rows. Words are labelled through the texts that they stand in: a word is taken for an insult where a run of GRAM letters in it stands in far more texts of label 1 than chance has; words of texts labelled 0 are the others. None without both labels."""
     bad, good = [t for t, y in sample if y == 1], [t for t, y in sample if y == 0]
@@ -188,8 +203,7 @@ def train(sample: list[tuple[str, int]]) -> Model | None:
         for t in texts:
             grams = set()
             for w in set(t.split()):
-                p = _plain(w)
-                grams.update(g for k in range(len(p) - GRAM + 1) if " " not in (g := p[k : k + GRAM]))
+                grams.update(_grams(_plain(w)))
             for g in grams:
                 counts[g] = counts.get(g, 0) + 1
         of[label] = counts
@@ -206,7 +220,7 @@ def train(sample: list[tuple[str, int]]) -> Model | None:
     for t in bad:
         for w in set(t.lower().split()):
             p = _plain(w)
-            n = sum(telling.get(p[k : k + GRAM], 0) for k in range(len(p) - GRAM + 1))
+            n = any(g in telling for g in _grams(p))
             if n:
                 positive[p] = positive.get(p, 0) + 1
     for t in good:
