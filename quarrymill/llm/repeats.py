@@ -14,18 +14,19 @@ from pyspark.sql.window import Window
 from quarrymill.llm.common import bitmap, broadcast_bytes, in_bitmap, materialize, mix, prefix_sums, signed, span_hashes, text_slices
 
 LENGTH = 400
-GRAM = 32
+GRAM = 128
 BUCKET_BYTES = 1_500_000
 HOT_SEGMENTS = 200
 POSITION_BITS = 30
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, window counts, anchor hashes, prefix sums): the windows of length bytes within each row, in runs that share an anchor.
 
     A window's anchor is its least-hashed gram, the first of equals, so equal windows have equal anchors at equal places. Segment i
     is windows starts[i] .. starts[i] + counts[i] - 1, its bytes data[starts[i] : starts[i] + counts[i] - 1 + length].
     """
+    gram = min(GRAM, max(1, length // 3))
     sums = prefix_sums(data)
     n, width = len(data) - gram + 1, length - gram + 1
     if n < width:
@@ -70,8 +71,8 @@ def _anchor_counts(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def _shared_segments(docs: DataFrame, bits, length: int) -> DataFrame:
-    """(anchor, seg, doc_id, text_key, start, windows, content) of segments whose anchor the bitmap knows; the content comes with the first of equal ones in a slice of rows."""
+def _segments_of(docs: DataFrame, bits, length: int, contents: bool) -> DataFrame:
+    """(anchor, seg, windows, ...) of segments whose anchor the bitmap knows: with doc_id, text_key and start, or with the content of the first of equal ones in a slice of rows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, dtype=np.uint8)
@@ -82,18 +83,20 @@ def _shared_segments(docs: DataFrame, bits, length: int) -> DataFrame:
                 starts, counts, anchors = starts[chosen], counts[chosen], anchors[chosen]
                 ends = starts + counts - 1 + length
                 seg = span_hashes(sums, starts, ends)
+                if contents:
+                    _, first = np.unique(seg ^ mix(anchors), return_index=True)
+                    raw = data.tobytes()
+                    cut_out = pa.array([raw[starts[i] : ends[i]] for i in first], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(anchors[first])), pa.array(signed(seg[first])), pa.array(counts[first].astype(np.int64)), cut_out], ["anchor", "seg", "windows", "content"])
+                    continue
                 of = np.searchsorted(offsets, starts, side="right") - 1
-                _, first = np.unique(seg ^ mix(anchors), return_index=True)
-                raw, content = data.tobytes(), [None] * len(starts)
-                for i in first:
-                    content[i] = raw[starts[i] : ends[i]]
                 ids = batch.column("doc_id").slice(row, end - row).take(pa.array(of))
                 keys = _row_keys(sums, offsets)[of]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(anchors)), pa.array(signed(seg)), ids, pa.array(keys), pa.array(starts - offsets[of]), pa.array(counts.astype(np.int64)), pa.array(content, pa.binary())], ["anchor", "seg", "doc_id", "text_key", "start", "windows", "content"],
+                    [pa.array(signed(anchors)), pa.array(signed(seg)), pa.array(counts.astype(np.int64)), ids, pa.array(keys), pa.array(starts - offsets[of])], ["anchor", "seg", "windows", "doc_id", "text_key", "start"],
                 )
 
-    return docs.mapInArrow(cut, "anchor long, seg long, doc_id long, text_key long, start long, windows long, content binary")
+    return docs.mapInArrow(cut, "anchor long, seg long, windows long, " + ("content binary" if contents else "doc_id long, text_key long, start long"))
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -197,17 +200,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, text_key, begin, end): maximal runs of bytes covered by strings of length bytes that start more than once in docs (doc_id, text).
 
     Windows of length bytes are gathered in segments by anchor (see segments), and only segments whose anchor occurs again leave the
-    scan. Equal segments collapse: all their windows repeat. The distinct segments of an anchor meet in a bucket of bounded size, of
-    which a run-length index is built and matching statistics streamed. Anchors with over HOT_SEGMENTS distinct segments (the edges of
+    scan. Equal segments collapse: all their windows repeat. Bytes leave it only for anchors with segments that differ; these meet in a
+    bucket of bounded size, of which a run-length index is built and matching statistics streamed. Anchors with over HOT_SEGMENTS distinct segments (the edges of
     a very common passage) are counted by window instead, so no task holds them.
     """
     spark = docs.sparkSession
     shared = _anchor_counts(docs, length).where("n > 1")
-    found = materialize(_shared_segments(docs, broadcast_bytes(spark, bitmap(shared, "anchor")), length))
+    found = materialize(_segments_of(docs, broadcast_bytes(spark, bitmap(shared, "anchor")), length, contents=False))
     per_segment = materialize(found.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("n"), F.max("windows").alias("windows")))
     per_anchor = per_segment.groupBy("anchor").agg(F.count(F.lit(1)).alias("distinct"), F.sum(F.col("windows") + length).alias("bytes")).where(F.col("distinct") > 1)
     per_anchor = materialize(per_anchor)
-    content = found.where("content is not null").select("anchor", "seg", "windows", "content").join(per_anchor, "anchor")
+    content = _segments_of(docs, broadcast_bytes(spark, bitmap(per_anchor, "anchor")), length, contents=True).join(per_anchor, "anchor")
     warm_bytes = per_anchor.where(F.col("distinct") <= HOT_SEGMENTS).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     buckets = max(1, -(-warm_bytes // BUCKET_BYTES))
     warm = content.where(F.col("distinct") <= HOT_SEGMENTS).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
