@@ -75,21 +75,24 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def pack(sizes: list[int], shards: int) -> list[int]:
-    """The bins, at most shards, under the least capacity (found by bisection) for which best fit needs no more."""
-    if not sizes:
+    """The bins, at most shards, of sizes sorted down: under the least capacity (found by bisection) for which best fit needs no more. An item over its fair share of what is left has a bin of its own, while there is another."""
+    alone, rest = 0, sum(sizes)
+    while alone < len(sizes) - 1 and alone < shards - 1 and sizes[alone] * (shards - alone) > rest:
+        rest -= sizes[alone]
+        alone += 1
+    shared, left = sizes[alone:], shards - alone
+    if not shared:
         return []
-    low, high = max(max(sizes), -(-sum(sizes) // shards)), max(max(sizes), -(-2 * sum(sizes) // shards)) + max(sizes)
-    best = best_fit_decreasing(sizes, high)
-    while low < high:
+    low, high = max(shared[0], -(-rest // left)), shared[0] - (-2 * rest // left)
+    best = best_fit_decreasing(shared, high)
+    while high - low > max(0, high >> 13):
         middle = (low + high) // 2
-        bins = best_fit_decreasing(sizes, middle)
-        if max(bins) < shards:
+        bins = best_fit_decreasing(shared, middle)
+        if max(bins) < left:
             best, high = bins, middle
         else:
             low = middle + 1
-        if high - low <= max(1, high >> 12):
-            break
-    return best
+    return [*range(alone), *(alone + b for b in best)]
 
 
 def _mapping(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
