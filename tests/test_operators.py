@@ -148,3 +148,18 @@ def test_stream_windows(spark, tmp_path):
         out.writeStream.outputMode("complete").format("memory").queryName(f"win_{name}").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.n for r in spark.sql("SELECT n FROM win_w").collect()) == [60, 60, 60]
     assert spark.sql("SELECT sum(reports) FROM win_p").first()[0] == 180
+
+
+def test_contracts(spark):
+    from quarrymill.functions import contracts as K
+
+    c = one(spark, K.chunk_config, "not json")
+    assert (c["size"], c["overlap"], c["parent_size"], c["strategy"], c["protects"]) == (512, 0, 2000, "hybrid", ["code", "table"])
+    assert one(spark, K.mime_of, "md") == "text/markdown"
+    assert one(spark, K.payload_text, '{"a": "1", "b": "x"}') == "a: 1\nb: x"
+    assert one(spark, K.task_handle, "abc")["ids"] == ["abc"] and one(spark, K.task_handle, '{"kind":') is None
+    assert one(spark, K.task_handle, '{"kind":"parts","pages":3,"parts":[{"id":"p","from":1,"to":2}]}')["ids"] == ["p"]
+    for shape in ('{"indices":[1,2],"values":[0.5,1.0]}', '[{"index":1,"value":0.5},{"index":2,"value":1.0}]', '{"1":0.5,"2":1.0,"3":0}'):
+        assert one(spark, K.sparse_field, shape) == {1: 0.5, 2: 1.0}
+    assert one(spark, K.is_private, "192.168.1.1") and not one(spark, K.is_private, "192.169.1.1")
+    assert one(spark, K.is_retryable, "503") and not one(spark, K.is_retryable, "404")
