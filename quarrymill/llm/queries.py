@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import decontaminate, minhash, pieces, repeats, secret_scan, sharding, topk, toxicity, wrappers
+from quarrymill.llm import decontaminate, minhash, pieces, quality, repeats, secret_scan, sharding, topk, toxicity, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=2)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(_read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -58,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op2_secrets, op3_topk, op4_decontaminate, op5_sharding, op6_minhash, op8_repeats, op9_wrappers, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_secrets, op3_topk, op4_decontaminate, op5_sharding, op6_minhash, op7_quality, op8_repeats, op9_wrappers, op10_toxicity)}
 
 ORACLES = {
     "op3_topk": """

@@ -13,7 +13,7 @@ from compare import rows_of, rows_of_sql
 from conftest import SF
 from pyspark.sql import functions as F
 
-from quarrymill.llm import decontaminate, minhash, pieces, queries, repeats, secret_scan, sharding, topk, toxicity, wrappers
+from quarrymill.llm import decontaminate, minhash, pieces, quality, queries, repeats, secret_scan, sharding, topk, toxicity, wrappers
 
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "é😀" * 3_000), (6, "same text here " * 40), (7, "same text here " * 40), (7, "same text here " * 40), (None, "no id but a text of some words"), (8, None)]
 BENCH = "item_id long, text string"
@@ -275,6 +275,45 @@ def test_near_duplicate_edges(spark, docs_of):
     assert minhash.near_duplicates(docs_of([])).count() == 0
 
 
+# 7 quality
+
+
+def test_resampling_is_brute_force(spark, docs_of):
+    r = random.Random(11)
+    rows = [(i, " ".join(r.choice(["good", "fine", "text", "junk***", "x%%%"][i % 2 : 3 + 2 * (i % 2)]) for _ in range(r.randint(1, 30)))) for i in range(80)] + EDGES
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs = docs_of(rows, extra=True)
+    got = quality.resample(docs, labels, share=0.5).collect()
+    assert Counter(x.doc_id for x in got) == Counter(i for i, _ in rows)
+
+    def grams(text):
+        data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+        return Counter(quality._grams(data, np.array([0, len(data)]))[0].tolist())
+
+    target, raw = Counter(), Counter()
+    for i, t in rows:
+        raw += grams(t)
+        if i is not None and i < 60 and i % 2 == 0 and zlib.crc32(str(i).encode()) % 4 != 2:
+            target += grams(t)
+    nt, nr = sum(target.values()) + quality.BUCKETS, sum(raw.values()) + quality.BUCKETS
+    weight = {}
+    for i, t in rows:
+        g = grams(t)
+        n = sum(g.values())
+        weight[i, n] = sum(c * (np.log((target[b] + 1) / nt) - np.log((raw[b] + 1) / nr)) for b, c in g.items()) / max(n, 1) * quality.LENGTH
+    assert all(abs(x.log_weight - weight[x.doc_id, x.n_grams]) < 1e-6 for x in got)
+    ranked = sorted(got, key=lambda x: (-x.key, -1 if x.doc_id is None else x.doc_id))
+    assert [x.kept for x in ranked] == [k < len(rows) // 2 for k in range(len(rows))]
+    assert quality.resample(docs_of([]), labels).count() == 0
+
+
+def test_quality_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    held = queries.op7_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2), "doc_id").collect()
+    good, bad = ([x.log_weight for x in held if x.quality == q] for q in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.95 and np.mean([x.kept for x in held if x.quality == 1]) > 0.8
+
+
 # 8 repeats
 
 
