@@ -27,8 +27,9 @@ def hash_embed_sparse(docs: DataFrame, id_col: str, text_col: str, dim: int = SP
 def hash_embed_dense(docs: DataFrame, id_col: str, text_col: str, dim: int = 1024) -> DataFrame:
     """V1, dense: (id, idx, w), 1 + ln(tf) by hash bucket over the vector's length; a row for each component that isn't zero."""
     parts = token_counts(docs, id_col, text_col).groupBy("id", (fnv1a(F.col("token")) % dim).alias("idx")).agg(F.sum(1 + F.log("tf")).alias("v"))
-    length = parts.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
-    return parts.join(length, "id").select("id", "idx", (F.col("v") / F.col("length")).alias("w"))
+    # A window over one vector's components, so that the tokens are counted once.
+    length = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("id")))
+    return parts.select("id", "idx", (F.col("v") / length).alias("w"))
 
 
 def ranked(scored: DataFrame, k: int | None, score: str = "score", id_col: str = "id", query: str = "query_id") -> DataFrame:
