@@ -282,7 +282,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -
 
 
 def held_out(column: str):
-    return F.crc32(F.col(column).cast("string")) % 4 == 2
+    """Whether the crc32 of the id, as text, modulo 4 is 2; an id that is null isn't held out."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
