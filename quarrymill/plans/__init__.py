@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""The registered queries and their SQL."""
