@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import unicodedata
 from collections.abc import Iterator
@@ -23,8 +22,9 @@ LETTERS = 27
 DIMS = LETTERS**4
 WORD_CHARS = 32
 LANDMARKS = 256
-SAMPLE_ROWS = 3_000
+SAMPLE_ROWS = 5_000
 SAMPLE_WORDS = 4_000
+OTHER_WORDS = 150_000
 GRAM = 4
 THRESHOLD = 0.3
 ROUNDS = 3
@@ -182,50 +182,48 @@ def top_margins(model: Model, batch: pa.RecordBatch, column: str, known: dict[in
     return top
 
 
-@functools.lru_cache(maxsize=1 << 20)
 def _plain(word: str) -> str:
     return "".join(chr(96 + CODES[ord(c)]) if ord(c) < len(CODES) and CODES[ord(c)] else " " for c in word.lower()).strip()
 
 
-@functools.lru_cache(maxsize=1 << 19)
-def _grams(plain: str) -> tuple[str, ...]:
-    return tuple(g for k in range(len(plain) - GRAM + 1) if " " not in (g := plain[k : k + GRAM]))
+def _grams(plain: str) -> set[str]:
+    return {g for k in range(len(plain) - GRAM + 1) if " " not in (g := plain[k : k + GRAM])}
+
+
+def _text_counts(texts: list[str], among: dict[str, int] | None = None) -> dict[str, int]:
+    """In how many texts each gram stands (of those in among, if given)."""
+    out: dict[str, int] = {}
+    for t in texts:
+        found: set[str] = set()
+        for w in set(t.split()):
+            found |= _grams(_plain(w))
+        for g in found if among is None else found & among.keys():
+            out[g] = out.get(g, 0) + 1
+    return out
 
 
 def train(sample: list[tuple[str, int]]) -> Model | None:
-    """From (text, label) rows. Words are labelled through the texts that they stand in: a word is taken for an insult where a run of GRAM letters in it stands in far more texts of label 1 than chance has; words of texts labelled 0 are the others. None without both labels."""
+    """From (text, label) rows. Words are labelled through the texts that they stand in: a word is taken for an insult where a run of GRAM letters in it stands in far more texts of label 1 than chance has; words of texts labelled 0 are the others, up to OTHER_WORDS. None without both labels."""
     bad, good = [t for t, y in sample if y == 1], [t for t, y in sample if y == 0]
     if not bad or not good:
         return None
-    of = {}
-    for label, texts in ((1, bad), (0, good)):
-        counts: dict[str, int] = {}
-        for t in texts:
-            grams = set()
-            for w in set(t.split()):
-                grams.update(_grams(_plain(w)))
-            for g in grams:
-                counts[g] = counts.get(g, 0) + 1
-        of[label] = counts
-    share = len(bad) / len(sample)
-    telling = {}
-    for g, n in of[1].items():
-        clean = of[0].get(g, 0)
-        if n >= 3 and n > 20 * clean:
-            # The chance that as many of the texts with this gram would have label 1.
-            chance = math.log(share) * n + math.log(math.comb(n + clean, clean))
-            if chance < math.log(1e-4):
-                telling[g] = n
+    in_bad = _text_counts(bad)
+    in_bad = {g: n for g, n in in_bad.items() if n >= 3}
+    in_good = _text_counts(good, in_bad)
+    share, telling = len(bad) / len(sample), set()
+    for g, n in in_bad.items():
+        clean = in_good.get(g, 0)
+        # The chance that as many of the texts with this gram would have label 1.
+        if n > 20 * clean and math.log(share) * n + math.log(math.comb(n + clean, clean)) < math.log(1e-4):
+            telling.add(g)
     positive, negative = {}, {}
     for t in bad:
         for w in set(t.lower().split()):
-            p = _plain(w)
-            n = any(g in telling for g in _grams(p))
-            if n:
+            if not telling.isdisjoint(_grams(p := _plain(w))):
                 positive[p] = positive.get(p, 0) + 1
     for t in good:
         for w in set(t.lower().split()):
-            if len(p := _plain(w)) >= 3 and p not in positive:
+            if len(p := _plain(w)) >= 3 and p not in positive and (p in negative or len(negative) < OTHER_WORDS):
                 negative[p] = negative.get(p, 0) + 1
     if not positive or not negative:
         return None
@@ -273,12 +271,12 @@ def train(sample: list[tuple[str, int]]) -> Model | None:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
-    """At most `most` labelled rows of each label, chosen by the hash of their id, with their texts; rows held out (crc32 of the id, as text, modulo 4 is 2) aren't among them."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out("doc_id"))
-    some = lambda y: usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = some(0).unionByName(some(1)).dropDuplicates(["doc_id"])  # bounded, so it may be broadcast
+    """At most `most` labelled rows, chosen by the hash of their id so that the labels keep their shares, with their texts; rows held out (crc32 of the id, as text, modulo 4 is 2) aren't among them."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
+    one = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, so it may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return [(r.text, r.toxic) for r in texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()]
+    return [(r.text, r.toxic) for r in texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "doc_id").orderBy("doc_id").collect()]
 
 
 def held_out(column: str):
