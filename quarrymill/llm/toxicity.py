@@ -157,7 +157,7 @@ def top_margins(model: Model, batch: pa.RecordBatch, column: str, known: dict[in
     for row, end, data, offsets in text_slices(batch, column):
         starts, ends, hashes, first = words(data, offsets, SPACED_WORDS)
         distinct, index, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(known) > 1_000_000:
+        if len(known) > 300_000:
             known.clear()
         fresh = np.array([i for i, h in enumerate(distinct.tolist()) if h not in known], dtype=np.int64)
         if len(fresh):
