@@ -61,6 +61,7 @@ def diff(left: DataFrame, right: DataFrame) -> DataFrame:
     schema = "doc_id long, kind string, left_seq int, right_seq int, similarity double"
 
     def align(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a.columns = b.columns = ["doc_id", "seq", "fingerprint", "text"]
         a, b = a.sort_values("seq"), b.sort_values("seq")
         rows, i, j = [], 0, 0
         for x, y in [*anchors(list(a["fingerprint"]), list(b["fingerprint"])), (len(a), len(b))]:
@@ -78,7 +79,9 @@ def diff(left: DataFrame, right: DataFrame) -> DataFrame:
         out = pd.DataFrame(rows, columns=["doc_id", "kind", "left_seq", "right_seq", "similarity"])
         return out.astype({"left_seq": "Int32", "right_seq": "Int32", "similarity": "float64"})
 
-    return left.groupBy("doc_id").cogroup(right.groupBy("doc_id")).applyInPandas(align, schema)
+    # New names for the columns, as the two versions may come from one table.
+    left, right = (x.select(*(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "seq", "fingerprint", "text"))) for x, side in ((left, "a"), (right, "b")))
+    return left.groupBy("a_doc_id").cogroup(right.groupBy("b_doc_id")).applyInPandas(align, schema)
 
 
 def summary(changes: DataFrame) -> DataFrame:
