@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrymill.llm.common import bitmap, broadcast_bytes, in_bitmap, materialize, mix, prefix_sums, signed, span_hashes, text_slices
+from quarrymill.llm.common import bitmap, broadcast_bytes, in_bitmap, lists, materialize, mix, prefix_sums, signed, span_hashes, text_slices
 
 LENGTH = 400
 GRAM = 128
 BUCKET_BYTES = 1_500_000
 HOT_SEGMENTS = 200
+HOT_WINDOWS = 200_000
 POSITION_BITS = 30
 
 
@@ -180,20 +181,53 @@ def _marked(length: int):
 
 
 def _hot_marks(content: DataFrame, length: int) -> DataFrame:
-    """(anchor, seg, begin, end) of repeated windows among the distinct segments of anchors with very many: their windows are counted by hash, which deals one anchor's work to any number of tasks."""
+    """(anchor, seg, begin, end) of repeated windows among the distinct segments (anchor, seg, content, distinct) of anchors with very many.
+
+    Equal windows stand at equal places from their anchor and have equal hashes, so an anchor's windows are dealt out by place and, of
+    the most frequent anchors, by hash as well: any number of tasks shares its work, each counting at most about HOT_WINDOWS hashes. A
+    row holds a segment's windows of one part.
+    """
+    gram = min(GRAM, max(1, length // 3))
+    width = length - gram + 1
+    schema = "anchor long, place int, part int, seg long, at array<int>, window array<long>"
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("content")[i].as_py(), dtype=np.uint8)
-                at = np.arange(len(data) - length + 1)
-                h = span_hashes(prefix_sums(data), at, at + length)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(c)[i].as_py()] * n, pa.int64()) for c in ("anchor", "seg")] + [pa.array(at), pa.array(signed(h))], ["anchor", "seg", "at", "window"])
-
-    each = content.select("anchor", "seg", "content").mapInArrow(windows, "anchor long, seg long, at long, window long")
-    twice = each.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return each.join(twice, ["anchor", "window"]).select("anchor", "seg", F.col("at").alias("begin"), (F.col("at") + 1).alias("end"))
+            rows: list[tuple] = []
+            for anchor, seg, content_, distinct in zip(*(batch.column(c) for c in ("anchor", "seg", "content", "distinct")), strict=True):
+                data = np.frombuffer(content_.as_buffer(), dtype=np.uint8)
+                sums, at = prefix_sums(data), np.arange(len(data) - length + 1)
+                hashes = span_hashes(sums, at, at + length)
+                grams = span_hashes(sums, np.arange(width), np.arange(width) + gram) >> np.uint64(POSITION_BITS)
+                expected = distinct.as_py() * width // 2
+                places = min(width, -(-expected // HOT_WINDOWS))
+                parts = -(-expected // (places * HOT_WINDOWS))
+                key = (int(np.argmin(grams)) - at) * places // width * parts + (hashes % np.uint64(parts)).astype(np.int64)
+                for k in np.unique(key):
+                    own = key == k
+                    rows.append((anchor.as_py(), int(k) // parts, int(k) % parts, seg.as_py(), at[own].astype(np.int32), signed(hashes[own])))
+            anchors, place, part, segs, ats, found = zip(*rows, strict=True) if rows else ((),) * 6
+            counts = np.array([len(x) for x in ats], dtype=np.int64)
+            flat = lambda x, kind: np.concatenate(x) if x else np.empty(0, dtype=kind)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchors, pa.int64()), pa.array(place, pa.int32()), pa.array(part, pa.int32()), pa.array(segs, pa.int64()), lists(flat(ats, np.int32), counts, pa.int32()), lists(flat(found, np.int64), counts, pa.int64())], ["anchor", "place", "part", "seg", "at", "window"],
+            )
+
+    def repeated(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = rows["at"].map(len).to_numpy()
+        hashes = np.concatenate(rows["window"].to_list())
+        _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        twice = count[back] > 1
+        row, at = np.repeat(np.arange(len(rows)), sizes)[twice], np.concatenate(rows["at"].to_list())[twice]
+        if not len(at):
+            return pd.DataFrame({"anchor": [], "seg": [], "begin": [], "end": []}).astype("int64")
+        first = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row) != 0)])
+        last = np.append(first[1:], True)
+        own = rows.iloc[row[first]]
+        return pd.DataFrame({"anchor": own["anchor"].to_numpy(), "seg": own["seg"].to_numpy(), "begin": at[first], "end": at[last] + 1}).astype("int64")
+
+    dealt = content.select("anchor", "seg", "content", "distinct").mapInArrow(windows, schema)
+    return dealt.groupBy("anchor", "place", "part").applyInPandas(repeated, "anchor long, seg long, begin long, end long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -202,7 +236,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Windows of length bytes are gathered in segments by anchor (see segments), and only segments whose anchor occurs again leave the
     scan. Equal segments collapse: all their windows repeat. Bytes leave it only for anchors with segments that differ; these meet in a
     bucket of bounded size, of which a run-length index is built and matching statistics streamed. Anchors with over HOT_SEGMENTS distinct segments (the edges of
-    a very common passage) are counted by window instead, so no task holds them.
+    a very common passage) are counted by window instead, dealt by the window's place, so no task holds them.
     """
     spark = docs.sparkSession
     shared = _anchor_counts(docs, length).where("n > 1")

@@ -331,9 +331,10 @@ def _cut(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [200, 1])
+@pytest.mark.parametrize("hot", [200, 1, 0])
 def test_repeats_are_brute_force(spark, docs_of, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(repeats, "HOT_WINDOWS", 100 if hot == 1 else 3)
     r = random.Random(9)
     passage = ["".join(r.choice("abcé ") for _ in range(n)) for n in (35, 60, 150)]
     noise = lambda: "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 80)))
