@@ -6,6 +6,7 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,15 +35,15 @@ FOLD_PAGES = 256
 
 
 class Node:
-    """A part of a wrapper: an element or text slot (key "#"), and whether it may be missing or come again. Of a slot it holds the text while all pages have the same one, and the characters seen."""
+    """A part of a wrapper: an element or text slot (key "#"), and whether it may be missing or come again. Of a slot it holds the text while all pages have the same one, the characters seen and the pages that have it."""
 
-    __slots__ = ("key", "kids", "optional", "repeated", "text", "chars", "main")
+    __slots__ = ("key", "kids", "optional", "repeated", "text", "chars", "pages")
 
-    def __init__(self, key: str, kids: list | None = None, optional: bool = False, repeated: bool = False, text: str | None = None, chars: int = 0, main: bool = False) -> None:
-        self.key, self.kids, self.optional, self.repeated, self.text, self.chars, self.main = key, kids or [], optional, repeated, text, chars, main
+    def __init__(self, key: str, kids: list | None = None, optional: bool = False, repeated: bool = False, text: str | None = None, chars: int = 0, pages: int = 1) -> None:
+        self.key, self.kids, self.optional, self.repeated, self.text, self.chars, self.pages = key, kids or [], optional, repeated, text, chars, pages
 
     def packed(self) -> list:
-        return [self.key, self.optional, self.repeated, self.text, self.chars, self.main, [k.packed() for k in self.kids]]
+        return [self.key, self.optional, self.repeated, self.text, self.chars, self.pages, [k.packed() for k in self.kids]]
 
     @staticmethod
     def unpacked(x: list) -> Node:
@@ -58,7 +59,15 @@ def key_of(name: str, attributes: str) -> str:
 def parse(text: str) -> Node:
     """The tree of a page's token stream. Ends that the page leaves out are put in; ends without a start and what only machines read are left out."""
     root = Node("root")
-    stack, names = [root], ["root"]
+    # Elements over MAX_DEPTH deep are open by name too, so that their ends end them and none above; edges are the places in names that implied ends look at.
+    stack, names, edges, open_names = [root], ["root"], [], Counter()
+
+    def end(at: int) -> None:
+        open_names.subtract(names[at:])
+        del names[at:], stack[at:]
+        while edges and edges[-1] >= at:
+            edges.pop()
+
     for m in TOKEN.finditer(text):
         name = m[3]
         if name is None:
@@ -70,34 +79,37 @@ def parse(text: str) -> Node:
             continue
         name = name.lower()
         if m[2]:
-            if name in names:
-                while names[-1] != name:
-                    names.pop()
-                    stack.pop()
-                names.pop()
-                stack.pop()
+            if open_names[name] > 0:
+                at = len(names) - 1
+                while names[at] != name:
+                    at -= 1
+                end(at)
             continue
         closes = CLOSES.get(name, set()) | ({"p"} if name in ENDS_PARAGRAPH else set())
         if closes:
-            for at in range(len(names) - 1, 0, -1):
+            for at in reversed(edges):
                 if names[at] in closes:
-                    del names[at:], stack[at:]
+                    end(at)
                     break
                 if names[at] in SCOPES:
                     break
         node = Node(key_of(name, m[4]))
         stack[-1].kids.append(node)
-        if name not in VOID and not m[4].endswith("/") and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        if name not in VOID and not m[4].endswith("/"):
+            if name in CLOSES or name in SCOPES:
+                edges.append(len(names))
+            stack.append(node if len(stack) < MAX_DEPTH else stack[-1])
             names.append(name)
+            open_names[name] += 1
     return root
 
 
-def _joined(a: Node, b: Node) -> Node:
-    """The wrapper of what either of two of one key may hold."""
+def _joined(a: Node, b: Node, one_page: bool = False) -> Node:
+    """The wrapper of what either of two of one key may hold, in two sets of pages or twice in the same ones."""
+    pages = max(a.pages, b.pages) if one_page else a.pages + b.pages
     if a.key == "#":
-        return Node("#", None, a.optional or b.optional, a.repeated or b.repeated, a.text if a.text == b.text else None, a.chars + b.chars)
-    return Node(a.key, aligned(a.kids, b.kids), a.optional or b.optional, a.repeated or b.repeated)
+        return Node("#", None, a.optional or b.optional, a.repeated or b.repeated, a.text if a.text == b.text else None, a.chars + b.chars, pages)
+    return Node(a.key, aligned(a.kids, b.kids, one_page), a.optional or b.optional, a.repeated or b.repeated, pages=pages)
 
 
 def folded(kids: list[Node]) -> list[Node]:
@@ -105,7 +117,7 @@ def folded(kids: list[Node]) -> list[Node]:
     out: list[Node] = []
     for k in kids:
         if out and out[-1].key == k.key:
-            out[-1] = _joined(out[-1], k)
+            out[-1] = _joined(out[-1], k, True)
             out[-1].repeated = True
         else:
             out.append(k)
@@ -118,7 +130,7 @@ def _squared(kids: list[Node]) -> list[Node]:
     for k in kids:
         if len(out) >= 3 and out[-1].key != k.key and out[-2].key == k.key and out[-3].key == out[-1].key:
             last = out.pop()
-            out[-2], out[-1] = _joined(out[-2], last), _joined(out[-1], k)
+            out[-2], out[-1] = _joined(out[-2], last, True), _joined(out[-1], k, True)
             out[-2].repeated = out[-1].repeated = True
         else:
             out.append(k)
@@ -138,10 +150,10 @@ def hash_of(text: str) -> str:
     return hashlib.md5(text.encode("utf-8", "replace")).hexdigest()[:16]
 
 
-def aligned(a: list[Node], b: list[Node]) -> list[Node]:
+def aligned(a: list[Node], b: list[Node], one_page: bool = False) -> list[Node]:
     """One list of both: what stands in both by key is joined in order (a longest common subsequence), what stands in one becomes optional; then repeats are folded."""
     if [x.key for x in a] == [x.key for x in b]:
-        return [_joined(x, y) for x, y in zip(a, b, strict=True)]
+        return [_joined(x, y, one_page) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     longest = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -150,7 +162,7 @@ def aligned(a: list[Node], b: list[Node]) -> list[Node]:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i].key == b[j].key:
-            out.append(_joined(a[i], b[j]))
+            out.append(_joined(a[i], b[j], one_page))
             i, j = i + 1, j + 1
         elif j == m or i < n and longest[i + 1][j] >= longest[i][j + 1]:
             a[i].optional = True
@@ -182,72 +194,81 @@ def _is_main(key: str, name: str) -> bool:
     return parts[0] == name or f"role={name}" in parts or f"id={name}" in parts
 
 
-def _slot_chars(node: Node) -> int:
-    if node.key == "#":
-        return node.chars if node.text is None else 0
-    return 0 if _is_aside(node.key) else sum(map(_slot_chars, node.kids))
-
-
-def _mark(node: Node, inside: bool) -> None:
-    node.main = inside
-    for k in node.kids:
-        _mark(k, inside and not _is_aside(k.key))
-
+def _marked(node: Node, name: str, anywhere: bool) -> list[Node]:
+    if _is_main(node.key, name):
+        return [node]
+    return [] if _is_aside(node.key) and not anywhere else [x for k in node.kids for x in _marked(k, name, anywhere)]
+
+
+class _Met:
+    """The elements or texts of a page that one part of the wrapper stands for, with the mean characters of that part's slots in a page: those that change from page to page, and all."""
+
+    __slots__ = ("key", "nodes", "kids", "changing", "chars")
+
+    def __init__(self, model: Node, nodes: list[Node]) -> None:
+        self.key, self.nodes, self.kids, self.changing, self.chars = model.key, nodes, [], 0.0, 0.0
+        if model.key == "#":
+            self.chars = model.chars / model.pages
+            # A text of one page isn't known to be the same in others.
+            self.changing = self.chars if model.text is None or model.pages == 1 else 0.0
+        elif not _is_aside(model.key):
+            held: dict[int, list[Node]] = {}
+            for node in nodes:
+                at = 0
+                for k in node.kids:
+                    if k.key == "#" and k.text.isspace():
+                        continue
+                    found = next((i for i in [*range(at, len(model.kids)), *range(at)] if model.kids[i].key == k.key), None)
+                    if found is not None:
+                        at = found
+                        held.setdefault(found, []).append(k)
+            self.kids = [_Met(model.kids[i], x) for i, x in sorted(held.items())]
+            self.changing, self.chars = sum(k.changing for k in self.kids), sum(k.chars for k in self.kids)
+
+
+def changing_parts(page: Node, wrapper: Node) -> list[Node]:
+    """The deepest element of a page that holds most of the text that changes among its host's pages, by the parts of the wrapper that this page has, so that other layouts of the host have no say. Where nothing changes, all text counts."""
+    at = _Met(wrapper, [page])
+    weight = (lambda x: x.changing) if at.changing else (lambda x: x.chars)
+    while True:
+        best = max((k for k in at.kids if k.key != "#" and not _is_aside(k.key)), key=weight, default=None)
+        if best is None or best.key.split(" ")[0] in {"p", "li", "td", "h1", "h2", "h3"} | INLINE or weight(best) * 10 < weight(at) * 7:
+            return at.nodes
+        at = best
 
-def choose_main(root: Node) -> Node:
-    """Marks the parts of a wrapper that hold the article: all article elements, or main elements; where the host has none, the deepest element that holds most of the text that changes from page to page. Menus, headers, footers and the like within it are left out."""
-
-    def find(node: Node, name: str, anywhere: bool) -> list[Node]:
-        if _is_main(node.key, name):
-            return [node]
-        return [] if _is_aside(node.key) and not anywhere else [x for k in node.kids for x in find(k, name, anywhere)]
 
+def article_text(page: Node, wrapper: Node) -> str:
+    """The text of a page's article: of all its article elements, or its main elements; where it has none with text, of changing_parts. Menus, headers, footers and the like within it are left out."""
     for name, anywhere in [(n, a) for a in (False, True) for n in MAIN_TAGS]:
-        if chosen := find(root, name, anywhere):
-            break
-    else:
-        at = root
-        while True:
-            inner = [k for k in at.kids if k.key != "#" and not _is_aside(k.key)]
-            best = max(inner, key=_slot_chars, default=None)
-            if best is None or best.key.split(" ")[0] in {"p", "li", "td", "h1", "h2", "h3"} | INLINE or _slot_chars(best) * 10 < _slot_chars(at) * 7:
-                break
-            at = best
-        chosen = [at]
-    for node in chosen:
-        _mark(node, True)
-    return root
+        if (chosen := _marked(page, name, anywhere)) and (said := _text_of(page, chosen)):
+            return said
+    return _text_of(page, changing_parts(page, wrapper))
 
 
-def article_text(page: Node, wrapper: Node) -> str:
-    """The text of the page's parts that its host's wrapper marks. Parts that the wrapper doesn't know go by what holds them."""
+def _text_of(page: Node, chosen: list[Node]) -> str:
     blocks: list[str] = []
     open_block: list[str] = []
+    starts = set(map(id, chosen))
 
     def flush() -> None:
         if said := " ".join(html.unescape("".join(open_block)).split()):
             blocks.append(said)
         open_block.clear()
 
-    def walk(node: Node, model: Node | None, inside: bool) -> None:
-        at, kids = 0, model.kids if model is not None else []
+    def walk(node: Node, inside: bool) -> None:
         for k in node.kids:
-            found = next((i for i in [*range(at, len(kids)), *range(at)] if kids[i].key == k.key), None)
-            own = kids[found] if found is not None else None
-            at = found if found is not None else at
-            into = own.main if own is not None else (inside and not _is_aside(k.key)) or (k.key != "#" and model is None and _is_main(k.key, "article"))
             if k.key == "#":
-                if into or (own is None and inside):
+                if inside:
                     open_block.append(k.text)
                 continue
             breaks = k.key.split(" ")[0] not in INLINE
             if breaks:
                 flush()
-            walk(k, own, into)
+            walk(k, id(k) in starts or (inside and not _is_aside(k.key)))
             if breaks:
                 flush()
 
-    walk(page, wrapper, wrapper.main)
+    walk(page, id(page) in starts)
     flush()
     return " ".join(blocks)
 
@@ -287,7 +308,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
     def last(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         packed, n = merge(rows)
-        return pd.DataFrame([(key[0], json.dumps(choose_main(Node.unpacked(json.loads(packed))).packed()), n)], columns=["host", "wrapper", "pages"])
+        return pd.DataFrame([(key[0], packed, n)], columns=["host", "wrapper", "pages"])
 
     return some.groupBy("host").applyInPandas(last, "host string, wrapper string, pages long")
 
@@ -297,7 +318,7 @@ def hash_int(values: list[str]) -> int:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text) for each row: the main text by its host's wrapper.
+    """(page_id, url, text) for each row: the main text, by the marks of the page itself or else by its host's wrapper, so that a host may have any number of layouts.
 
     Character references are decoded, white space within a block becomes one space, blocks are joined by one space in page order.
     Null html counts as empty and gives an empty text; rows with a null or odd url share one host; a host of one page has that page as

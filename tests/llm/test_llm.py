@@ -376,6 +376,32 @@ def test_wrappers(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_wrappers_of_several_layouts(spark):
+    said = lambda w, i: " ".join(f"{w}{i}x{j}" for j in range(20 + i))
+    menu, foot = "<div class=menu>Home</div>", "<div>Copyright</div><div class=w2>latest {}</div>"
+    layouts = [lambda t: f"<article><p>{t}</p></article>", lambda t: f"<main><p>{t}</p></main>", lambda t: f"<div id=content><p>{t}</p><p>end</p></div>", lambda t: f"<section id=post><h1>t</h1><p>{t}</p></section>"]
+    for url in ("http://a.example/{}", None, "odd {}"):
+        # Of the last layouts the host has few pages, or one.
+        pages = [(k, said("abcd"[k], i)) for k, n in enumerate((12, 6, 3, 1)) for i in range(n)]
+        rows = [(i, url and url.format(i), menu + layouts[k](t) + foot.format(i)) for i, (k, t) in enumerate(pages)]
+        got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: t + (" end" if k == 2 else "") if k < 3 else "t " + t for i, (k, t) in enumerate(pages)}
+
+
+def test_lone_and_same_pages_without_marks(spark):
+    rows = [(1, "http://a.example", "<div>short</div><div id=b><p>" + "long " * 30 + "</p></div>")] + [(i, "http://b.example", "<div>short</div><div id=b><p>" + "long " * 30 + "</p></div>") for i in (2, 3)]
+    rows += [(4, "http://c.example", "<main>all <article class=card><img></article>of it</main>")]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "long " * 29 + "long", 2: "long " * 29 + "long", 3: "long " * 29 + "long", 4: "all of it"}
+
+
+def test_deep_ends_end_nothing_above():
+    deep = "<article><p>a</p>" + "<div>" * 200 + "b" + "</div>" * 200 + "<p>c</p></article><div>no</div>"
+    assert wrappers.article_text(wrappers.parse(deep), wrappers.expression(wrappers.parse(deep))) == "a b c"
+    outer = "<div><article>" + "<div>" * 200 + "b" + "</div>" * 200 + "<p>c</p></article></div><p>no</p>"
+    assert wrappers.article_text(wrappers.parse(outer), wrappers.expression(wrappers.parse(outer))) == "b c"
+
+
 def test_wrapper_expression():
     a, b = (wrappers.expression(wrappers.parse(h)) for h in ("<ul><li>1<li>2</ul><p>x</p><hr>", "<ul><li>3</ul><b>y</b><p>z</p>"))
     assert wrappers.regular_expression(wrappers._joined(a, b)) == "<root><ul>(<li>#</li>)+</ul>(<b>'y'</b>)?<p>#</p>(<hr></hr>)?</root>"
