@@ -26,6 +26,7 @@ SAMPLE_ROWS = 5_000
 SAMPLE_WORDS = 4_000
 OTHER_WORDS = 150_000
 GRAM = 4
+STRETCH_STEP = 8_192
 THRESHOLD = 0.3
 ROUNDS = 3
 
@@ -133,6 +134,45 @@ class Model:
                 out[at + which] += np.einsum("ij,ij->i", self.weights[number], weight)
         return out
 
+    def highest(self, texts: list[str]) -> np.ndarray:
+        """Of texts without known word bounds: the highest margin of all stretches of GRAM to WORD_CHARS characters, wherever they start."""
+        gap = WORD_CHARS - 1  # no stretch reaches from one text into the next
+        points = np.frombuffer("".join(t + "\0" * gap for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letters = np.where(points < len(CODES), CODES[np.minimum(points, len(CODES) - 1)], 0)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        begins = np.cumsum(sizes + gap) - sizes - gap
+        best = np.full(len(letters), -np.inf)
+        where, weight = _shape(SPAN)
+        shapes = [([x for x in at if x >= 0], w) for at, w in zip(where.tolist(), weight.tolist(), strict=True) if at[0] == 0]
+        for at in range(0, len(letters), STRETCH_STEP):
+            codes = letters[at : at + STRETCH_STEP + gap]
+            n = len(codes)
+            if np.count_nonzero(codes) < min(ORDERS):
+                continue
+            # What the subsequences that end at a character add, by their span: a stretch one longer gains those that don't begin before it.
+            gain, square = np.zeros((SPAN, n)), np.zeros((SPAN, n))
+            for places, w in shapes:
+                if (last := places[-1]) >= n:
+                    continue
+                number, there = np.zeros(n - last, dtype=np.int64), np.ones(n - last, dtype=bool)
+                for x in places:
+                    own = codes[x : n - last + x]
+                    number, there = number * LETTERS + own, there & (own > 0)
+                number = np.where(there, number * LETTERS ** (4 - len(places)), 0)
+                gain[last, last:] += np.where(there, w * self.weights[number], 0)
+                square[last, last:] += np.where(there, w * w, 0)
+            gain, square = gain.cumsum(axis=0), square.cumsum(axis=0)
+            total, norm = np.zeros(n), np.zeros(n)
+            for size in range(min(ORDERS), min(WORD_CHARS, n) + 1):
+                starts, span = n - size + 1, min(size, SPAN) - 1
+                total, norm = total[:starts] + gain[span, size - 1 :], norm[:starts] + square[span, size - 1 :]
+                if size >= GRAM:
+                    np.maximum(best[at : at + starts], total / np.sqrt(np.maximum(norm, 1e-24)), out=best[at : at + starts])
+        place = np.arange(len(letters)) - np.repeat(begins, sizes + gap)
+        best[place > np.repeat(np.maximum(0, sizes - GRAM), sizes + gap)] = -np.inf
+        highest = np.maximum.reduceat(best, begins)
+        return self.bias + np.where(np.isfinite(highest), highest, 0.0)
+
     def scores(self, top: np.ndarray) -> np.ndarray:
         """Of texts, from the two highest margins of each."""
         return 1 / (1 + np.exp(-np.clip(np.hstack([np.clip(top, -3, 3), np.ones((len(top), 1))]) @ self.text_weights, -30, 30)))
@@ -152,7 +192,7 @@ def joined_letters(text: str) -> list[str]:
 
 
 def top_margins(model: Model, batch: pa.RecordBatch, column: str, known: dict[int, float]) -> np.ndarray:
-    """The two highest margins among each text's words (and spelled-out words); known keeps the margins of words by hash."""
+    """The two highest margins among each text's words; one of over WORD_CHARS characters, or spelled out, has that of its highest stretch. known keeps the margins of words by hash."""
     top = np.full((batch.num_rows, 2), -3.0)
     for row, end, data, offsets in text_slices(batch, column):
         starts, ends, hashes, first = words(data, offsets, SPACED_WORDS)
@@ -163,18 +203,17 @@ def top_margins(model: Model, batch: pa.RecordBatch, column: str, known: dict[in
         if len(fresh):
             raw = data.tobytes()
             texts = [raw[starts[j] : ends[j]].decode("utf-8", "replace").lower() for j in index[fresh]]
-            # Longer words are looked at in overlapping parts, so that whole texts count.
-            parts = [[t[k : k + WORD_CHARS] for k in range(0, max(1, len(t) - SPAN), WORD_CHARS - SPAN)] for t in texts]
-            margins = model.margins([p for x in parts for p in x])
-            at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-            known.update(zip(distinct[fresh].tolist(), np.maximum.reduceat(margins, at[:-1]).tolist(), strict=True))
+            margins = model.margins(texts)
+            if long := [j for j, t in enumerate(texts) if len(t) > WORD_CHARS]:
+                margins[long] = model.highest([texts[j] for j in long])
+            known.update(zip(distinct[fresh].tolist(), margins.tolist(), strict=True))
         margin = np.array([known[h] for h in distinct.tolist()])[back] if len(distinct) else np.empty(0)
         single = np.concatenate([[0], np.cumsum(ends - starts == 1)])
         for i in range(row, end):
             a, b = first[i - row], first[i - row + 1]
             own = margin[a:b]
             if single[b] - single[a] >= 3 and (spelled := joined_letters(batch.column(column)[i].as_py())):
-                own = np.concatenate([own, model.margins([x.lower() for x in spelled])])
+                own = np.concatenate([own, model.highest([x.lower() for x in spelled])])
             if len(own) >= 2:
                 top[i] = np.sort(np.partition(own, len(own) - 2)[-2:])[::-1]
             elif len(own):

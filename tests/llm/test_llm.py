@@ -467,6 +467,31 @@ def test_toxicity_tolerates_insertions_and_edges(spark, docs_of):
     assert toxicity.joined_letters("xx i d i o t yy a b") == ["idiot"]
 
 
+def test_highest_stretch_is_brute_force(monkeypatch):
+    r = random.Random(11)
+    model = toxicity.Model(np.random.default_rng(1).normal(size=toxicity.DIMS), -2.0, np.zeros(3))
+    texts = ["".join(r.choice("abcdef.*1é語") for _ in range(n)) for n in (3, 4, 7, 20, 33, 90, 90)] + ["語" * 50, "ab"]
+    want = [max(model.margins([t[a : a + k] for k in range(4, 33) for a in range(len(t) - k + 1)] or [t])) for t in texts]
+    assert np.allclose(model.highest(texts), want, atol=1e-4)
+    monkeypatch.setattr(toxicity, "STRETCH_STEP", 16)
+    assert np.allclose(model.highest(texts), want, atol=1e-4)
+
+
+def test_insults_anywhere_in_long_tokens_and_runs(spark, docs_of):
+    r = random.Random(12)
+    plain = ["thation", "ering", "onstle", "haveth", "inder", "morest", "therish"]
+    text = lambda *more: " ".join([r.choice(plain) for _ in range(20)] + list(more))
+    model = toxicity.train([(text("blargfool", "blargfool"), 1) for _ in range(40)] + [(text(), 0) for _ in range(200)])
+    joined = "".join(r.choice(plain) for _ in range(40))[:100]
+    rows, clean = [], {1: text(joined), 2: text(" ".join(joined))}
+    for insult in ("blargfool", "b.l.a.r.g.f.o.o.l"):
+        for k in range(101 - len(insult)):
+            long = joined[:k] + insult + joined[k + len(insult) :]
+            rows += [text(long, long + "x"), text(" ".join(long), "yy", " ".join(long))]
+    score = {x.doc_id: x.score for x in toxicity.score(docs_of([*clean.items(), *enumerate(rows, 10)]), model).collect()}
+    assert all((s >= 0.3) == (i >= 10) for i, s in score.items())
+
+
 # the pipeline
 
 
