@@ -101,6 +101,20 @@ def test_secret_scan(spark, docs_of):
     assert got[4] == [("random", 4, 44)] and got[5] == got[6] == got[7] == []
 
 
+def test_values_names_of_paths_and_upper_case(spark, docs_of):
+    r = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = "".join(r.choice(letters + letters.lower() + "0123456789+/") for _ in range(40))
+    word = "".join(r.choice(letters + letters.lower() + "0123456789") for _ in range(40))
+    upper = "".join(r.choice(letters + "0123456789") for _ in range(40))
+    assert secret_scan.inferred_encoding(upper)[0] == "base36" and set("0189") & set(upper)
+    hidden = {1: ("AWS_SECRET_ACCESS_KEY=", value, ""), 2: ("https://x.example/a?sig=", word, "&b=1"), 3: ("sig=", value, "=="), 4: ("key ", upper, " x"), 5: ("see /home/someone/files/of/mine/", word, "/index"), 6: ("a=b=", word, "=c"), 7: ("KEY=", upper, "")}
+    got = {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans] for x in secret_scan.scan(docs_of([(i, "".join(t)) for i, t in hidden.items()])).collect()}
+    assert got == {i: [("random", len(a), len(a + t) + (2 if i == 3 else 0))] for i, (a, t, _) in hidden.items()}
+    masked = {x.doc_id: x.text for x in secret_scan.redact(docs_of([(i, "".join(t)) for i, t in hidden.items()])).collect()}
+    assert masked[1] == "AWS_SECRET_ACCESS_KEY=[SECRET]" and masked[2] == "https://x.example/a?sig=[SECRET]&b=1"
+
+
 def test_redaction(spark, docs_of):
     out = {r.doc_id: r for r in secret_scan.redact(docs_of([(1, 'a token = "0123456789abcdef0123456789abcdef" b'), (2, None), (3, "plain")], extra=True)).collect()}
     assert out[1].text == 'a [SECRET]" b' and out[2].text is None and out[3].text == "plain" and out[1].key == "x"
