@@ -101,6 +101,21 @@ def test_secret_scan(spark, docs_of):
     assert got[4] == [("random", 4, 44)] and got[5] == got[6] == got[7] == []
 
 
+def test_thresholds_of_one_mixture_at_any_size():
+    def of(times, others):  # 10 000 random tokens, and others in the bins given
+        width = np.diff(np.append(secret_scan.EDGES, 1.0))
+        width[-2:] = 0.25, 0.25
+        n = np.round(10_000 * width).astype(int) + [others.get(k, 0) for k in range(len(width))]
+        return secret_scan.thresholds([(2, k, int(x) * times) for k, x in enumerate(n)])[2]
+
+    # Others just over the least edge, others up to a tenth, others everywhere (so that no threshold reaches the share), and none.
+    for others, want in (({3: 3_000}, 0.01), ({k: 2_000 for k in range(2, 7)}, 0.1), ({k: 20_000 // k for k in range(2, 15)}, secret_scan.DEFAULT_CUT), ({}, 0.001)):
+        assert of(1, others) == of(100, others) == of(10_000, others) == want
+    # Too few to tell have what many of them have.
+    small, large = ([(2, 3, 10 * n), (2, 9, 20 * n), (2, 15, 20 * n)] for n in (1, 100))
+    assert secret_scan.thresholds(small) == secret_scan.thresholds(large)
+
+
 def test_values_names_of_paths_and_upper_case(spark, docs_of):
     r = random.Random(5)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
