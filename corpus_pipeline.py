@@ -31,10 +31,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words fewer than a twentieth stand in a benchmark window."""
+    """Documents of whose words fewer than a twentieth stand in a benchmark window; rows without an id, or of one id, are each judged by their own text."""
     found, _ = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    gone = found.where("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    keyed = docs.withColumn("own_key", decontaminate.text_key("text"))
+    return keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left_anti").drop("own_key")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,6 +30,27 @@ def _shingles(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, begins
 
 
+def _keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A key of each row's words in order: rows of one id and equal words have equal results."""
+    if not len(hashes):
+        return np.zeros(len(first) - 1, dtype=np.uint64)
+    ordered = np.concatenate([[np.uint64(0)], np.cumsum((hashes ^ np.uint64(0x5851F42D4C957F2D)) * (2 * np.arange(len(hashes), dtype=np.uint64) + np.uint64(1)))])
+    plain = np.concatenate([[np.uint64(0)], np.cumsum(hashes ^ np.uint64(0x5851F42D4C957F2D))])
+    return ordered[first[1:]] - ordered[first[:-1]] - (plain[first[1:]] - plain[first[:-1]]) * (2 * first[:-1].astype(np.uint64))
+
+
+def text_key(column: str) -> Column:
+    """The text_key that contamination gives a row of this text."""
+
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        keys = [signed(_keys(*words(LOWER[data], offsets, ALNUM_WORDS)[2:])) for _, _, data, offsets in text_slices(batch, "text")]
+        return pd.Series(np.concatenate(keys) if keys else np.empty(0, dtype=np.int64))
+
+    return of(F.col(column))
+
+
 def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, start, words, shingles) of each window: window words of an item one after another, or all where it has fewer. Items without an id, text or words have none."""
 
@@ -78,11 +100,7 @@ def _candidates(docs: DataFrame, bits, window: int) -> DataFrame:
                 data = LOWER[data]
                 starts, ends, hashes, first = words(data, offsets, ALNUM_WORDS)
                 n_words = np.diff(first)
-                whole = np.zeros(len(n_words), dtype=np.uint64)
-                if len(hashes):  # a key of the row's words in order: rows of one id and equal words have equal results
-                    ordered = np.concatenate([[np.uint64(0)], np.cumsum((hashes ^ np.uint64(0x5851F42D4C957F2D)) * (2 * np.arange(len(hashes), dtype=np.uint64) + np.uint64(1)))])
-                    plain = np.concatenate([[np.uint64(0)], np.cumsum(hashes ^ np.uint64(0x5851F42D4C957F2D))])
-                    whole = ordered[first[1:]] - ordered[first[:-1]] - (plain[first[1:]] - plain[first[:-1]]) * (2 * first[:-1].astype(np.uint64))
+                whole = _keys(hashes, first)
                 pair, _ = _shingles(hashes, first)
                 at, gram = [np.flatnonzero(in_bitmap(known, pair))], [pair[in_bitmap(known, pair)]]
                 if len(hashes):  # one-word items ask for words

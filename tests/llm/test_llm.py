@@ -538,3 +538,15 @@ def test_pipeline_on_small_tables(spark, docs_of, tmp_path):
     assert out[4].decoded_sha256 == hashlib.sha256(b"[SECRET]\"").hexdigest() and out[5].n_pieces == 0
     for name, stage in P.STAGES:
         assert stage(spark, docs_of([]), str(tmp_path)).count() == 0, name
+
+
+def test_decontamination_goes_by_id_and_text(spark, docs_of, tmp_path):
+    import corpus_pipeline as P
+
+    passage = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, passage)], BENCH).write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [(None, "no id but clean"), (1, "clean words of a shared id"), (2, "clean"), (3, None), (None, None), (4, "")]
+    rows = [*clean, (None, f"x {passage} y"), (1, f"X {passage.upper()}"), (5, passage), (5, passage)]
+    got = P.drop_contaminated(spark, docs_of(rows, extra=True), str(tmp_path))
+    assert got.columns == docs_of(rows, extra=True).columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(clean)
