@@ -470,15 +470,37 @@ def test_subsequence_kernel_is_explicit():
     assert np.allclose(toxicity.kernel(words, words), want)
 
 
-def test_toxicity_held_out(spark):
-    d = "/root/testdata/sf0.01"
+def _auc(score, label):
+    both = sorted(zip(score, label, strict=True))
+    values, ranks = [x for x, _ in both], {}
+    for k, x in enumerate(values):
+        ranks.setdefault(x, []).append(k + 1)
+    ones = sum(label)
+    return (sum(np.mean(ranks[x]) for x, y in both if y) - ones * (ones + 1) / 2) / (ones * (len(label) - ones))
+
+
+def test_toxicity_held_out_in_every_language(spark):
+    d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    got = queries.op10_toxicity(spark, d)
+    got = queries.op10_toxicity(spark, d).cache()
     assert got.count() == docs.count() and got.where("score < 0 or score > 1 or predicted <> int(score >= 0.3)").count() == 0
-    held = got.where("held_out").join(labels, "doc_id").join(docs, "doc_id").where("lang = 'en'").collect()
-    caught = [r.predicted for r in held if r.toxic == 1]
-    alarms = [r.predicted for r in held if r.toxic == 0]
-    assert np.mean(caught) > 0.6 and np.mean(alarms) < 0.05
+    assert got.where("held_out <> (crc32(string(doc_id)) % 4 = 2)").count() == 0
+    held = got.where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    got.unpersist()
+    for lang in ("en", "de", "fr", "es"):
+        own = [r for r in held if r.lang == lang]
+        assert _auc([r.score for r in own], [r.toxic for r in own]) > 0.9, lang
+    assert np.mean([r.predicted for r in held if r.toxic == 1]) > 0.8 and np.mean([r.predicted for r in held if r.toxic == 0]) < 0.02
+
+
+def test_training_words_are_whole():
+    long = "".join(chr(97 + i * 7 % 26) for i in range(100))
+    assert toxicity.training_words(f"Été, {long} i d i o t x1") == {"ete", "idiot"} | {long[k : k + 32] for k in range(0, 84, 16)}
+    assert toxicity.training_words("") == set()
+
+
+def _labelled(spark, rows):
+    return spark.createDataFrame([(t or "", y) for t, y in rows], "text string, toxic int")
 
 
 def test_toxicity_tolerates_insertions_and_edges(spark, docs_of):
@@ -486,12 +508,13 @@ def test_toxicity_tolerates_insertions_and_edges(spark, docs_of):
     plain = ["thation", "ering", "onstle", "haveth", "inder", "morest", "therish"]
     text = lambda *more: " ".join([r.choice(plain) for _ in range(20)] + list(more))
     sample = [(text("blargfool", "blargfool"), 1) for _ in range(40)] + [(text(), 0) for _ in range(200)]
-    model = toxicity.train(sample)
+    model = toxicity.train(_labelled(spark, sample))
     rows = [(1, text("b.l.a.r.g.f.o.o.l", "blarg*fool")), (2, text()), (3, text("b l a r g f o o l", "blargfool"))] + [(10 + i, t) for i, (_, t) in enumerate(EDGES)]
     got = {x.doc_id: x.score for x in toxicity.score(docs_of(rows, extra=True), model).collect()}
     assert got[1] >= 0.3 and got[3] >= 0.3 and got[2] < 0.3 and all(0 <= s < 0.3 for i, s in got.items() if i >= 10)
-    assert toxicity.not_toxic(docs_of(rows), model).count() == len(rows) - 2
-    assert toxicity.train([]) is None and toxicity.score(docs_of(rows), None).where("score = 0").count() == len(rows)
+    kept = toxicity.not_toxic(docs_of(rows, extra=True), model)
+    assert kept.count() == len(rows) - 2 and kept.where("score <> 'x' or lang <> 'en'").count() == 0
+    assert toxicity.train(_labelled(spark, [])) is None and toxicity.train(_labelled(spark, [("", 1), (None, 0)])) is None and toxicity.score(docs_of(rows), None).where("score = 0").count() == len(rows)
     assert toxicity.score(docs_of([]), model).count() == 0
     assert toxicity.joined_letters("xx i d i o t yy a b") == ["idiot"]
 
@@ -510,7 +533,7 @@ def test_insults_anywhere_in_long_tokens_and_runs(spark, docs_of):
     r = random.Random(12)
     plain = ["thation", "ering", "onstle", "haveth", "inder", "morest", "therish"]
     text = lambda *more: " ".join([r.choice(plain) for _ in range(20)] + list(more))
-    model = toxicity.train([(text("blargfool", "blargfool"), 1) for _ in range(40)] + [(text(), 0) for _ in range(200)])
+    model = toxicity.train(_labelled(spark, [(text("blargfool", "blargfool"), 1) for _ in range(40)] + [(text(), 0) for _ in range(200)]))
     joined = "".join(r.choice(plain) for _ in range(40))[:100]
     rows, clean = [], {1: text(joined), 2: text(" ".join(joined))}
     for insult in ("blargfool", "b.l.a.r.g.f.o.o.l"):
