@@ -145,6 +145,11 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def lists_of(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    """A list column from an array of its elements and the length of each row."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
+
+
 def broadcast_bytes(spark: SparkSession, data: bytes):
     return spark.sparkContext.broadcast(data)
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from compare import rows_of, rows_of_sql
@@ -64,6 +65,7 @@ def test_n_best_is_brute_force():
         text = "".join(r.choice("then é▁er ing中😀\n") for _ in range(r.randint(0, 8)))
         flat, counts, best = pieces.Encoder(v, 5).batch([text])
         assert pieces.decode_ids(v, flat.tolist()) == text
+        best = best.to_pylist()
         every = _all_segmentations(v, "".join(map(pieces._symbols, pieces.units(text))))
         assert [x["score"] for x in best[0]] == [s for s, _ in every[:5]]
         for x in best[0]:
@@ -73,6 +75,38 @@ def test_n_best_is_brute_force():
             assert (x["score"], ids) in every
 
 
+def test_many_texts_at_once_are_each_alone():
+    v, r = pieces.load(), random.Random(3)
+    texts = ["".join(r.choice("then é▁er ing中😀\n") for _ in range(r.randint(0, 200))) for _ in range(40)]
+    flat, counts, best = pieces.Encoder(v, 4).batch(texts)
+    alone = [pieces.Encoder(v, 4).batch([t]) for t in texts]
+    assert flat.tolist() == [i for ids, _, _ in alone for i in ids.tolist()] and best.to_pylist() == [b.to_pylist()[0] for _, _, b in alone]
+
+
+def test_agreement_with_the_library():
+    """The file is of merges, which no sum of scores repeats in all; by words, the best segmentation is mostly the library's, and the number of pieces nearly so."""
+    import sentencepiece
+
+    v, library = pieces.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    words = Counter(u for t in texts for u in pieces.units(t) if u.startswith(" ") and u.strip())
+    ids, counts, _, _ = pieces.best_and_gap(v, [pieces._symbols(u) for u in words])
+    ends = np.cumsum(counts)
+    same = sum(words[u] for u, e, n in zip(words, ends, counts, strict=True) if ids[e - n : e].tolist() == library.encode(u[1:]))
+    assert same > 0.75 * sum(words.values())
+    _, counts, _ = pieces.Encoder(v, 1).batch(texts)
+    assert abs(counts.sum() / sum(len(library.encode(t)) for t in texts) - 1) < 0.02
+
+
+def test_a_vocabulary_over_the_cuts_is_refused(monkeypatch):
+    import sentencepiece
+
+    whole = sentencepiece.SentencePieceProcessor.id_to_piece
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "id_to_piece", lambda self, i: "of▁the" if i == 5_000 else whole(self, i))
+    with pytest.raises(ValueError, match="of▁the"):
+        pieces.load()
+
+
 def test_long_unit_of_ties():
     text = "a" * 3_000 + "😀" * 500
     flat, _, best = pieces.Encoder(pieces.load(), 4).batch([text])
