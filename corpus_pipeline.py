@@ -18,7 +18,7 @@ from quarrymill.llm.common import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold, by a model trained on the labelled documents of sf_dir that aren't held out."""
+    """Documents that score under the threshold, by a model trained on the labelled documents of sf_dir that aren't held out. Null and empty texts stay; rows that repeat an id or a text stay or go alike with their text; without labels of both kinds all stay."""
     model = toxicity.train(toxicity.training_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity.not_toxic(docs, model)
 
@@ -27,15 +27,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document of the smallest id of each group linked at a Jaccard similarity of 0.8 over five-word shingles. Of rows that repeat an id, all stay or go; documents without shingles or id stay."""
     groups = minhash.near_duplicates(docs, shingle=5, percent=80)
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words fewer than a twentieth stand in a benchmark window; rows without an id, or of one id, are each judged by their own text."""
     found, _ = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = found.where("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    keyed = docs.withColumn("own_key", decontaminate.text_key("text"))
-    return keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left_anti").drop("own_key")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # names of our own, so that no column clashes with the keys
+    keyed = docs.toDF(*names).withColumn("own_id", F.col(names[docs.columns.index("doc_id")]).cast("long")).withColumn("own_key", decontaminate.text_key(names[docs.columns.index("text")]))
+    kept = keyed.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_key") == F.col("gone_key")), "left_anti")
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
