@@ -607,3 +607,19 @@ def test_decontamination_goes_by_id_and_text(spark, docs_of, tmp_path):
     got = P.drop_contaminated(spark, docs_of(rows, extra=True), str(tmp_path))
     assert got.columns == docs_of(rows, extra=True).columns
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(clean)
+
+
+def test_pipeline_of_clashing_columns_and_repeated_rows(spark, docs_of, tmp_path):
+    import corpus_pipeline as P
+
+    base, passage = " ".join(f"word{i}" for i in range(60)), " ".join(f"item{i}" for i in range(20))
+    docs = docs_of([(1, base), (1, base), (2, base + " more"), (3, passage), (4, "clean"), (4, "clean"), (None, None)], extra=True)
+    for c in ("gone_id", "gone_key", "own_key", "own_id", "c0", "c1", "component_id", "a", "b"):
+        docs = docs.withColumn(c, F.lit("x"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage)], BENCH).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in P.STAGES[:4]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.where("gone_id <> 'x' or own_key <> 'x' or c0 <> 'x'").count() == 0, name
+    assert sorted(r.doc_id or 0 for r in P.run(spark, str(tmp_path)).collect()) == [0, 1, 1, 4, 4]
