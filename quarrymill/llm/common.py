@@ -14,7 +14,16 @@ from pyspark.sql import functions as F
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 BITMAP_BITS = 1 << 25  # 4 MB, whatever the input
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to BATCH_ROWS rows: rows are whole texts, so Spark's 10 000 are too much for the memory beside an executor's heap."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and read it back, which cuts the lineage and survives lost executors."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return in_small_batches(df).checkpoint(eager=True)
 
 
 def bitmap(keys: DataFrame, column: str) -> bytes:

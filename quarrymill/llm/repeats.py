@@ -19,6 +19,7 @@ BUCKET_BYTES = 1_500_000
 HOT_SEGMENTS = 200
 HOT_WINDOWS = 200_000
 POSITION_BITS = 30
+SLICE_BYTES = 1 << 20
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +66,7 @@ def _row_keys(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _anchor_counts(docs: DataFrame, length: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch, "text"):
+            for _, _, data, offsets in text_slices(batch, "text", SLICE_BYTES):
                 found, n = np.unique(segments(data, offsets, length)[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n.astype(np.int64))], ["anchor", "n"])
 
@@ -78,7 +79,7 @@ def _segments_of(docs: DataFrame, bits, length: int, contents: bool) -> DataFram
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, dtype=np.uint8)
         for batch in batches:
-            for row, end, data, offsets in text_slices(batch, "text"):
+            for row, end, data, offsets in text_slices(batch, "text", SLICE_BYTES):
                 starts, counts, anchors, sums = segments(data, offsets, length)
                 chosen = np.flatnonzero(in_bitmap(known, anchors)) if len(starts) else starts
                 starts, counts, anchors = starts[chosen], counts[chosen], anchors[chosen]
@@ -278,7 +279,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, dtype=np.uint8)
         for batch in batches:
-            keys = np.concatenate([_row_keys(prefix_sums(data), offsets) for _, _, data, offsets in text_slices(batch, "text")]) if batch.num_rows else np.empty(0, dtype=np.int64)
+            keys = np.concatenate([_row_keys(prefix_sums(data), offsets) for _, _, data, offsets in text_slices(batch, "text", SLICE_BYTES)]) if batch.num_rows else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(keys), pa.array(in_bitmap(known, keys))], ["doc_id", "text", "text_key", "touched"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import SPACED_WORDS, materialize, text_slices, words
+from quarrymill.llm.common import SPACED_WORDS, in_small_batches, materialize, text_slices, words
 
 DECAY = 0.6
 SPAN = 7  # a subsequence spreads over at most so many characters
@@ -424,7 +424,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.scores(top_margins(sent.value, batch, "text", known)))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(apply, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(apply, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
 def not_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -438,4 +438,4 @@ def not_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
         for batch in batches:
             yield batch.filter(pa.array(sent.value.scores(top_margins(sent.value, batch, text_col, known)) < threshold))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return in_small_batches(docs).mapInArrow(apply, docs.schema)
