@@ -7,22 +7,37 @@ from pyspark.sql import functions as F
 
 # MIME types by extension, the keys in which a payload's text may stand, address blocks that aren't public, and error codes that may be tried again.
 MIME = {
-    "md": "text/markdown", "txt": "text/plain", "html": "text/html", "htm": "text/html", "csv": "text/csv", "tsv": "text/tab-separated-values", "pdf": "application/pdf", "rtf": "application/rtf", "epub": "application/epub+zip",
-    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
-    "odt": "application/vnd.oasis.opendocument.text", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg",
+    "pdf": "application/pdf", "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "ppt": "application/vnd.ms-powerpoint", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "xls": "application/vnd.ms-excel", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "rtf": "application/rtf",
+    "odt": "application/vnd.oasis.opendocument.text", "ods": "application/vnd.oasis.opendocument.spreadsheet", "odp": "application/vnd.oasis.opendocument.presentation",
+    "csv": "text/csv", "tsv": "text/tab-separated-values", "epub": "application/epub+zip", "ofd": "application/ofd", "html": "text/html", "htm": "text/html", "shtml": "text/html",
+    "mhtml": "message/rfc822", "mht": "message/rfc822", "md": "text/markdown", "markdown": "text/markdown", "txt": "text/plain",
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "jp2": "image/jp2", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp",
 }
-TEXT_KEYS = ("text", "content", "page_content", "text_preview", "body", "document", "chunk", "message", "summary")
-PRIVATE_BLOCKS = (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("224.0.0.0", 4), ("240.0.0.0", 4))
+LOOSE_MIME = {"html": "html", "pdf": "pdf", "wordprocessingml": "docx", "presentationml": "pptx", "spreadsheetml": "xlsx", "msword": "doc", "ms-powerpoint": "ppt", "ms-excel": "xls", "opendocument.text": "odt", "opendocument.spreadsheet": "ods", "opendocument.presentation": "odp", "epub": "epub", "rtf": "rtf"}
+TEXT_KEYS = ("content", "text", "page_content", "chunk", "segment", "document", "doc_text", "text_preview", "parent_text")
+PRIVATE_BLOCKS = (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("192.0.2.0", 24), ("198.18.0.0", 15), ("224.0.0.0", 4), ("240.0.0.0", 4))
 RETRYABLE = ("TIMEOUT", "RATE_LIMITED", "UNAVAILABLE", "NETWORK")
 CONFIG_SCHEMA = "size int, overlap int, parentSize int, strategy string, protects array<string>"
 
 
 def mime_of(ext: Column) -> Column:
-    """F13."""
-    out = F.lit("application/octet-stream")
-    for k, v in MIME.items():
-        out = F.when(ext == k, v).otherwise(out)
-    return out
+    """in any case; octets where it isn't known."""
+    known = F.create_map(*(F.lit(x) for pair in MIME.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.lower(ext)), F.lit("application/octet-stream"))
+
+
+def ext_of(mime: Column) -> Column:
+    """F13 back: the last extension of a type, its parameters aside; else by a part of its name; empty where it isn't known."""
+    base = F.lower(F.trim(F.substring_index(mime, ";", 1)))
+    known = F.create_map(*(F.lit(x) for pair in {v: k for k, v in MIME.items()}.items() for x in pair))
+    loose = F.lit("")
+    for part, ext in reversed(LOOSE_MIME.items()):
+        loose = F.when(F.contains(base, F.lit(part)), ext).otherwise(loose)
+        if part == "wordprocessingml":  # images are looked at before the office types
+            loose = F.when(F.startswith(base, F.lit("image/")), F.substr(base, F.lit(7))).otherwise(loose)
+    return F.coalesce(F.try_element_at(known, base), loose)
 
 
 def chunk_config(json: Column) -> Column:
@@ -36,10 +51,18 @@ def chunk_config(json: Column) -> Column:
 
 
 def payload_text(payload: Column) -> Column:
-    """the first of the known keys that isn't blank, else its lines of `key: value`, up to 4 000 characters."""
-    first = F.coalesce(*(F.nullif(F.trim(F.get_json_object(payload, f"$.{k}")), F.lit("")) for k in TEXT_KEYS))
-    lines = F.array_join(F.transform(F.map_entries(F.from_json(payload, "map<string,string>")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
-    return F.coalesce(first, F.substring(lines, 1, 4_000))
+    """the first of the known keys whose value is a string and not blank, as it is; else the text within the JSON of _node_content; else lines of `key: value` of the strings whose keys don't begin with _, up to 4 000 characters. What isn't an object gives an empty text."""
+    entries = F.from_json(payload, "map<string,variant>")
+    is_string = lambda v: F.schema_of_variant(v) == "STRING"
+    strings = F.map_from_entries(F.transform(F.filter(F.map_entries(entries), lambda e: is_string(e["value"])), lambda e: F.struct(e["key"], e["value"].cast("string").alias("value"))))
+    said = lambda text: F.when(F.trim(F.regexp_replace(text, r"\s+", " ")) != "", text)
+    direct = F.coalesce(*(said(F.try_element_at(strings, F.lit(k))) for k in TEXT_KEYS))
+    nested = F.try_parse_json(F.try_element_at(strings, F.lit("_node_content")))
+    inner = F.try_variant_get(nested, "$.text", "variant")
+    within = F.when(is_string(inner), said(inner.cast("string")))
+    shown = F.filter(F.map_entries(strings), lambda e: (F.length(e["value"]) > 0) & ~F.startswith(e["key"], F.lit("_")))
+    lines = F.array_join(F.transform(shown, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    return F.coalesce(direct, within, F.substring(lines, 1, 4_000), F.lit(""))
 
 
 def task_handle(handle: Column) -> Column:
@@ -54,7 +77,7 @@ def sparse_field(json: Column) -> Column:
     """V3: an embedding service's sparse vector as a map by index, in any of three shapes; zero weights go from the map shape only."""
     pairs = F.from_json(json, "indices array<int>, values array<double>")
     listed = F.from_json(json, "array<struct<index:int,value:double>>")
-    mapped = F.from_json(json, "map<int,double>")
+    mapped = F.transform_keys(F.from_json(json, "map<string,double>"), lambda k, v: k.try_cast("int"))
     return (
         F.when(pairs["indices"].isNotNull(), F.map_from_arrays(pairs["indices"], pairs["values"]))
         .when(F.startswith(F.trim(json), F.lit("[")), F.map_from_entries(listed))
@@ -63,18 +86,34 @@ def sparse_field(json: Column) -> Column:
 
 
 def ipv4_number(address: Column) -> Column:
-    part = lambda i: F.split(address, r"\.")[i].cast("long")
-    return ((part(0) * 256 + part(1)) * 256 + part(2)) * 256 + part(3)
+    """The number of an address of four parts up to 255; null for anything else."""
+    part = lambda i: F.get(F.split(address, r"\."), F.lit(i)).try_cast("long")
+    valid = address.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}\z") & (F.greatest(*(part(i) for i in range(4))) <= 255)
+    return F.when(valid, ((part(0) * 256 + part(1)) * 256 + part(2)) * 256 + part(3))
 
 
 def is_private(address: Column) -> Column:
-    """F24."""
-    n, out = ipv4_number(address), F.lit(False)
-    for base, bits in PRIVATE_BLOCKS:
-        a = [int(x) for x in base.split(".")]
-        low = ((a[0] * 256 + a[1]) * 256 + a[2]) * 256 + a[3]
-        out = out | n.between(low, low + 2 ** (32 - bits) - 1)
-    return out
+    """whether an address isn't a public one; what is no address counts as private. Of addresses with colons, loopback, unset, local and mapped private ones are; others of hex digits, colons and dots are public."""
+
+    def of_number(n: Column) -> Column:
+        out = F.lit(False)
+        for base, bits in PRIVATE_BLOCKS:
+            a = [int(x) for x in base.split(".")]
+            low = ((a[0] * 256 + a[1]) * 256 + a[2]) * 256 + a[3]
+            out = out | n.between(low, low + 2 ** (32 - bits) - 1)
+        return F.coalesce(out, F.lit(True))
+
+    ip6 = F.lower(address)
+    hexes = r"^::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})\z"
+    group = lambda i: F.conv(F.nullif(F.regexp_extract(ip6, hexes, i), F.lit("")), 16, 10).try_cast("long")
+    dotted = r"^::ffff:([0-9]{1,3}(?:\.[0-9]{1,3}){3})\z"
+    six = (
+        F.when(ip6.isin("::", "::1") | ip6.rlike("^f[cd][0-9a-f]{2}:") | ip6.rlike("^fe[89ab][0-9a-f]:"), True)
+        .when(ip6.rlike(dotted), of_number(ipv4_number(F.regexp_extract(ip6, dotted, 1))))
+        .when(ip6.rlike(hexes), of_number(group(1) * 65_536 + group(2)))
+        .otherwise(ip6.rlike("^::ffff:0:0") | ~ip6.rlike(r"^[0-9a-f:.]+\z"))
+    )
+    return F.coalesce(F.when(F.contains(address, F.lit(":")), six).otherwise(of_number(ipv4_number(address))), F.lit(True))
 
 
 def is_retryable(code: Column) -> Column:

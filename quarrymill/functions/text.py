@@ -12,6 +12,21 @@ CJK = r"[㐀-䶿一-鿿豈-﫿]"
 CHUNK_NAMESPACE = "9f8b7c6d-5e4f-4a3b-8c1d-0e9f8a7b6c5d"
 STATUS_MAP = {"queued": "waiting", "parsing": "parsing", "chunking": "splitting", "embedding": "indexing", "upserting": "indexing", "ready": "completed", "failed": "error"}
 RETRY_MS = (2_000, 8_000, 30_000)
+# What cleaning Markdown replaces, in this order: control characters, line ends, zero-width and wide spaces, spaces at the ends of lines, bullets, runs of blank lines, spaces between emphasis marks and punctuation, and white space around all.
+SPACE = "[ \t\n\u1680\u2000-\u200a\u2028\u2029\u202f\u205f]"
+IN_LINE = SPACE.replace("\n", "")
+CLEANING = (
+    (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""),
+    (r"\r\n?", "\n"),
+    ("[\u200b-\u200d\u2060\ufeff]", ""),
+    ("[\u00a0\u3000]", " "),
+    (r"[ \t]+(?![^\n])", ""),
+    (rf"(?<![^\n])([ \t]*)[•‣▪▫◦·●○]{IN_LINE}+", "$1- "),
+    (r"\n{4,}", "\n\n\n"),
+    (rf"(\*\*|\*|~~|`){SPACE}+([，。；：、！？）】》”’,.;:!?)\]}}])", "$1$2"),
+    (rf"([（【《“‘({{\[]){SPACE}+(\*\*|\*|~~|`)", "$1$2"),
+    (rf"^{SPACE}+|{SPACE}+(?![\s\S])", ""),
+)
 
 
 def tokens(text: Column) -> Column:
@@ -86,14 +101,11 @@ def clean_inline(text: Column) -> Column:
 
 
 def clean_markdown(text: Column) -> Column:
-    """line ends, control characters, bullets, blank lines and spaces before CJK punctuation, trimmed, with one end of line."""
-    out = F.regexp_replace(text, r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    out = F.regexp_replace(out, "(?m)^([ \t]*)[•·●▪◦‣][ \t]*", "$1- ")
-    out = F.regexp_replace(out, "(?m)[ \t]+$", "")
-    out = F.regexp_replace(out, r"\n{4,}", "\n\n\n")
-    out = F.regexp_replace(out, "[ \t]+([，。！？；：、])", "$1")
-    return F.concat(F.regexp_replace(out, r"^[ \t\n]+|[ \t\n]+$", ""), F.lit("\n"))
+    """CLEANING in order, trimmed, with one end of line; an empty text stays empty."""
+    out = text
+    for pattern, by in CLEANING:
+        out = F.regexp_replace(out, pattern, by)
+    return F.when(out != "", F.concat(out, F.lit("\n"))).otherwise(out)
 
 
 def safe_filename(name: Column) -> Column:

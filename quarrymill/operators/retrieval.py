@@ -92,7 +92,7 @@ def dense_topk(queries: DataFrame, points: DataFrame, k: int, threshold: float |
         p = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
         pairs = p.join(q, ["block"]).where(F.col("id") != F.col("query_id") if skip_self else F.lit(True))
     scored = pairs.select("query_id", "id", dot(F.col("v"), F.col("qv")).alias("score"))
-    if threshold:
+    if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     return ranked(scored, k)
 

@@ -43,11 +43,20 @@ def config_sanitise(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", c["size"].alias("size"), c["overlap"].alias("overlap"), c["strategy"].alias("strategy"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE coalesce(nullif(trim(left(text, 60)), ''), source) END AS text FROM documents")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN left(text, 60) WHEN 2 THEN 'in ' || source ELSE 'summary: ' || source || chr(10) || 'body: ' || left(text, 60) END AS text FROM documents WHERE trim(left(text, 60)) <> ''""")
 def payload_to_text(spark, sf_dir):
-    """from whichever key has text."""
-    payload = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.lit(" ").alias("text"), F.col("source").alias("body")))).otherwise(F.to_json(F.struct(F.col("source").alias("summary"), F.substring("text", 1, 60).alias("content"))))
-    return read(spark, sf_dir, "documents").select("doc_id", K.payload_text(payload).alias("text"))
+    """a key before another, one that is no string, nested JSON, and lines of the other strings."""
+    said = F.substring("text", 1, 60)
+    shapes = (
+        F.struct(F.lit(7).alias("content"), F.lit(" ").alias("text"), F.col("source").alias("page_content"), said.alias("chunk")),
+        F.struct(F.col("source").alias("text_preview"), said.alias("content")),
+        F.struct(F.to_json(F.struct(F.concat(F.lit("in "), "source").alias("text"))).alias("_node_content"), F.col("source").alias("summary")),
+        F.struct(F.lit("not json").alias("_node_content"), F.col("source").alias("summary"), F.lit("").alias("empty"), said.alias("body"), F.lit(5).alias("n")),
+    )
+    kind, payload = F.col("doc_id") % 4, F.to_json(shapes[3])
+    for k in (2, 1, 0):
+        payload = F.when(kind == k, F.to_json(shapes[k])).otherwise(payload)
+    return read(spark, sf_dir, "documents").where(F.trim(said) != "").select("doc_id", K.payload_text(payload).alias("text"))
 
 
 _MIME_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.MIME.items())
@@ -145,10 +154,15 @@ def job_owner(spark, sf_dir):
     return o.join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left").select("o_orderkey", "c_name", "n_name")
 
 
-@query("SELECT event_id, '10.' || (user_id % 256) || '.0.1' AS address, true AS private FROM events WHERE user_id % 2 = 0 UNION ALL SELECT event_id, '8.8.' || (user_id % 256) || '.1', false FROM events WHERE user_id % 2 <> 0")
+@query("""WITH a AS (SELECT event_id, CASE user_id % 4 WHEN 0 THEN user_id % 256 || '.' || (event_id % 256) || '.2.1' WHEN 1 THEN '192.0.' || (event_id % 8) || '.5' WHEN 2 THEN '172.' || (event_id % 64) || '.0.300' ELSE 'fe80::' || (event_id % 10) END AS address FROM events),
+    p AS (SELECT *, string_split(address, '.') AS s FROM a),
+    n AS (SELECT event_id, address, CASE WHEN regexp_full_match(address, '[0-9]{1,3}([.][0-9]{1,3}){3}') AND list_max(list_transform(s, lambda x: TRY_CAST(x AS INT))) < 256 THEN s[1]::BIGINT * 16777216 + s[2]::BIGINT * 65536 + s[3]::BIGINT * 256 + s[4]::BIGINT END AS n FROM p)
+    SELECT event_id, address, n IS NULL OR n < 16777216 OR n >> 24 IN (10, 127) OR n >> 22 = 401 OR n >> 16 IN (43518, 49320) OR n >> 20 = 2753 OR n >> 8 = 12582914 OR n >> 17 = 25353 OR n >> 28 >= 14 AS private FROM n""")
 def address_class(spark, sf_dir):
     """F24."""
-    a = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("10."), F.col("user_id") % 256, F.lit(".0.1"))).otherwise(F.concat(F.lit("8.8."), F.col("user_id") % 256, F.lit(".1")))
+    kind, of = F.col("user_id") % 4, lambda n: (F.col("event_id") % n).cast("string")
+    a = F.when(kind == 0, F.concat((F.col("user_id") % 256).cast("string"), F.lit("."), of(256), F.lit(".2.1"))).when(kind == 1, F.concat(F.lit("192.0."), of(8), F.lit(".5")))
+    a = a.when(kind == 2, F.concat(F.lit("172."), of(64), F.lit(".0.300"))).otherwise(F.concat(F.lit("fe80::"), of(10)))
     return read(spark, sf_dir, "events").select("event_id", a.alias("address")).withColumn("private", K.is_private(F.col("address")))
 
 

@@ -62,10 +62,10 @@ def chunk_id_v5(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.chunk_id(F.col("source"), F.col("doc_id").cast("string"), F.lit("0"), F.col("text")).alias("chunk_id"))
 
 
-@query("SELECT doc_id, left(sha1('false|' || left(text, 500)), 16) AS fingerprint FROM documents")
+@query("SELECT doc_id, left(sha1('false|' || text), 16) AS fingerprint FROM documents")
 def chunk_fingerprint(spark, sf_dir):
     """F4."""
-    return read(spark, sf_dir, "documents").select("doc_id", X.fingerprint16(F.lit(False), F.substring("text", 1, 500)).alias("fingerprint"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.fingerprint16(F.lit(False), F.col("text")).alias("fingerprint"))
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id DESC) AS rn, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents) SELECT doc_id, source, copies FROM r WHERE rn = 1")
@@ -83,7 +83,16 @@ def dup_family_counts(spark, sf_dir):
     return d.groupBy("copies").agg(F.count(F.lit(1)).alias("families"), F.sum("copies").alias("documents"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '(?m)^([ \t]*)[•·●▪◦‣][ \t]*', '\1- ', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '[ \t]+([，。！？；：、])', '\1', 'g'), '^[ \t\n]+|[ \t\n]+$', '', 'g') || chr(10) AS text FROM documents""")
+_S = r"[ \t\n\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}]"
+
+
+@query(rf"""WITH a AS (SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS t FROM documents),
+    b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g') AS t FROM a),
+    c AS (SELECT doc_id, regexp_replace(replace(replace(t, chr(160), ' '), chr(12288), ' '), '(?m)[ \t]+$', '', 'g') AS t FROM b),
+    d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^([ \t]*)[•‣▪▫◦·●○]{_S.replace(chr(92) + "n", "")}+', '\1- ', 'g'), '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') AS t FROM c),
+    e AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(\*\*|\*|~~|`){_S}+([，。；：、！？）】》”’,.;:!?)\]}}])', '\1\2', 'g'), '([（【《“‘({{\[]){_S}+(\*\*|\*|~~|`)', '\1\2', 'g') AS t FROM d),
+    f AS (SELECT doc_id, regexp_replace(t, '^{_S}+|{_S}+$', '', 'g') AS t FROM e)
+    SELECT doc_id, CASE WHEN t = '' THEN '' ELSE t || chr(10) END AS text FROM f""")
 def clean_markdown(spark, sf_dir):
     """F11."""
     return read(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(F.col("text")).alias("text"))
@@ -208,11 +217,11 @@ def log_clean(spark, sf_dir):
     return e.where((F.col("ts") < F.col("now") - F.make_interval(days=F.lit(10))) & F.col("event_type").isin("view", "click")).groupBy("event_type").agg(F.count(F.lit(1)).alias("gone"))
 
 
-@query("SELECT event_id, event_type, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 72 HOUR AND contains(lower(props), 'a') AND event_type IN ('error', 'view') ORDER BY ts DESC, event_id DESC LIMIT 50")
+@query("SELECT event_id, event_type, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 72 HOUR AND contains(lower(props), '5') AND event_type IN ('error', 'view') ORDER BY ts DESC, event_id DESC LIMIT 50")
 def oplog_search_page(spark, sf_dir):
     """Contains ignores case, as the reference's store does for ASCII."""
     e = _with_now(_events(spark, sf_dir))
-    hit = (F.col("ts") >= F.col("now") - F.make_interval(hours=F.lit(72))) & F.contains(F.lower("props"), F.lit("a")) & F.col("event_type").isin("error", "view")
+    hit = (F.col("ts") >= F.col("now") - F.make_interval(hours=F.lit(72))) & F.contains(F.lower("props"), F.lit("5")) & F.col("event_type").isin("error", "view")
     return e.where(hit).orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(50).select("event_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 

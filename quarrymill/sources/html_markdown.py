@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.functions.text import CLEANING
+
 # What is dropped whole, what breaks a block, and where the main content is looked for.
 DROPPED = frozenset("script style noscript template svg canvas iframe object embed form button input select textarea nav header footer aside link meta".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -86,7 +88,7 @@ def _size(e: Element) -> int:
 
 
 def main_content(root: Element) -> Element:
-    """The first article, main, [role=main], #content or .mw-parser-output with over 80 characters; else the longest container of 200 and more, those mostly of links counting for less, if it still comes to 300; else all."""
+    """The first article, main, [role=main], #content or .mw-parser-output with over 80 characters; else the longest container of 200 and more, those mostly of links counting for less, if it still comes to 300; else the body, or all where there is none."""
     wanted = (lambda e: e.tag == "article", lambda e: e.tag == "main", lambda e: e.attributes.get("role") == "main", lambda e: e.attributes.get("id") == "content", lambda e: "mw-parser-output" in e.attributes.get("class", "").split())
     for is_main in wanted:
         for e in root.walk():
@@ -99,7 +101,7 @@ def main_content(root: Element) -> Element:
             score = n * (0.3 if linked > n / 2 else 1)
             if score > most:
                 best, most = e, score
-    return best if best is not None and most >= BEST_ACCEPTED else root
+    return best if best is not None and most >= BEST_ACCEPTED else next((e for e in root.walk() if e.tag == "body"), root)
 
 
 def _inline(e: Element) -> str:
@@ -189,10 +191,9 @@ def _blocks(e: Element) -> list[str]:
 
 def clean(text: str) -> str:
     """F11 in Python, for the texts that are rendered here."""
-    text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", re.sub(r"\r\n?", "\n", text))
-    text = re.sub(r"(?m)^([ \t]*)[•·●▪◦‣][ \t]*", r"\1- ", text)
-    text = re.sub(r"\n{4,}", "\n\n\n", re.sub(r"(?m)[ \t]+$", "", text))
-    return re.sub(r"[ \t]+([，。！？；：、])", r"\1", text).strip(" \t\n") + "\n"
+    for pattern, by in CLEANING:
+        text = re.sub(pattern, by.replace("$", "\\"), text)
+    return text + "\n" if text else ""
 
 
 def to_markdown(text: str, whole: bool = False) -> str:

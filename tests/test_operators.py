@@ -32,7 +32,11 @@ def test_hashes(spark):
 
 
 def test_text_functions(spark):
-    assert one(spark, X.clean_markdown, "a\r\n• b\n\n\n\n\nc") == "a\n- b\n\n\nc\n"
+    from quarrymill.sources.html_markdown import clean
+
+    cases = {"a\r\n• b\n\n\n\n\nc": "a\n- b\n\n\nc\n", "": "", " \u00a0\n": "", "x\u200by\u3000z": "xy z\n", "**b** 。 c 。": "**b**。 c 。\n", "( **b**": "(**b**\n", "○ \n▫\u2003b": "○\n- b\n", "a \t\nb  ": "a\nb\n"}
+    for text, want in cases.items():
+        assert one(spark, X.clean_markdown, text) == want == clean(text), repr(text)
     marks = one(spark, X.highlight_tokens, "find 向量检索 now")
     assert set(marks) == {"find", "now", "向量检索", "向量检", "量检索", "向量", "量检", "检索"} and [len(m) for m in marks] == sorted(map(len, marks), reverse=True)
     assert one(spark, X.js_round, -2.5, "double") == -2.0
@@ -156,11 +160,18 @@ def test_contracts(spark):
 
     c = one(spark, K.chunk_config, "not json")
     assert (c["size"], c["overlap"], c["parent_size"], c["strategy"], c["protects"]) == (512, 0, 2000, "hybrid", ["code", "table"])
-    assert one(spark, K.mime_of, "md") == "text/markdown"
+    assert one(spark, K.mime_of, "MD") == "text/markdown" and one(spark, K.mime_of, "zzz") == "application/octet-stream"
+    exts = {"text/html; charset=x": "shtml", "image/jpeg": "jpeg", "image/tiff": "tiff", "application/xhtml+xml": "html", "x/pdf": "pdf", "application/msword": "doc", "": ""}
+    assert {m: one(spark, K.ext_of, m) for m in exts} == exts
     assert one(spark, K.payload_text, '{"a": "1", "b": "x"}') == "a: 1\nb: x"
     assert one(spark, K.task_handle, "abc")["ids"] == ["abc"] and one(spark, K.task_handle, '{"kind":') is None
     assert one(spark, K.task_handle, '{"kind":"parts","pages":3,"parts":[{"id":"p","from":1,"to":2}]}')["ids"] == ["p"]
     for shape in ('{"indices":[1,2],"values":[0.5,1.0]}', '[{"index":1,"value":0.5},{"index":2,"value":1.0}]', '{"1":0.5,"2":1.0,"3":0}'):
         assert one(spark, K.sparse_field, shape) == {1: 0.5, 2: 1.0}
-    assert one(spark, K.is_private, "192.168.1.1") and not one(spark, K.is_private, "192.169.1.1")
+    for address in ("192.168.1.1", "192.0.2.5", "abc", "1.2", "999.1.1.1", "", None, "::1", "fe80::1", "fd12::", "::ffff:10.0.0.1", "::ffff:a00:1", "::g", "1.2.3.4\n"):
+        assert one(spark, K.is_private, address), address
+    for address in ("192.169.1.1", "192.0.0.5", "8.8.8.8", "2001:db8::1", "::ffff:8.8.8.8", "::ffff:808:808"):
+        assert not one(spark, K.is_private, address), address
+    payloads = {'{"text": 5, "content": " ", "chunk": " x "}': " x ", '{"_node_content": "{\\"text\\": \\"in\\"}", "a": "b"}': "in", '{"_a": "x", "c": "d", "n": 1, "b": "e"}': "c: d\nb: e", "[1]": "", "no": ""}
+    assert {p: one(spark, K.payload_text, p) for p in payloads} == payloads
     assert one(spark, K.is_retryable, "503") and not one(spark, K.is_retryable, "404")

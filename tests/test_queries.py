@@ -4,6 +4,7 @@ import pytest
 from compare import rows_of, rows_of_sql
 from conftest import SF
 
+from quarrymill.operators import chunking
 from quarrymill.plans import registry
 
 
@@ -17,7 +18,20 @@ def test_equals_its_sql(spark, name):
 
 def test_html_pages_render(spark):
     rows = registry.QUERIES["html_to_markdown"](spark, SF).collect()
-    assert len(rows) == 50 and all(r.markdown.startswith("# ") for r in rows) and not any("<p>" in r.markdown or "track(" in r.markdown for r in rows)
+    assert len(rows) == 50 and not any("<p>" in r.markdown or "track(" in r.markdown for r in rows)
+    # A page whose article is under the least size is rendered from its body, so it begins with whatever its body begins with.
+    short = {r.page_id for r in rows if not r.markdown.startswith("# ")}
+    assert short == {2, 11, 35, 45}
+    titles = {r.page_id: r.title for r in registry.QUERIES["html_title"](spark, SF).collect()}
+    assert not any(titles[r.page_id] and r.markdown.startswith(titles[r.page_id]) for r in rows)
+
+
+def test_least_size_of_a_main_part():
+    from quarrymill.sources.html_markdown import to_markdown
+
+    page = "<html><head><title>T</title></head><body><p>menu</p><article>{}</article></body></html>"
+    assert to_markdown(page.format("x" * 81)) == "x" * 81 + "\n"
+    assert to_markdown(page.format("x" * 80)) == "menu\n\n" + "x" * 80 + "\n"
 
 
 def test_chunks_tile_their_parents(spark):
@@ -26,8 +40,16 @@ def test_chunks_tile_their_parents(spark):
     for r in rows:
         if not r.is_parent:
             p = top[r.doc_id, r.parent_seq]
-            assert p.char_start <= r.char_start < r.char_end <= p.char_end and r.token_count <= 128 and r.parent_id == p.chunk_id
+            assert p.char_start <= r.char_start < r.char_end <= p.char_end and r.parent_id == p.chunk_id
     assert len({r.chunk_id for r in rows}) == len(rows)
+    # Only a piece of one sentence over the size may have more tokens: it is cut by its mean characters per token.
+    assert all(r.token_count <= 128 or len(chunking.sentences(r.text)) == 1 for r in rows if not r.is_parent)
+
+
+def test_hard_cut_goes_by_mean_characters():
+    text = "a " * 100 + "longwordlongword " * 20  # 120 tokens in 540 characters
+    cut = chunking.hard_cut(chunking._part("text", 0, text), 16, 0)
+    assert [p.end - p.start for p in cut] == [72] * 7 + [36] and cut[0].tokens == 36
 
 
 def test_chunk_pages_follow_offsets(spark):
