@@ -5,7 +5,7 @@ from compare import rows_of, rows_of_sql
 from conftest import SF
 
 from quarrymill.operators import chunking
-from quarrymill.plans import registry
+from quarrymill.plans import documents, registry
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -43,7 +43,8 @@ def test_chunks_tile_their_parents(spark):
             assert p.char_start <= r.char_start < r.char_end <= p.char_end and r.parent_id == p.chunk_id
     assert len({r.chunk_id for r in rows}) == len(rows)
     # Only a piece of one sentence over the size may have more tokens: it is cut by its mean characters per token.
-    assert all(r.token_count <= 128 or len(chunking.sentences(r.text)) == 1 for r in rows if not r.is_parent)
+    whole = chunking.chunk_markdown(documents._docs_md(spark, SF), chunking.Config(size=128, overlap=16, parent_size=512)).where("not is_parent").collect()
+    assert len(whole) == len(rows) - len(top) and all(r.token_count <= 128 or len(chunking.sentences(r.text)) == 1 for r in whole)
 
 
 def test_hard_cut_goes_by_mean_characters():
