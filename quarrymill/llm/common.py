@@ -81,8 +81,22 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     """S, so that (S[e] - S[s]) * BASE**-s is a hash of data[s:e] wherever it stands."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=out[1:])
-    return out
+    np.take(BYTE_VALUES, data, out=out[1:])
+    out[1:] *= up[: len(data)]
+    return np.cumsum(out, out=out)
+
+
+def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """span_hashes of all spans of so many bytes, with few arrays in between."""
+    n = max(0, len(sums) - size)
+    h = sums[size:] - sums[:n]
+    h *= powers(len(sums))[1][:n]
+    h += np.uint64(size)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -34,8 +34,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text, with its length and as text: a cut may leave half a character at its ends, for which U+FFFD stands there; kept_sha256 is of the bytes themselves."""
     cut = repeats.remove_repeats(_read(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    left = F.make_valid_utf8(F.col("kept").cast("string"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"), left.alias("kept_text"))
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrymill.llm.common import bitmap, broadcast_bytes, in_bitmap, lists, materialize, mix, prefix_sums, signed, span_hashes, text_slices
+from quarrymill.llm.common import bitmap, broadcast_bytes, gram_hashes, in_bitmap, lists, materialize, mix, prefix_sums, signed, span_hashes, text_slices
 
 LENGTH = 400
 GRAM = 128
@@ -34,16 +34,18 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
     if n < width:
         nothing = np.empty(0, dtype=np.int64)
         return nothing, nothing, nothing.astype(np.uint64), sums
-    at = np.arange(n, dtype=np.int64)
-    hashes = span_hashes(sums, at, at + gram)
-    keys = (hashes >> np.uint64(POSITION_BITS) << np.uint64(POSITION_BITS)) | at.astype(np.uint64)
+    hashes = gram_hashes(sums, gram)
     padded = np.full(-(-n // width) * width, np.uint64(2**64 - 1))
-    padded[:n] = keys
+    np.bitwise_and(hashes, np.uint64(2**64 - (1 << POSITION_BITS)), out=padded[:n])
+    padded[:n] |= np.arange(n, dtype=np.uint64)
     blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    behind = np.empty_like(blocks)
+    np.minimum.accumulate(blocks[:, ::-1], axis=1, out=behind[:, ::-1])
+    ahead = np.minimum.accumulate(blocks, axis=1, out=blocks).ravel()
     windows = n - width + 1
-    anchor = (np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows]) & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
+    anchor = np.minimum(behind.ravel()[:windows], ahead[width - 1 : width - 1 + windows])
+    anchor &= np.uint64((1 << POSITION_BITS) - 1)
+    anchor = anchor.view(np.int64)
     inside = np.zeros(windows + 1, dtype=np.int32)
     sizes = np.diff(offsets)
     whole = sizes >= length
@@ -66,7 +68,7 @@ def _row_keys(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _anchor_counts(docs: DataFrame, length: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch, "text", SLICE_BYTES):
+            for _, _, data, offsets in text_slices(batch, "text"):
                 found, n = np.unique(segments(data, offsets, length)[2], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n.astype(np.int64))], ["anchor", "n"])
 
@@ -79,7 +81,7 @@ def _segments_of(docs: DataFrame, bits, length: int, contents: bool) -> DataFram
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, dtype=np.uint8)
         for batch in batches:
-            for row, end, data, offsets in text_slices(batch, "text", SLICE_BYTES):
+            for row, end, data, offsets in text_slices(batch, "text", SLICE_BYTES if contents else SLICE_BYTES // 4):
                 starts, counts, anchors, sums = segments(data, offsets, length)
                 chosen = np.flatnonzero(in_bitmap(known, anchors)) if len(starts) else starts
                 starts, counts, anchors = starts[chosen], counts[chosen], anchors[chosen]
@@ -101,14 +103,19 @@ def _segments_of(docs: DataFrame, bits, length: int, contents: bool) -> DataFram
     return docs.mapInArrow(cut, "anchor long, seg long, windows long, " + ("content binary" if contents else "doc_id long, text_key long, start long"))
 
 
-def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array, by prefix doubling; the symbols' last is less than all others and single."""
-    n, depth = len(symbols), 4
+def suffix_order(data: np.ndarray) -> np.ndarray:
+    """The suffix array of bytes, by prefix doubling; what ends counts as less than what goes on."""
+    n = len(data)
+    used = np.zeros(256, dtype=np.int64)
+    used[data] = 1
+    bits = int(used.sum()).bit_length()  # symbols are 1 and up, 0 is the end
+    symbols, depth = np.cumsum(used)[data], 62 // bits
     packed = np.zeros(n, dtype=np.int64)
-    for k in range(4):
-        packed = (packed << 15) | np.concatenate([symbols[k:], np.zeros(min(k, n), dtype=np.int64)])
+    for k in range(depth):
+        packed <<= bits
+        packed[: max(0, n - k)] |= symbols[k:]
     while True:
-        order = np.argsort(packed, kind="stable") if depth == 4 else np.argsort(packed)
+        order = np.argsort(packed)
         ordered = packed[order]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
@@ -119,7 +126,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """A run-compressed Burrows-Wheeler transform of texts (each ended by a symbol of its own) with what holds at the ends of its runs.
+    """A run-compressed Burrows-Wheeler transform of texts (each ended by a byte that no text has) with what holds at the ends of its runs.
 
     Kept are the runs' symbols and lengths and, at each run's first and last row, the text position and its longest common prefix with
     the row before the first and after the last. Elsewhere within a run, the position one to the right has a match one shorter, so that
@@ -131,10 +138,8 @@ class RunIndex:
         self.begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         data = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8)
         self.n = len(data)
-        symbols = data.astype(np.int64) + len(texts)
-        symbols[self.begins + sizes - 1] = np.arange(len(texts) - 1, -1, -1)
-        order = suffix_order(symbols)
-        bwt = symbols[order - 1]
+        order = suffix_order(data)
+        bwt = data[order - 1]
         head = np.concatenate([[True], bwt[1:] != bwt[:-1]])
         tail = np.concatenate([head[1:], [True]])
         self.symbols, self.lengths = bwt[head], np.diff(np.append(np.flatnonzero(head), self.n))
@@ -198,8 +203,8 @@ def _hot_marks(content: DataFrame, length: int) -> DataFrame:
             for anchor, seg, content_, distinct in zip(*(batch.column(c) for c in ("anchor", "seg", "content", "distinct")), strict=True):
                 data = np.frombuffer(content_.as_buffer(), dtype=np.uint8)
                 sums, at = prefix_sums(data), np.arange(len(data) - length + 1)
-                hashes = span_hashes(sums, at, at + length)
-                grams = span_hashes(sums, np.arange(width), np.arange(width) + gram) >> np.uint64(POSITION_BITS)
+                hashes = gram_hashes(sums, length)
+                grams = gram_hashes(sums[: width + gram], gram) >> np.uint64(POSITION_BITS)
                 expected = distinct.as_py() * width // 2
                 places = min(width, -(-expected // HOT_WINDOWS))
                 parts = -(-expected // (places * HOT_WINDOWS))
@@ -279,7 +284,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(bits.value, dtype=np.uint8)
         for batch in batches:
-            keys = np.concatenate([_row_keys(prefix_sums(data), offsets) for _, _, data, offsets in text_slices(batch, "text", SLICE_BYTES)]) if batch.num_rows else np.empty(0, dtype=np.int64)
+            keys = np.concatenate([_row_keys(prefix_sums(data), offsets) for _, _, data, offsets in text_slices(batch, "text")]) if batch.num_rows else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(keys), pa.array(in_bitmap(known, keys))], ["doc_id", "text", "text_key", "touched"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
