@@ -140,7 +140,8 @@ class RunIndex:
         self.n = len(data)
         order = suffix_order(data)
         bwt = data[order - 1]
-        head = np.concatenate([[True], bwt[1:] != bwt[:-1]])
+        # The beginning of each text is a run of its own, so that what streams to a position comes from its own text.
+        head = np.concatenate([[True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 255)])
         tail = np.concatenate([head[1:], [True]])
         self.symbols, self.lengths = bwt[head], np.diff(np.append(np.flatnonzero(head), self.n))
         before, after = np.flatnonzero(head[1:]) + 1, np.flatnonzero(tail[:-1])
