@@ -10,16 +10,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.common import materialize
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*\Z|[^<]+|<", re.S | re.I)
+# Comments; elements that only machines read, up to their ends (script and style without one up to the page's, as browsers have it), unless the tag closes itself; declarations; tags; text.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?</\1\s*>|<(?:script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*\Z|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*\Z|[^<]+|<", re.S | re.I)
 MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 # Elements without content, elements whose start ends another, elements that don't break a block, elements and marks of what isn't the article.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr script style noscript template svg iframe textarea".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SCOPES = frozenset("article aside body div footer form header html main nav ol section table td th ul".split())
@@ -29,9 +31,9 @@ ASIDE_MARKS = frozenset("ad ads advert adverts advertisement advertisements bann
 MAIN_TAGS, MAIN_MARKS = ("article", "main"), frozenset({"main", "article"})
 
 MAX_DEPTH = 150
+TEMPLATE_PAGES = 8
 MERGE_FAN = 16
 BROADCAST_HOSTS = 10_000
-FOLD_PAGES = 256
 
 
 class Node:
@@ -59,7 +61,7 @@ def key_of(name: str, attributes: str) -> str:
 def parse(text: str) -> Node:
     """The tree of a page's token stream. Ends that the page leaves out are put in; ends without a start and what only machines read are left out."""
     root = Node("root")
-    # Elements over MAX_DEPTH deep are open by name too, so that their ends end them and none above; edges are the places in names that implied ends look at.
+    # Elements over MAX_DEPTH deep are open by name too, so that their ends end them and none above; what they hold counts as their last ancestor's, but for that of asides, which goes to a node outside the tree. edges are the places in names that implied ends look at.
     stack, names, edges, open_names = [root], ["root"], [], Counter()
 
     def end(at: int) -> None:
@@ -98,7 +100,9 @@ def parse(text: str) -> Node:
         if name not in VOID and not m[4].endswith("/"):
             if name in CLOSES or name in SCOPES:
                 edges.append(len(names))
-            stack.append(node if len(stack) < MAX_DEPTH else stack[-1])
+            stack.append(node if len(stack) < MAX_DEPTH or _is_aside(node.key) else stack[-1])
+            if len(stack) > MAX_DEPTH and stack[-1] is node:
+                stack[-2].kids.pop()
             names.append(name)
             open_names[name] += 1
     return root
@@ -205,9 +209,11 @@ class _Met:
 
     __slots__ = ("key", "nodes", "kids", "changing", "chars")
 
-    def __init__(self, model: Node, nodes: list[Node]) -> None:
+    def __init__(self, model: Node, nodes: list[Node], template: set[int]) -> None:
         self.key, self.nodes, self.kids, self.changing, self.chars = model.key, nodes, [], 0.0, 0.0
         if model.key == "#":
+            if model.text is not None and model.pages >= TEMPLATE_PAGES:
+                template.update(map(id, nodes))
             self.chars = model.chars / model.pages
             # A text of one page isn't known to be the same in others.
             self.changing = self.chars if model.text is None or model.pages == 1 else 0.0
@@ -222,13 +228,12 @@ class _Met:
                     if found is not None:
                         at = found
                         held.setdefault(found, []).append(k)
-            self.kids = [_Met(model.kids[i], x) for i, x in sorted(held.items())]
+            self.kids = [_Met(model.kids[i], x, template) for i, x in sorted(held.items())]
             self.changing, self.chars = sum(k.changing for k in self.kids), sum(k.chars for k in self.kids)
 
 
-def changing_parts(page: Node, wrapper: Node) -> list[Node]:
+def changing_parts(at: _Met) -> list[Node]:
     """The deepest element of a page that holds most of the text that changes among its host's pages, by the parts of the wrapper that this page has, so that other layouts of the host have no say. Where nothing changes, all text counts."""
-    at = _Met(wrapper, [page])
     weight = (lambda x: x.changing) if at.changing else (lambda x: x.chars)
     while True:
         best = max((k for k in at.kids if k.key != "#" and not _is_aside(k.key)), key=weight, default=None)
@@ -238,14 +243,23 @@ def changing_parts(page: Node, wrapper: Node) -> list[Node]:
 
 
 def article_text(page: Node, wrapper: Node) -> str:
-    """The text of a page's article: of all its article elements, or its main elements; where it has none with text, of changing_parts. Menus, headers, footers and the like within it are left out."""
-    for name, anywhere in [(n, a) for a in (False, True) for n in MAIN_TAGS]:
-        if (chosen := _marked(page, name, anywhere)) and (said := _text_of(page, chosen)):
+    """The text of a page's article: of all its article elements, or its main elements; where it has none with text, of changing_parts.
+
+    Left out are menus, headers, footers and the like within it, and what the wrapper has as template: text slots that say the same in
+    each of at least TEMPLATE_PAGES pages of the host that have them. A page of which nothing else is left keeps these.
+    """
+    template: set[int] = set()
+    met = _Met(wrapper, [page], template)
+    for skipped in (template, set()):
+        for name, anywhere in [(n, a) for a in (False, True) for n in MAIN_TAGS]:
+            if (chosen := _marked(page, name, anywhere)) and (said := _text_of(page, chosen, skipped)):
+                return said
+        if said := _text_of(page, changing_parts(met), skipped):
             return said
-    return _text_of(page, changing_parts(page, wrapper))
+    return ""
 
 
-def _text_of(page: Node, chosen: list[Node]) -> str:
+def _text_of(page: Node, chosen: list[Node], template: set[int]) -> str:
     blocks: list[str] = []
     open_block: list[str] = []
     starts = set(map(id, chosen))
@@ -258,7 +272,7 @@ def _text_of(page: Node, chosen: list[Node]) -> str:
     def walk(node: Node, inside: bool) -> None:
         for k in node.kids:
             if k.key == "#":
-                if inside:
+                if inside and id(k) not in template:
                     open_block.append(k.text)
                 continue
             breaks = k.key.split(" ")[0] not in INLINE
@@ -292,11 +306,14 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         seen: dict[str, int] = {}
         for frame in frames:
             for host, text in zip(frame["host"], frame["html"], strict=True):
-                held.setdefault(host, []).append(expression(parse(text)))
-                seen[host] = seen.get(host, 0) + 1
-                if len(held[host]) >= FOLD_PAGES:
-                    held[host] = [_fold(held[host])]
-        part = abs(hash_int(sorted(held))) % MERGE_FAN
+                # Folded as they come, like carries of a binary counter: a host has at most log2(pages) wrappers here.
+                stack, n = held.setdefault(host, []), seen.get(host, 0) + 1
+                stack.append(expression(parse(text)))
+                seen[host] = n
+                while n % 2 == 0:
+                    last = stack.pop()
+                    stack[-1], n = _joined(stack[-1], last), n // 2
+        part = TaskContext.get().partitionId() % MERGE_FAN
         yield pd.DataFrame([(h, part, json.dumps(_fold(w).packed()), seen[h]) for h, w in held.items()], columns=["host", "part", "wrapper", "pages"])
 
     def merge(rows: pd.DataFrame) -> tuple[str, int]:
@@ -313,16 +330,12 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return some.groupBy("host").applyInPandas(last, "host string, wrapper string, pages long")
 
 
-def hash_int(values: list[str]) -> int:
-    return int(hash_of("|".join(values[:64])), 16)
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) for each row: the main text, by the marks of the page itself or else by its host's wrapper, so that a host may have any number of layouts.
 
     Character references are decoded, white space within a block becomes one space, blocks are joined by one space in page order.
     Null html counts as empty and gives an empty text; rows with a null or odd url share one host; a host of one page has that page as
-    its wrapper; repeated rows are extracted each. Elements nested over MAX_DEPTH deep count as part of the last one above.
+    its wrapper; repeated rows are extracted each. Elements nested over MAX_DEPTH deep count as part of the last one above, but asides there are left out as anywhere.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("host", _host())
     wrappers = materialize(infer_wrappers(rows))

@@ -465,6 +465,23 @@ def test_deep_ends_end_nothing_above():
     assert wrappers.article_text(wrappers.parse(outer), wrappers.expression(wrappers.parse(outer))) == "b c"
 
 
+def test_closed_and_open_ends_of_what_machines_read():
+    of = lambda h: wrappers.article_text(wrappers.parse(h), wrappers.expression(wrappers.parse(h)))
+    assert of("<article><p>a</p><svg/><p>b</p><svg w=3 /><p>c</p><svg><path/>no</svg><p>d</p></article>") == "a b c d"
+    assert of("<article><p>a</p><iframe src=x><p>b</p><svg><p>c</p></article><p>no</p>") == "a b c"
+    assert of("<article><p>a</p><script src='x>'/><p>b</p><script>if (a<b) no") == "a b"
+    deep = "<article><p>a</p>" + "<div>" * 160 + "<div class=comments>no<p>no</p></div><div>b</div><div>c</div>" + "</div>" * 160 + "<p>d</p></article>"
+    assert of(deep) == "a b c d"
+
+
+def test_what_a_host_repeats_is_template(spark):
+    said = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, "http://a.example/x", f"<article><h1>t{i}</h1><div class=k7>Read our rules first</div><p>{said(i)}</p><div class=k8>by {i % 3}</div></article><div>end</div>") for i in range(20)]
+    rows += [(100 + i, "http://b.example/x", "<article><p>the same text everywhere</p></article>") for i in range(20)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == {i: f"t{i} {said(i)} by {i % 3}" for i in range(20)} | {100 + i: "the same text everywhere" for i in range(20)}
+
+
 def test_wrapper_expression():
     a, b = (wrappers.expression(wrappers.parse(h)) for h in ("<ul><li>1<li>2</ul><p>x</p><hr>", "<ul><li>3</ul><b>y</b><p>z</p>"))
     assert wrappers.regular_expression(wrappers._joined(a, b)) == "<root><ul>(<li>#</li>)+</ul>(<b>'y'</b>)?<p>#</p>(<hr></hr>)?</root>"
