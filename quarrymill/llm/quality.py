@@ -16,6 +16,7 @@ BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
 LENGTH = 100
 SHARE = 0.8
+EDGE_ROWS = 20_000
 BINS = 1 << 16
 
 
@@ -78,27 +79,33 @@ def importance(docs: DataFrame, ratio: np.ndarray, length: int = LENGTH) -> Data
 def gumbel_top(weights: DataFrame, share: float = SHARE) -> DataFrame:
     """weights with key and kept: a sample without replacement of floor(share * rows) rows, in proportion to exp(log_weight): the highest log_weight plus Gumbel noise, which the id's hash decides. Ties go to the smaller id.
 
-    Counts of keys in BINS bins of equal width tell the bin that the last place falls in; only that bin's rows are ranked.
+    Counts of keys in BINS bins of equal width tell the bin that the last place falls in; that bin is cut again, as often as it has over
+    EDGE_ROWS rows and more than one key, so that however the keys lie only few rows are ranked in one task. Rows of one and the same
+    key beyond that go by id in the same way.
     """
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     keyed = materialize(weights.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))))
-    low, high, rows = keyed.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
-    k = int(share * rows)
-    if not k:
+    places = int(share * keyed.count())
+    if not places:
         return keyed.withColumn("kept", F.lit(False))
-    width = (high - low) / BINS or 1.0
-    binned = keyed.withColumn("bin", F.least(F.floor((F.col("key") - low) / width), F.lit(BINS - 1)).cast("int"))
-    above, edge = 0, 0
-    for r in binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("bin").desc()).collect():  # BINS rows at most
-        edge = r.bin
-        if above + r.n >= k:
-            break
-        above += r.n
-    places = k - above
+    # Where keys are all equal, rows without an id go first and then smaller ids.
+    decided, order = keyed.withColumn("kept", F.lit(None).cast("boolean")), [F.col("key"), F.coalesce(-F.col("doc_id").try_cast("double"), F.lit(1e300))]
+    for by in order:
+        while True:
+            low, high, rows = decided.where("kept is null").agg(F.min(by), F.max(by), F.count(F.lit(1))).first()
+            if rows <= EDGE_ROWS or not low < high or not (width := (high - low) / BINS):
+                break
+            binned = decided.withColumn("bin", F.when(F.col("kept").isNull(), F.least(F.floor((by - low) / width), F.lit(BINS - 1)).cast("int")))
+            counts = binned.where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("bin").desc()).collect()  # BINS rows at most
+            for r in counts:
+                edge = r.bin
+                if r.n >= places:
+                    break
+                places -= r.n
+            decided = binned.withColumn("kept", F.when(F.col("bin") > edge, True).when(F.col("bin") < edge, False).otherwise(F.col("kept"))).drop("bin")
     rank = F.row_number().over(Window.orderBy(F.col("key").desc(), "doc_id"))  # one bin's rows
-    last = binned.where(F.col("bin") == edge).withColumn("kept", rank <= places)
-    others = binned.where(F.col("bin") != edge).withColumn("kept", F.col("bin") > edge)
-    return others.unionByName(last).drop("bin")
+    last = decided.where("kept is null").withColumn("kept", rank <= places)
+    return decided.where("kept is not null").unionByName(last)
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:

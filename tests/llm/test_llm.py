@@ -370,6 +370,18 @@ def test_resampling_is_brute_force(spark, docs_of):
     assert quality.resample(docs_of([]), labels).count() == 0
 
 
+def test_gumbel_top_cuts_the_edge_again(spark, monkeypatch):
+    monkeypatch.setattr(quality, "EDGE_ROWS", 3)
+    monkeypatch.setattr(quality, "BINS", 4)
+    r = random.Random(7)
+    rows = [(i, r.choice([0.0, 0.0, 1.0, 1e6])) for i in range(60)] + [(3, 0.0)] * 5 + [(None, 0.0)]
+    weights = spark.createDataFrame(rows, "doc_id long, log_weight double")
+    for share in (0.0, 0.1, 0.5, 0.95, 1.0):
+        got = quality.gumbel_top(weights, share).collect()
+        ranked = sorted(got, key=lambda x: (-x.key, -1 if x.doc_id is None else x.doc_id))
+        assert [x.kept for x in ranked] == [k < int(share * len(rows)) for k in range(len(rows))]
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     held = queries.op7_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 4 == 2), "doc_id").collect()
