@@ -87,6 +87,28 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return rows.withColumn("position", (F.row_number().over(Window.orderBy(*order)) + start).cast("long"))
 
 
+def scroll(points: DataFrame, key: str, after: int | None, size: int) -> DataFrame:
+    """The next points by key after the last one seen (all from the first where there is none), up to 1 000: a condition on the key and a limit, so no page costs more than another."""
+    rest = points if after is None else points.where(F.col(key) > after)
+    return rest.orderBy(key).limit(max(1, min(1_000, size)))
+
+
+def key_diff(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """A row for each key of either of two JSON objects whose values differ: the other columns, key, before and after (null where it has none)."""
+    of = lambda c: F.coalesce(F.from_json(F.col(c), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    others = [c for c in rows.columns if c not in (before, after)]
+    maps = rows.select(*others, of(before).alias("_before"), of(after).alias("_after"))
+    keys = maps.withColumn("key", F.explode(F.array_union(F.map_keys("_before"), F.map_keys("_after"))))
+    both = keys.select(*others, "key", F.try_element_at("_before", "key").alias("before"), F.try_element_at("_after", "key").alias("after"))
+    return both.where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def reached(chunks: DataFrame, doc: str) -> DataFrame:
+    """Chunks (doc, c_start, c_end) with the furthest end of those up to each in their document's order; none that begins before it can be found further back."""
+    order = Window.partitionBy(doc).orderBy("c_start", "c_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return chunks.withColumn("reached", F.max("c_end").over(order))
+
+
 def splice(offsets: DataFrame, start: Column, end: Column, added: Column) -> DataFrame:
     """Offsets (a, b) after [start, end) of their document becomes `added` characters, in one pass: later ones shift, those that span it stretch, those within it fall to its start and end."""
     delta = added - (end - start)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -114,7 +115,10 @@ def _shared(spark) -> str:
     import tempfile
 
     sc = spark.sparkContext
-    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-stream-")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -171,3 +171,19 @@ def cancelled_jobs(spark, sf_dir):
     """ST6, K3: jobs without those in a table of tombstones."""
     e = read(spark, sf_dir, "events").select("event_id", "event_type")
     return T.cascade(e, e.where("event_id % 4 = 0").select(F.col("event_id").alias("gone")), "event_id", "gone").select("event_id", "event_type")
+
+
+@query("SELECT vec_id, label, len(embedding) AS dims FROM embeddings WHERE label IN (1, 2) AND vec_id > 100 ORDER BY vec_id LIMIT 50")
+def scroll_points(spark, sf_dir):
+    """With a filter, from a cursor."""
+    points = read(spark, sf_dir, "embeddings").where(F.col("label").isin(1, 2))
+    return T.scroll(points, "vec_id", 100, 50).select("vec_id", "label", F.size("embedding").cast("long").alias("dims"))
+
+
+@query("""SELECT event_id, 'size' AS key, CAST(user_id % 3 AS VARCHAR) AS before, CAST(event_id % 3 AS VARCHAR) AS after FROM events WHERE user_id % 3 <> event_id % 3
+    UNION ALL SELECT event_id, 'strategy', event_type, NULL FROM events UNION ALL SELECT event_id, 'overlap', NULL, CAST(user_id % 2 AS VARCHAR) FROM events""")
+def config_key_diff(spark, sf_dir):
+    """A key in both, one gone and one new."""
+    before = F.to_json(F.struct((F.col("user_id") % 3).alias("size"), F.col("event_type").alias("strategy")))
+    after = F.to_json(F.struct((F.col("event_id") % 3).alias("size"), (F.col("user_id") % 2).alias("overlap")))
+    return T.key_diff(read(spark, sf_dir, "events").select("event_id", before.alias("old"), after.alias("new")), "old", "new")

@@ -331,6 +331,14 @@ def layout_overlap_join(spark, sf_dir):
     return pairs.groupBy("doc_id", "c_start").agg(F.count(F.lit(1)).alias("n_blocks"), F.min_by("idx", "b_start").alias("first_block"), F.max_by("idx", "b_start").alias("last_block"))
 
 
+@query(f"WITH {_BLOCKS}, two AS (SELECT doc_id, c_start, c_end FROM chunks UNION ALL SELECT doc_id, CAST(0 AS BIGINT), max(c_end) FROM chunks WHERE c_start < 1400 GROUP BY 1) SELECT doc_id, c_start, c_end, max(c_end) OVER (PARTITION BY doc_id ORDER BY c_start, c_end ROWS UNBOUNDED PRECEDING) AS reached FROM two")
+def prefix_max_end(spark, sf_dir):
+    """Windows, and one over the first two of a document."""
+    c = _chunks(spark, sf_dir)
+    two = c.unionByName(c.where("c_start < 1400").groupBy("doc_id").agg(F.lit(0).cast("long").alias("c_start"), F.max("c_end").alias("c_end")))
+    return T.reached(two, "doc_id").select("doc_id", "c_start", "c_end", "reached")
+
+
 @query(f"WITH {_BLOCKS}, two AS (SELECT * FROM chunks UNION ALL SELECT doc_id, CAST(0 AS BIGINT), max(c_end) FROM chunks GROUP BY 1) SELECT doc_id, CAST(idx AS INTEGER) AS idx, c_start, c_end FROM blocks JOIN two USING (doc_id) WHERE b_start < c_end AND b_end > c_start AND c_start <= b_start QUALIFY row_number() OVER (PARTITION BY doc_id, idx ORDER BY c_end - c_start, c_start) = 1")
 def narrowest_cover(spark, sf_dir):
     """Windows and the whole document both cover a line; the window is narrower."""
