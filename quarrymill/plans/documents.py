@@ -128,4 +128,4 @@ def stream_dedup_counts(spark, sf_dir):
     at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     jobs.upsert_batches(jobs.deduplicated(stream, late="40 days"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return jobs.upserted(spark, f"{at}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

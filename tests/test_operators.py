@@ -175,3 +175,11 @@ def test_contracts(spark):
     payloads = {'{"text": 5, "content": " ", "chunk": " x "}': " x ", '{"_node_content": "{\\"text\\": \\"in\\"}", "a": "b"}': "in", '{"_a": "x", "c": "d", "n": 1, "b": "e"}': "c: d\nb: e", "[1]": "", "no": ""}
     assert {p: one(spark, K.payload_text, p) for p in payloads} == payloads
     assert one(spark, K.is_retryable, "503") and not one(spark, K.is_retryable, "404")
+
+
+def test_upserts_of_a_key_in_two_batches(spark, tmp_path):
+    from quarrymill.streaming import jobs
+
+    for batch, rows in ((0, [(1, "a"), (2, "b")]), (10, [(1, "c")]), (9, [(1, "d"), (3, None)])):
+        spark.createDataFrame(rows, "event_id long, v string").write.parquet(f"{tmp_path}/out/batch={batch}")
+    assert sorted((r.event_id, r.v) for r in jobs.upserted(spark, f"{tmp_path}/out").collect()) == [(1, "c"), (2, "b"), (3, None)]
