@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrymill.llm.common import materialize
 
-BUNDLES_PER_SHARD = 1_024
-SLOT_ROWS = 20_000
+LARGE_PER_SHARD = 1_024
+CLASS_BITS = 9  # leading bits of a size that make its class: sizes of a class differ by less than 1/256, those under 512 not at all
+PART_ROWS = 20_000
 
 
 class Room:
@@ -62,51 +63,65 @@ class Room:
         return best
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item. sizes are sorted down; an item over the capacity gets a bin of its own."""
+def best_fit_runs(runs: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
+    """(run, bin, items) of best fit over runs (size, count) of equal items, sizes sorted down.
+
+    The tightest bin that takes an item stays the tightest for its like until it holds no more, so a run fills bin after bin, and the result is
+    that of item by item. An item over the capacity gets a bin of its own.
+    """
     room, bins, out = Room(), 0, []
-    for size in sizes:
-        if (found := room.take(size)) is None:
-            found, bins = (capacity, bins), bins + 1
-        out.append(found[1])
-        if found[0] > size:
-            room.add(found[0] - size, found[1])
+    for run, (size, count) in enumerate(runs):
+        while count:
+            if (found := room.take(size)) is None:
+                found, bins = (capacity, bins), bins + 1
+            n = max(1, min(count, found[0] // size))
+            out.append((run, found[1], n))
+            count -= n
+            if found[0] > n * size:
+                room.add(found[0] - n * size, found[1])
     return out
 
 
-def pack(sizes: list[int], shards: int) -> list[int]:
-    """The bins, at most shards, of sizes sorted down: under the least capacity (found by bisection) for which best fit needs no more. An item over its fair share of what is left has a bin of its own, while there is another."""
-    alone, rest = 0, sum(sizes)
-    while alone < len(sizes) - 1 and alone < shards - 1 and sizes[alone] * (shards - alone) > rest:
-        rest -= sizes[alone]
-        alone += 1
-    shared, left = sizes[alone:], shards - alone
-    if not shared:
+def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
+    """The bin of each item. sizes are sorted down; an item over the capacity gets a bin of its own."""
+    return [bin_ for _, bin_, _ in best_fit_runs([(size, 1) for size in sizes], capacity)]
+
+
+def pack(runs: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """(run, bin, items), bins under shards, for runs (size, count) sorted down: under the least capacity (found by bisection) for which best fit needs no more. An item over its fair share of what is left has a bin of its own, while there is another."""
+    rest, items = sum(size * count for size, count in runs), sum(count for _, count in runs)
+    alone: list[int] = []
+    for run, (size, count) in enumerate(runs):
+        while count and len(alone) < min(items, shards) - 1 and size * (shards - len(alone)) > rest:
+            alone.append(run)
+            rest -= size
+            count -= 1
+        if count:
+            break
+    if not items:
         return []
-    low, high = max(shared[0], -(-rest // left)), shared[0] - (-2 * rest // left)
-    best = best_fit_decreasing(shared, high)
+    shared, left = [(runs[run][0], count), *runs[run + 1 :]], shards - len(alone)
+    low, high = max(shared[0][0], -(-rest // left)), shared[0][0] - (-2 * rest // left)
+    best = best_fit_runs(shared, high)
     while high - low > max(0, high >> 13):
         middle = (low + high) // 2
-        bins = best_fit_decreasing(shared, middle)
-        if max(bins) < left:
-            best, high = bins, middle
+        placed = best_fit_runs(shared, middle)
+        if max(b for _, b, _ in placed) < left:
+            best, high = placed, middle
         else:
             low = middle + 1
-    return [*range(alone), *(alone + b for b in best)]
-
-
-def _mapping(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    return [*((r, b, 1) for b, r in enumerate(alone)), *((run + r, len(alone) + b, n) for r, b, n in best)]
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard): law is `bytes`, so sizes per shard are near equal and grown_shard is null.
 
-    Rows with equal texts form a group, which never splits. Groups of at least 1/BUNDLES_PER_SHARD of a shard (at most shards *
-    BUNDLES_PER_SHARD of them, whatever the input) are items of the packing; smaller ones are first joined by the hash of their text
-    into as many bundles at most, each an item. So the packing is of a bounded number of items and runs on the driver in sorted order;
-    everything that grows with the input stays in Spark. A group larger than a shard gets a shard of its own and the others share the
-    rest. Null texts form a group of size 1 a row, empty texts another. Repeated rows are rows of their own with slots of their own.
+    Rows with equal texts form a group, which never splits and is an item of the packing. Groups with over 1/LARGE_PER_SHARD of a shard's bytes
+    or rows (so a fixed number at any scale) stand for themselves. The others are runs of equal items: by the leading CLASS_BITS bits of their
+    size, of which there are some thousands at most, each run's items counting by their mean size. So best fit sees every group, runs on the driver
+    over a bounded list in sorted order, and gives each class a list of (items, shard); a group takes its shard by its number within its class,
+    counted in small parts over the executors. A group larger than a shard gets a shard of its own and the others share the rest. Null texts form
+    a group of size 1 a row, empty texts another. Repeated rows are rows of their own with slots of their own; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
@@ -116,28 +131,41 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("content"),
     ))
-    groups = rows.groupBy("content").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    groups = materialize(groups)
+    groups = materialize(rows.groupBy("content").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
     total, n_rows = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    least = max(1, total // (shards * BUNDLES_PER_SHARD))
-    bundle = F.pmod(F.xxhash64("content"), F.lit(shards * BUNDLES_PER_SHARD)).cast("int")
-    large = [(bytes(r.content), -1, r.bytes) for r in groups.where(F.col("bytes") > least).collect()]
-    small = [(None, r.bundle, r.bytes) for r in groups.where(F.col("bytes") <= least).groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes")).collect()]
-    items = sorted([*large, *small], key=lambda x: (-x[2], x[0] or b"", x[1]))
-    bins = pack([x[2] for x in items], shards)
-    placed = [(*x, b) for x, b in zip(items, bins, strict=True)]
-    of_large = _mapping(spark, [(bytearray(c), b) for c, _, _, b in placed if c is not None], "content binary, large_shard int")
-    of_small = _mapping(spark, [(i, b) for c, i, _, b in placed if c is None], "bundle int, small_shard int")
-    put = rows.withColumn("bundle", bundle).join(F.broadcast(of_large), "content", "left").join(F.broadcast(of_small), "bundle", "left")
-    put = put.withColumn("shard", F.coalesce("large_shard", "small_shard", F.lit(0)).cast("int"))
-
-    # Slots: rows are numbered within small parts of a shard, from where the parts before them end.
-    parts = max(1, n_rows // (shards * SLOT_ROWS))
-    put = put.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int"))
-    counts = put.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).drop("n")
-    order = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
-    numbered = put.withColumn("at", F.row_number().over(order)).join(starts, ["shard", "part"])
-    return numbered.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+    parts_of = shards * LARGE_PER_SHARD
+    is_large = (F.col("bytes") > max(1, total // parts_of)) | (F.col("n") > max(1, n_rows // parts_of))
+    shift = F.greatest(F.length(F.bin("bytes")) - CLASS_BITS, F.lit(0))
+    small = groups.where(~is_large).withColumn("shift", shift).select("content", "bytes", (F.col("shift") * (2 << CLASS_BITS) + F.expr("shiftright(bytes, shift)")).alias("class"))
+    classes = small.groupBy("class").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
+
+    runs = [(r.bytes, 1, bytes(r.content)) for r in groups.where(is_large).collect()] + [(-(-r.bytes // r.n), r.n, r["class"]) for r in classes]
+    runs.sort(key=lambda x: (-x[0], isinstance(x[2], int), x[2]))
+    of_large, of_class = [], {}
+    for run, shard, items in pack([(size, count) for size, count, _ in runs], shards):
+        key = runs[run][2]
+        if isinstance(key, bytes):
+            of_large.append((bytearray(key), shard))
+        else:
+            ends, to = of_class.setdefault(key, ([], []))
+            ends.append((ends[-1] if ends else 0) + items)
+            to.append(shard)
+    large_shards = F.broadcast(spark.createDataFrame(of_large, "content binary, shard int"))
+    class_shards = spark.createDataFrame([(c, 1 + ends[-1] // PART_ROWS, ends, to) for c, (ends, to) in of_class.items()], "class long, parts long, ends array<long>, shards array<int>")
+
+    dealt = small.join(F.broadcast(class_shards.select("class", "parts")), "class").select("content", "class", F.pmod(F.xxhash64("content"), F.col("parts")).alias("part"))
+    numbered = _numbered(dealt, "class", F.col("content")).join(F.broadcast(class_shards), "class")
+    small_shards = numbered.select("content", F.element_at("shards", F.size(F.filter("ends", lambda end: end <= F.col("at"))) + 1).alias("shard"))
+    # Groups of many rows are all large, so no key of the second join is hot.
+    put = rows.join(large_shards, "content").unionByName(rows.join(large_shards, "content", "left_anti").join(small_shards, "content"))
+    put = put.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 + n_rows // PART_ROWS)).alias("part"))
+    slots = _numbered(materialize(put), "shard", F.col("doc_id"), F.col("text_crc32"), F.col("size"))
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("at").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _numbered(rows: DataFrame, by: str, *order: Column) -> DataFrame:
+    """rows with at: gapless from 0 within by, by part and then order. Rows are numbered within small parts, from where the parts before them end."""
+    counts = rows.groupBy(by, "part").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.withColumn("start", F.sum("n").over(Window.partitionBy(by).orderBy("part")) - F.col("n")).drop("n")
+    within = F.row_number().over(Window.partitionBy(by, "part").orderBy(*order))
+    return rows.withColumn("within", within).join(starts, [by, "part"]).withColumn("at", (F.col("start") + F.col("within") - 1).cast("long")).drop("start", "within")

@@ -270,6 +270,39 @@ def test_best_fit_is_brute_force():
         assert max(got) == max(want) and fill(got) == fill(want) and max(fill(got)) <= 100
 
 
+def test_runs_of_equal_items_are_item_by_item():
+    r = random.Random(8)
+    for _ in range(50):
+        runs = [(size, r.randint(1, 30)) for size in sorted(r.sample(range(1, 130), 12), reverse=True)]
+        fills, singly = Counter(), Counter()
+        for run, b, n in sharding.best_fit_runs(runs, 100):
+            fills[b] += runs[run][0] * n
+        sizes = [size for size, count in runs for _ in range(count)]
+        for size, b in zip(sizes, sharding.best_fit_decreasing(sizes, 100), strict=True):
+            singly[b] += size
+        assert sorted(fills.values()) == sorted(singly.values())
+        placed = sharding.pack(runs, 7)
+        assert Counter({run: sum(n for r_, _, n in placed if r_ == run) for run in range(12)}) == Counter({run: count for run, (_, count) in enumerate(runs)})
+        assert {b for _, b, _ in placed} <= set(range(7))
+    assert sharding.pack([], 4) == [] and [b for _, b, _ in sharding.pack([(9, 1)], 4)] == [0]
+
+
+def test_shards_by_size_classes(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(sharding, "LARGE_PER_SHARD", 8)
+    monkeypatch.setattr(sharding, "PART_ROWS", 40)
+    r = random.Random(9)
+    rows = [(i, f"{i % 900} " + "w" * (r.randint(0, 20) if i % 3 else r.randint(0, 900))) for i in range(1_500)] + [(5_000 + i, "") for i in range(900)] + [(9_000 + i, "twice") for i in range(2)]
+    got = sharding.shard_documents(docs_of(rows)).collect()
+    sums, slots, of = Counter(), {}, {}
+    for x in got:
+        sums[x.shard] += x.size
+        slots.setdefault(x.shard, []).append(x.slot)
+        of.setdefault(dict(rows)[x.doc_id], set()).add(x.shard)
+    assert len(got) == len(rows) and set(sums) == set(range(16)) and all(len(s) == 1 for s in of.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sums.values()) - min(sums.values()) < 0.02 * max(sums.values())
+
+
 def test_shards(spark, docs_of):
     r = random.Random(7)
     rows = [(i, "x" * r.randint(0, 300) + str(i % 250)) for i in range(600)] + [(1_000 + i, "copy" * 20) for i in range(100)] + EDGES
