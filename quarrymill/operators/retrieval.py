@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +16,9 @@ from quarrymill.functions.text import fnv1a, tokens
 SPARSE_DIM = 65_536
 BM25_K1, BM25_B = 1.5, 0.75
 RRF_K, RRF_WEIGHTS = 60, (0.5, 0.5)
-BLOCK_QUERIES = 10_000
+PASS_QUERIES, PASS_ENTRIES = 4_096, 1 << 22  # queries of one pass over the points, and their components
+STEP_CELLS = 1 << 22
+MERGE_PARTS = 256
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -39,16 +46,116 @@ def ranked(scored: DataFrame, k: int | None, score: str = "score", id_col: str =
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def _recall(queries: DataFrame, size: Column, points: DataFrame, k: int | None, threshold: float | None, skip_self: bool, prepare: Callable, scores: Callable) -> DataFrame:
+    """(query_id, id, score, rank) of queries against all points, brute force.
+
+    Queries, a stated set, are dealt to passes of a bounded number of queries and components. A pass goes to all executors, where each task
+    scores its points by blocks of arrays and keeps k per query; the tasks' lists are merged in parts, then by query. So points are never shuffled,
+    common terms make no hot key, and no pair leaves a task but what may be among the best. Without k, all pairs at the threshold come.
+    """
+    n, entries = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    passes = max(1, -(-n // PASS_QUERIES), -(-entries // PASS_ENTRIES))
+    kinds = queries.schema["query_id"].dataType.simpleString(), points.schema["id"].dataType.simpleString()
+    floor = -np.inf if threshold is None else threshold
+    found = []
+    for i in range(passes):
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i).toPandas()
+        held = points.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), prepare(asked)))
+        found.append(points.mapInPandas(_scan(held, k, floor, skip_self, scores), f"part int, query_id {kinds[0]}, id {kinds[1]}, score double"))
+    lists = found[0]
+    for more in found[1:]:
+        lists = lists.unionByName(more)
+    if k is not None:
+        order = Window.partitionBy("query_id", "part").orderBy(F.round("score", 9).desc(), "id")
+        lists = lists.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k).drop("at")
+    return ranked(lists.drop("part"), k)
+
+
+def _scan(held, k: int | None, floor: float, skip_self: bool, scores: Callable) -> Callable:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, data = held.value
+        part = TaskContext.get().partitionId() % MERGE_PARTS
+        floors = np.full(len(names), floor)
+        best = pd.DataFrame({"q": np.empty(0, np.int64), "id": [], "score": np.empty(0)})
+        out = lambda df: pd.DataFrame({"part": part, "query_id": names[df["q"].to_numpy()], "id": df["id"].to_numpy(), "score": df["score"].to_numpy()})
+        for batch in batches:
+            for ids, block in scores(data, batch):
+                row, q = np.nonzero((block >= floor) & (np.round(block, 9) >= np.round(floors, 9)))
+                some = pd.DataFrame({"q": q, "id": ids[row], "score": block[row, q]})
+                if skip_self:
+                    some = some[some["id"].to_numpy() != names[q]]
+                if k is None:
+                    yield out(some)
+                elif len(some):
+                    both = (pd.concat([best, some]) if len(best) else some).assign(at=lambda x: x["score"].round(9))
+                    both = both.sort_values(["q", "at", "id"], ascending=[True, False, True], kind="stable")
+                    best = both[both.groupby("q").cumcount() < k].drop(columns="at")
+                    full = best.groupby("q")["score"].agg(["size", "min"])
+                    full = full[full["size"] == k]
+                    floors[full.index.to_numpy()] = np.maximum(floor, full["min"].to_numpy())
+        if len(best):
+            yield out(best)
+
+    return scan
+
+
 def postings_topk(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) by inner product of postings (id, idx, w); points that share no term with a query don't come."""
-    q = queries.select(F.col("id").alias("query_id"), "idx", F.col("w").alias("query_w"))
-    # A common term's points meet all the queries that have it: partial sums by (query, point) shrink that before the exchange.
-    scored = points.join(q, "idx").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("query_w")).alias("score"))
-    return ranked(scored, k)
 
+    def prepare(asked: pd.DataFrame) -> tuple:
+        sizes = asked["idx"].map(len).to_numpy(dtype=np.int64)
+        idx = np.concatenate([*asked["idx"], np.empty(0)]).astype(np.int64)
+        order = np.argsort(idx, kind="stable")
+        terms, first = np.unique(idx[order], return_index=True)
+        return terms, np.append(first, len(idx)), np.repeat(np.arange(len(asked)), sizes)[order], np.concatenate([*asked["w"], np.empty(0)]).astype(float)[order], len(asked)
+
+    def scores(held: tuple, batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        terms, first, asks, weights, n = held
+        step = max(1, STEP_CELLS // max(1, len(asks)))
+        for at in range(0, len(batch) if len(terms) else 0, step):
+            some = batch.iloc[at : at + step]
+            idx, w = np.concatenate([*some["idx"]]).astype(np.int64), np.concatenate([*some["w"]]).astype(float)
+            row = np.repeat(np.arange(len(some)), some["idx"].map(len))
+            term = np.minimum(np.searchsorted(terms, idx), len(terms) - 1)
+            known = terms[term] == idx
+            row, w, term = row[known], w[known], term[known]
+            meets = first[term + 1] - first[term]
+            posting = np.arange(meets.sum()) + np.repeat(first[term] - (np.cumsum(meets) - meets), meets)
+            cell = np.repeat(row, meets) * n + asks[posting]
+            block = np.bincount(cell, np.repeat(w, meets) * weights[posting], len(some) * n)
+            block[np.bincount(cell, minlength=len(block)) == 0] = np.nan
+            yield some["id"].to_numpy(), block.reshape(len(some), n)
+
+    def vectors(postings: DataFrame, name: str) -> DataFrame:
+        together = postings.groupBy(F.col("id").alias(name)).agg(F.collect_list(F.struct("idx", "w")).alias("v"))
+        return together.select(name, "v.idx", "v.w")
+
+    return _recall(vectors(queries, "query_id"), F.size("idx"), vectors(points, "id"), k, None, False, prepare, scores)
+
+
+def dense_topk(queries: DataFrame, points: DataFrame, k: int | None, threshold: float | None = None, skip_self: bool = False) -> DataFrame:
+    """(query_id, id, score, rank) by cosine of unit vectors, every query (query_id, qv) against every point (id, v).
+
+    Brute force, as the reference's index is by default, by matrix products. Without k, all that reach the threshold come. Null vectors, those
+    with null components, and pairs of different lengths take no part.
+    """
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    def prepare(asked: pd.DataFrame) -> dict:
+        sizes = asked["qv"].map(len)
+        return {d: (np.flatnonzero(sizes == d), np.stack([*asked["qv"][sizes == d]]).astype(float)) for d in sizes.unique()} | {None: len(asked)}
+
+    def scores(held: dict, batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = held[None]
+        for d, same in batch.groupby(batch["v"].map(len)):
+            if d in held:
+                step = max(1, STEP_CELLS // max(n, d))
+                for at in range(0, len(same), step):
+                    some = same.iloc[at : at + step]
+                    block = np.full((len(some), n), np.nan)
+                    block[:, held[d][0]] = np.stack([*some["v"]]).astype(float) @ held[d][1].T
+                    yield some["id"].to_numpy(), block
+
+    return _recall(queries.where("qv is not null").select("query_id", "qv"), F.size("qv"), points.where("v is not null").select("id", "v"), k, threshold, skip_self, prepare, scores)
 
 
 def filter_column(spec: dict) -> Column:
@@ -78,25 +185,6 @@ def filter_column(spec: dict) -> Column:
     return out
 
 
-def dense_topk(queries: DataFrame, points: DataFrame, k: int, threshold: float | None = None, skip_self: bool = False) -> DataFrame:
-    """(query_id, id, score, rank) by cosine of unit vectors, every query (query_id, qv) against every point (id, v).
-
-    Brute force, as the reference's index is by default. The queries are a stated set: they are sent to all executors only while few,
-    and otherwise dealt with the points in blocks.
-    """
-    if queries.count() <= BLOCK_QUERIES:
-        pairs = points.join(F.broadcast(queries), F.col("id") != F.col("query_id") if skip_self else F.lit(True))
-    else:
-        blocks = 64
-        q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        p = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-        pairs = p.join(q, ["block"]).where(F.col("id") != F.col("query_id") if skip_self else F.lit(True))
-    scored = pairs.select("query_id", "id", dot(F.col("v"), F.col("qv")).alias("score"))
-    if threshold is not None:
-        scored = scored.where(F.col("score") >= threshold)
-    return ranked(scored, k)
-
-
 def rrf(dense: DataFrame, sparse: DataFrame, k: int = RRF_K, weights: tuple[float, float] = RRF_WEIGHTS) -> DataFrame:
     """V9: (query_id, id, score, dense_rank, sparse_rank): the sum of weight / (k + rank) over ranked lists; ties go to the better dense rank, then the better sparse rank."""
     both = dense.select("query_id", "id", (F.lit(weights[0]) / (F.lit(k) + F.col("rank"))).alias("s"), F.col("rank").alias("dense_rank"), F.lit(None).cast("int").alias("sparse_rank")).unionByName(
@@ -117,17 +205,18 @@ def dbsf(dense: DataFrame, sparse: DataFrame, weights: tuple[float, float] = RRF
 
 def bm25(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score) of candidates (query_id, id, text, rank) for queries (query_id, query): document counts and mean length are of a query's own candidates; scores are over the best one's, those of 0 don't come."""
-    cand = candidates.select("query_id", "id", F.transform(tokens(F.col("text")), F.lower).alias("toks"))
-    sized = cand.select("query_id", "id", F.size("toks").alias("len"), "toks")
-    per_query = sized.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(tokens(F.col("query")), F.lower))).alias("token"))
-    tf = sized.select("query_id", "id", "len", F.explode("toks").alias("token")).groupBy("query_id", "id", "len", "token").agg(F.count(F.lit(1)).alias("tf")).join(terms, ["query_id", "token"])
-    df = tf.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    # Everything is counted within a query, so that its candidates move once and are recalled once.
+    own = Window.partitionBy("query_id")
+    sized = candidates.select("query_id", "id", F.transform(tokens(F.col("text")), F.lower).alias("toks")).withColumn("len", F.size("toks"))
+    sized = sized.withColumns({"n": F.count(F.lit(1)).over(own), "avgdl": F.avg("len").over(own)})
+    terms = queries.select("query_id", F.array_distinct(F.transform(tokens(F.col("query")), F.lower)).alias("terms"))
+    each = sized.join(terms, "query_id").select("query_id", "id", "len", "n", "avgdl", "toks", F.explode("terms").alias("token"))
+    tf = each.withColumn("tf", F.size(F.filter("toks", lambda t: t == F.col("token")))).where("tf > 0").drop("toks")
+    tf = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("query_id", "token")))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.greatest("avgdl", F.lit(1e-9))))
-    raw = tf.join(df, ["query_id", "token"]).join(per_query, "query_id").groupBy("query_id", "id").agg(F.sum(weight).alias("raw"))
-    best = F.max("raw").over(Window.partitionBy("query_id"))
-    return raw.where("raw > 0").select("query_id", "id", (F.col("raw") / best).alias("score"))
+    raw = tf.groupBy("query_id", "id").agg(F.sum(weight).alias("raw"))
+    return raw.where("raw > 0").withColumn("best", F.max("raw").over(own)).select("query_id", "id", (F.col("raw") / F.col("best")).alias("score"))
 
 
 def evaluate(expected: DataFrame, hits: DataFrame) -> DataFrame:

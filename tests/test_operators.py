@@ -183,3 +183,24 @@ def test_upserts_of_a_key_in_two_batches(spark, tmp_path):
     for batch, rows in ((0, [(1, "a"), (2, "b")]), (10, [(1, "c")]), (9, [(1, "d"), (3, None)])):
         spark.createDataFrame(rows, "event_id long, v string").write.parquet(f"{tmp_path}/out/batch={batch}")
     assert sorted((r.event_id, r.v) for r in jobs.upserted(spark, f"{tmp_path}/out").collect()) == [(1, "c"), (2, "b"), (3, None)]
+
+
+def test_recall_in_passes_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(R, "PASS_QUERIES", 3)
+    monkeypatch.setattr(R, "STEP_CELLS", 40)
+    r = random.Random(3)
+    points = {i: [float(r.randint(-2, 2)) for _ in range(4)] for i in range(120)}
+    asked = {i: points[i] for i in range(0, 120, 11)}
+    df = spark.createDataFrame([*points.items(), (900, None), (901, [1.0]), (902, [None, 1.0, 1.0, 1.0])], "id long, v array<double>")
+    queries = spark.createDataFrame([*asked.items(), (903, None)], "query_id long, qv array<double>")
+    score = {(q, i): sum(a * b for a, b in zip(x, v)) for q, x in asked.items() for i, v in points.items() if q != i}
+    best = lambda q, k, least: [(i, s) for s, i in sorted(((s, i) for (a, i), s in score.items() if a == q and s >= least), key=lambda x: (-x[0], x[1]))][:k]
+    for k, threshold in ((5, None), (5, 0.0), (None, 3.0)):
+        got = R.dense_topk(queries, df, k, threshold, skip_self=True).orderBy("query_id", "rank").collect()
+        want = [(q, i, s, n + 1) for q in asked for n, (i, s) in enumerate(best(q, k, -99 if threshold is None else threshold))]
+        assert [(x.query_id, x.id, x.score, x["rank"]) for x in got] == want
+    postings = lambda vectors: spark.createDataFrame([(i, j, x) for i, v in vectors.items() for j, x in enumerate(v) if x], "id long, idx long, w double")
+    shared = {(q, i): sum(a * b for a, b in zip(x, v)) for q, x in asked.items() for i, v in points.items() if any(a and b for a, b in zip(x, v))}
+    want = [(q, i, s, n + 1) for q in asked for n, (s, i) in enumerate(sorted(((s, i) for (a, i), s in shared.items() if a == q), key=lambda x: (-x[0], x[1]))[:4])]
+    assert [(x.query_id, x.id, x.score, x["rank"]) for x in R.postings_topk(postings(asked), postings(points), 4).orderBy("query_id", "rank").collect()] == want
+    assert R.postings_topk(postings(asked).where("id < 0"), postings(points), 4).count() == 0
