@@ -13,19 +13,35 @@ from pyspark.sql import functions as F
 from quarrymill.llm.common import LOWER, SPACED_WORDS, bitmap, broadcast_bytes, in_bitmap, lists, materialize, mix, pairs_of_two, signed, text_slices, words
 from quarrymill.llm.graph import components
 
-UNIVERSE_BITS = 20
+UNIVERSE_BITS = 32  # two texts of a million distinct shingles have one in ten thousand places in common by chance
 BANDS, BAND_ROWS = 40, 5  # a pair at 0.8 shares no band with a chance of (1 - 0.8**5)**40, about 1e-7
 SMALL_BUCKET = 16
 ASK_ROWS, HOLD_ROWS, HOLD_SHINGLES = 256, 1_024, 1_000_000
 COLUMNS = 4_096
-CHUNK = 8_192
+CHUNK = 256
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    """The first permutation, and the second continued by its beginning: coordinate j of an element at x is second[x + j], so one shift further for each coordinate."""
-    r = np.random.Generator(np.random.PCG64(20_240_229))
-    first, second = (r.permutation(1 << UNIVERSE_BITS).astype(np.uint32) for _ in range(2))
-    return first, np.concatenate([second, second[: BANDS * BAND_ROWS]])
+def _permute(x: np.ndarray, spare: np.ndarray, a: int, b: int) -> np.ndarray:
+    """A permutation of the 32-bit universe, in place: products with odd numbers and shifts onto itself, each of which can be undone."""
+    for shift, factor in ((16, a), (15, b)):
+        np.right_shift(x, np.uint32(shift), out=spare)
+        x ^= spare
+        x *= np.uint32(factor)
+    return x
+
+
+def signature(elements: np.ndarray) -> np.ndarray:
+    """Circulant MinHash: the least place of all elements for each coordinate j, an element's being second((first(element) + j) mod 2**32). So the second permutation is shifted by one further for each."""
+    at = (elements >> np.uint64(64 - UNIVERSE_BITS)).astype(np.uint32)
+    at = _permute(at, np.empty_like(at), 0x9E3779B1, 0x85EBCA6B)
+    shifts = np.arange(BANDS * BAND_ROWS, dtype=np.uint32)
+    places, spare = (np.empty((min(CHUNK, len(at)), len(shifts)), dtype=np.uint32) for _ in range(2))
+    least = np.full(len(shifts), 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(0, len(at), CHUNK):
+        some = at[k : k + CHUNK]
+        np.add(some[:, None], shifts, out=places[: len(some)])
+        np.minimum(least, _permute(places[: len(some)], spare[: len(some)], 0x7FEB352D, 0x846CA68B).min(axis=0), out=least)
+    return least
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -53,8 +69,6 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, set_id, bands): set_id is of equal sets only, but for a clash of 128-bit hashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = _permutations()
-        runs = np.lib.stride_tricks.sliding_window_view(second, BANDS * BAND_ROWS)
         weights = mix(np.arange(1, BAND_ROWS + 1, dtype=np.uint64))
         salt = mix(np.arange(1_000, 1_000 + BANDS, dtype=np.uint64))
         for batch in batches:
@@ -65,11 +79,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                     ids.append(None if not len(elements) else np.array([mix(elements ^ np.uint64(11)).sum(), mix(elements ^ np.uint64(77)).sum()], dtype=np.uint64).tobytes())
                     n_bands.append(BANDS if len(elements) else 0)
                     if len(elements):
-                        at = first[elements >> np.uint64(64 - UNIVERSE_BITS)]
-                        least = runs[at[:CHUNK]].min(axis=0)
-                        for k in range(CHUNK, len(at), CHUNK):
-                            least = np.minimum(least, runs[at[k : k + CHUNK]].min(axis=0))
-                        bands.append(mix((least.reshape(BANDS, BAND_ROWS).astype(np.uint64) * weights).sum(axis=1) ^ salt))
+                        bands.append(mix((signature(elements).reshape(BANDS, BAND_ROWS).astype(np.uint64) * weights).sum(axis=1) ^ salt))
                 flat = np.concatenate(bands) if bands else np.empty(0, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), lists(signed(flat), np.array(n_bands), pa.int64())], ["doc_id", "n_shingles", "set_id", "bands"])
 

@@ -364,6 +364,30 @@ def test_near_duplicates_are_brute_force(spark, docs_of, monkeypatch, size, smal
     assert all(x.kept == (i == x.component_id) for i, x in got.items())
 
 
+def test_signatures_estimate_the_similarity():
+    r = np.random.default_rng(5)
+    draw = lambda n: r.integers(0, 2**64, n, dtype=np.uint64)
+    for share in (0.2, 0.5, 0.8):
+        off = []
+        for n in (5, 90, 700):
+            for _ in range(40):
+                both = round(2 * n * share / (1 + share))
+                same = draw(both)
+                x, y = (minhash.signature(np.concatenate([same, draw(n - both)])) for _ in range(2))
+                off.append((x == y).mean() - both / (2 * n - both))
+        assert abs(np.mean(off)) < 0.015 and np.std(off) < 0.06
+    first = draw(3)
+    shifts = minhash.signature(first[:1])
+    places = np.arange(minhash.BANDS * minhash.BAND_ROWS)
+    assert len(set(shifts.tolist())) == len(places) and (minhash.signature(first) == np.minimum.reduce([minhash.signature(first[i : i + 1]) for i in range(3)])).all()
+
+
+def test_giant_texts_share_no_band_by_chance():
+    r = np.random.default_rng(6)
+    x, y = (minhash.signature(r.integers(0, 2**64, 1_000_000, dtype=np.uint64)) for _ in range(2))
+    assert (x == y).sum() < 3
+
+
 def test_near_duplicate_edges(spark, docs_of):
     got = minhash.near_duplicates(docs_of(EDGES), shingle=2).collect()
     assert len(got) == len(EDGES)
