@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import decontaminate, minhash, pieces, quality, repeats, secret_scan, sharding, topk, toxicity, wrappers
+from quarrymill.llm import decontaminate, fill_middle, filter_audit, minhash, pieces, quality, repeats, secret_scan, sharding, topk, toxicity, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,9 +64,53 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op2_secrets, op3_topk, op4_decontaminate, op5_sharding, op6_minhash, op7_quality, op8_repeats, op9_wrappers, op10_toxicity)}
+def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's counts for every order of the five filters and every step; a null source is the empty string, null texts are empty, and labels that an id lacks are 0."""
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and hashes of each text's fill-in-middle output and of the text rebuilt from it; a null text is empty and plain."""
+    made = fill_middle.transform(_read(spark, sf_dir, "documents"))
+    rebuilt = fill_middle.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_secrets, op3_topk, op4_decontaminate, op5_sharding, op6_minhash, op7_quality, op8_repeats, op9_wrappers, op10_toxicity, op11_filters, op13_fill_middle)}
 
 ORACLES = {
+    "op11_filters": """
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        first_of AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY 1),
+        lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+        fails AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                  (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+                  || (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END)
+                  || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN d.doc_id > first_id THEN 'E' ELSE '' END) AS f
+                  FROM d LEFT JOIN first_of USING (t) LEFT JOIN lab ON lab.doc_id = d.doc_id),
+        n AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY 1, 2),
+        o AS (SELECT '' AS done UNION ALL SELECT done || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(done, x)),
+        steps AS (SELECT done AS filter_order, step, done[step] AS filter, done[1 : step - 1] AS before FROM (SELECT done, unnest(range(1, 6)) AS step FROM o WHERE length(done) = 5)),
+        rows AS (SELECT part, filter_order, step, filter,
+                 sum(CASE WHEN regexp_matches(f, '[' || before || filter || ']') THEN 0 ELSE n END) AS kept,
+                 sum(CASE WHEN contains(f, filter) AND (before = '' OR NOT regexp_matches(f, '[' || before || '-]')) THEN n ELSE 0 END) AS removed,
+                 sum(CASE WHEN contains(f, filter) AND before <> '' AND regexp_matches(f, '[' || before || '-]') THEN n ELSE 0 END) AS redundant,
+                 sum(CASE WHEN f = filter THEN n ELSE 0 END) AS unique_fails,
+                 sum(CASE WHEN contains(f, filter) AND (before = '' OR NOT regexp_matches(f, '[' || before || '-]')) THEN good ELSE 0 END) AS good_lost,
+                 sum(CASE WHEN contains(f, filter) AND (before = '' OR NOT regexp_matches(f, '[' || before || '-]')) THEN toxic ELSE 0 END) AS toxic_lost
+                 FROM n, steps GROUP BY 1, 2, 3, 4)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+            CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM rows
+    """,
+    "op13_fill_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        k AS (SELECT doc_id, t, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+              CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+        p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+    """,
     "op3_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
