@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import decontaminate, fill_middle, filter_audit, minhash, pieces, quality, repeats, secret_scan, sharding, topk, toxicity, wrappers
+from quarrymill.llm import decontaminate, fill_middle, filter_audit, minhash, pieces, quality, repeats, secret_scan, sharding, substrings, topk, toxicity, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,6 +69,12 @@ def op11_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each text's words without those of 13-word windows that a document with a smaller id has; null texts have no words."""
+    left = substrings.remove_earlier(_read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form, cuts and hashes of each text's fill-in-middle output and of the text rebuilt from it; a null text is empty and plain."""
     made = fill_middle.transform(_read(spark, sf_dir, "documents"))
@@ -76,7 +82,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op2_secrets, op3_topk, op4_decontaminate, op5_sharding, op6_minhash, op7_quality, op8_repeats, op9_wrappers, op10_toxicity, op11_filters, op13_fill_middle)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_secrets, op3_topk, op4_decontaminate, op5_sharding, op6_minhash, op7_quality, op8_repeats, op9_wrappers, op10_toxicity, op11_filters, op12_substrings, op13_fill_middle)}
 
 ORACLES = {
     "op11_filters": """
@@ -102,6 +108,15 @@ ORACLES = {
         SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
             CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM rows
     """,
+    "op12_substrings": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+        first_of AS (SELECT g, min(doc_id) AS first_id FROM win GROUP BY 1),
+        gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first_of USING (g) WHERE doc_id > first_id) GROUP BY 1)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+            sha256(coalesce(array_to_string(list_select(w, list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(coalesce(gone, []), p))), ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (doc_id)
+    """,
     "op13_fill_middle": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
         k AS (SELECT doc_id, t, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
