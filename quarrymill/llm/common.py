@@ -135,6 +135,27 @@ ALNUM_WORDS = byte_class(inside=bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *
 SPACED_WORDS = byte_class(outside=b" \t\n\x0b\x0c\r")
 
 
+EIGHT_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes of words, of which those of eight bytes at most never clash with others of their length. Blocks of eight are mixed with their place before they are summed, so no pattern of letters cancels out."""
+    eights = np.ndarray(len(data) + 1, np.dtype("<u8"), np.concatenate([data, np.zeros(8, dtype=np.uint8)]), strides=(1,))
+
+    def blocks(at: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return mix((eights[at] & EIGHT_MASKS[np.minimum(end - at, 8)]) ^ mix(place.astype(np.uint64) + np.uint64(1)))
+
+    sizes = ends - starts
+    total = blocks(starts, ends, np.zeros(len(starts), dtype=np.uint64))
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        place = np.arange(more.sum()) - np.repeat(first, more) + 1
+        total[long] += np.add.reduceat(blocks(np.repeat(starts[long], more) + 8 * place, np.repeat(ends[long], more), place), first)
+    return mix(total + sizes.astype(np.uint64) * np.uint64(BASE))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes, first word of each row and the count at the end) of the maximal runs of bytes in table, cut at the ends of rows."""
     inside = table[data]
@@ -148,7 +169,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
         after[:-1] = inside[1:]
         after[offsets[1:][offsets[1:] > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    return starts, ends, span_hashes(prefix_sums(data), starts, ends), np.searchsorted(starts, offsets)
+    return starts, ends, word_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def pairs_of_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:

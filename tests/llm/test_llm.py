@@ -9,11 +9,13 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import rows_of, rows_of_sql
 from conftest import SF
 from pyspark.sql import functions as F
 
+from quarrymill.llm.common import SPACED_WORDS, text_slices, words
 from quarrymill.llm import decontaminate, minhash, pieces, quality, queries, repeats, secret_scan, sharding, topk, toxicity, wrappers
 
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "é😀" * 3_000), (6, "same text here " * 40), (7, "same text here " * 40), (7, "same text here " * 40), (None, "no id but a text of some words"), (8, None)]
@@ -41,6 +43,28 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(got.columns) == columns and rows_of(got, columns) == want
 
 
+def test_words_of_a_pattern_keep_apart(docs_of):
+    pattern = "a"
+    for _ in range(11):
+        pattern += pattern.translate(str.maketrans("ab", "ba"))
+    other = pattern.translate(str.maketrans("ab", "ba"))
+    for n in (8, 9, 1_024, 2_048):
+        texts = [f"one {x[:n]} two" for x in (pattern, other)]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+        a, b = (minhash.shingle_sets(data, offsets, 2)[k] for _, _, data, offsets in text_slices(batch, "text") for k in range(2))
+        assert not len(np.intersect1d(a, b))
+        assert [x.component_id for x in sorted(minhash.near_duplicates(docs_of(list(enumerate(texts))), 2).collect(), key=lambda x: x.doc_id)] == [0, 1]
+
+
+def test_word_hashes_are_of_the_bytes_alone():
+    r = random.Random(5)
+    texts = ["".join(r.choice("ab\x00é") for _ in range(r.randint(1, 40))) for _ in range(2_000)]
+    data = np.frombuffer(" ".join(texts).encode(), dtype=np.uint8)
+    starts, ends, hashes, _ = words(data, np.array([0, len(data)]), SPACED_WORDS)
+    own = [data[a:b].tobytes() for a, b in zip(starts, ends)]
+    assert len(set(own)) == len(set(hashes.tolist())) == len(set(zip(own, hashes.tolist())))
+
+
 # 1 pieces
 
 
