@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from quarrymill.operators import chunking as C
 from quarrymill.operators import versions as V
 from quarrymill.sources import html_markdown, layout
+from quarrymill.sources.shared import shared_folder
 from quarrymill.streaming import jobs
 
 QUERIES, ORACLES = {}, {}
@@ -111,21 +111,11 @@ def bigram_dice_pairs(spark, sf_dir):
     return b.join(both, "item_id", "left").select("item_id", F.round(2.0 * F.coalesce("both", F.lit(0)) / (F.length("text") - 1 + F.length("other") - 1), 6).alias("dice"))
 
 
-def _shared(spark) -> str:
-    import tempfile
-
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder or tempfile.mkdtemp(prefix="spark-stream-")
-
-
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_dedup_counts(spark, sf_dir):
     """ST1, ST5: the log as a stream, each event once, through an idempotent sink."""
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     jobs.upsert_batches(jobs.deduplicated(stream, late="40 days"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return jobs.upserted(spark, f"{at}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from quarrymill.functions.text import fnv1a
 from quarrymill.operators import retrieval as R
+from quarrymill.operators import search as S
 from quarrymill.plans import sql
+from quarrymill.sources.shared import stored
 
 PREFETCH, TOP_K, DENSE_DIM = 50, 5, 1024
 QUERIES, ORACLES = {}, {}
@@ -33,19 +35,22 @@ def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, id): documents that hold a question whole. Questions are a stated set, sent to where the documents are."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs.join(F.broadcast(_bench(spark, sf_dir)), F.col("text").contains(F.col("query"))).select("query_id", "id")
+    """(query_id, id): documents that hold a question whole."""
+    return R.contained(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), _bench(spark, sf_dir))
+
+
+def _list(spark: SparkSession, sf_dir: str, dim: int, dense: bool, k: int) -> DataFrame:
+    """Documents recalled for every question, written once for all that read them."""
+    docs, items = R.hash_vectors(read(spark, sf_dir, "documents"), "doc_id", "text", dim, dense), R.hash_vectors(read(spark, sf_dir, "benchmark"), "item_id", "text", dim, dense)
+    return stored(R.postings_topk(items.withColumnRenamed("id", "query_id"), docs, k))
 
 
 def _recall(spark: SparkSession, sf_dir: str, k: int = PREFETCH) -> DataFrame:
-    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    return R.postings_topk(R.hash_embed_dense(items, "item_id", "text", DENSE_DIM), R.hash_embed_dense(docs, "doc_id", "text", DENSE_DIM), k)
+    return _list(spark, sf_dir, DENSE_DIM, True, k)
 
 
 def _sparse(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    return R.postings_topk(R.hash_embed_sparse(items, "item_id", "text"), R.hash_embed_sparse(docs, "doc_id", "text"), k)
+    return _list(spark, sf_dir, R.SPARSE_DIM, False, k)
 
 
 def _reranked(spark: SparkSession, sf_dir: str, recall: DataFrame, k: int) -> DataFrame:
@@ -204,3 +209,65 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents have each token, and its hash."""
     tf = R.token_counts(read(spark, sf_dir, "documents"), "doc_id", "text")
     return tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).select("token", fnv1a(F.col("token")).alias("fnv"), "df")
+
+
+# Requests over the questions, and what they should be taken for: by item_id, parameters of every mode, of wrong types and out of their ranges.
+_ASKED = [
+    "{}", '{"mode":"dense","topK":3}', '{"mode":"sparse","topK":2.5}', '{"fusion":"dbsf","rrfWeights":[0.7,0.3],"topK":7}', '{"rerank":true,"topK":4}', '{"mode":"dense","rerank":true,"prefetchLimit":10}', '{"topK":"9","rrfK":10.4,"rrfWeights":[0.2,"x"]}',
+    "not json", '{"topK":99,"prefetchLimit":500,"rrfK":0,"mode":"fuzzy"}', '[1]', '{"topK":-3,"prefetchLimit":0,"rrfWeights":[1,2.5]}', '{"rerank":"yes","fusion":"DBSF","rrfWeights":[1]}', '{"mode":"sparse","rerank":true,"prefetchLimit":30,"topK":12}',
+]
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions as requests. By their ids, they are held to three sources, to pages that overlap 3 and 4, to neither or to both, and their dense scores to 0.1 or more."""
+    i = F.col("item_id")
+    return read(spark, sf_dir, "benchmark").select(
+        i.alias("query_id"), F.col("text").alias("query"), F.get(F.array(*(F.lit(x) for x in _ASKED)), (i % len(_ASKED)).cast("int")).alias("params"), F.when(i % 3 == 1, F.array(*(F.lit(f"src{k}") for k in (1, 2, 3)))).alias("doc_ids"),
+        F.when(i % 5 == 2, 3).alias("page_from"), F.when(i % 5 == 2, 4).alias("page_to"), F.when(i % 4 == 3, 0.1).alias("threshold"),
+    )
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of their source, on made-up pages; every eleventh isn't enabled."""
+    i = F.col("doc_id")
+    return read(spark, sf_dir, "documents").select(i.alias("id"), F.col("source").alias("doc_id"), "text", F.concat_ws(" ", "source", F.substring("text", 1, 40)).alias("parent_text"), (i % 10).cast("int").alias("page_from"), (i % 10 + i % 3).cast("int").alias("page_to"), (i % 11 != 0).alias("enabled"))
+
+
+_REQUESTS = f"""a AS (SELECT item_id, (CASE item_id % {len(_ASKED)} {" ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_ASKED))} END) AS params FROM benchmark),
+    o AS (SELECT item_id, CASE WHEN json_valid(params) AND json_type(params) = 'OBJECT' THEN CAST(params AS JSON) END AS p FROM a),
+    k AS (SELECT item_id, p, json_type(p, '$.topK') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS has_k, json_type(p, '$.prefetchLimit') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS has_p, json_type(p, '$.rrfK') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS has_r,
+          json_type(p, '$.rrfWeights') = 'ARRAY' AND json_array_length(p, '$.rrfWeights') = 2 AND json_type(p, '$.rrfWeights[0]') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND json_type(p, '$.rrfWeights[1]') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AS has_w FROM o),
+    asked AS MATERIALIZED (SELECT item_id AS query_id, CASE WHEN json_type(p, '$.mode') = 'VARCHAR' AND p ->> 'mode' IN ('hybrid', 'dense', 'sparse') THEN p ->> 'mode' ELSE 'hybrid' END AS mode,
+          CASE WHEN has_k THEN least(greatest(floor(CAST(p ->> 'topK' AS DOUBLE) + 0.5), 1), 50) ELSE 5 END AS top_k,
+          least(greatest(CASE WHEN has_p THEN least(greatest(floor(CAST(p ->> 'prefetchLimit' AS DOUBLE) + 0.5), 1), 200) ELSE 50 END, CASE WHEN has_k THEN least(greatest(floor(CAST(p ->> 'topK' AS DOUBLE) + 0.5), 1), 50) ELSE 5 END), 200) AS prefetch,
+          coalesce(json_type(p, '$.rerank') = 'BOOLEAN' AND p ->> 'rerank' = 'true', false) AS rerank, CASE WHEN json_type(p, '$.fusion') = 'VARCHAR' AND p ->> 'fusion' IN ('rrf', 'dbsf') THEN p ->> 'fusion' ELSE 'rrf' END AS fusion,
+          CASE WHEN has_r THEN least(greatest(floor(CAST(p ->> 'rrfK' AS DOUBLE) + 0.5), 1), 1000) ELSE 60 END AS rrf_k,
+          CASE WHEN has_w THEN CAST(p ->> '$.rrfWeights[0]' AS DOUBLE) ELSE 0.5 END AS wd, CASE WHEN has_w THEN CAST(p ->> '$.rrfWeights[1]' AS DOUBLE) ELSE 0.5 END AS ws FROM k)"""
+
+
+@query(f"WITH {_REQUESTS} SELECT query_id, mode, CAST(top_k AS INTEGER) AS top_k, CAST(prefetch AS INTEGER) AS prefetch, rerank, fusion, CAST(rrf_k AS INTEGER) AS rrf_k, wd AS w_dense, ws AS w_sparse FROM asked")
+def search_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests ask for, with defaults for what is missing, of a wrong type or out of range."""
+    return S.resolved(_requests(spark, sf_dir)).drop("query", "doc_ids", "page_from", "page_to", "threshold")
+
+
+@query(f"""WITH {_REQUESTS}, {sql.postings('d', 'documents', 'doc_id', 'text', DENSE_DIM, True)}, {sql.postings('q', 'benchmark', 'item_id', 'text', DENSE_DIM, True)}, {sql.postings('sd', 'documents', 'doc_id', 'text', R.SPARSE_DIM, False)}, {sql.postings('sq', 'benchmark', 'item_id', 'text', R.SPARSE_DIM, False)},
+    ch AS (SELECT doc_id AS id, source, doc_id % 10 AS pf, doc_id % 10 + doc_id % 3 AS pt FROM documents WHERE doc_id % 11 <> 0),
+    fits AS (SELECT query_id, id FROM asked, ch WHERE (query_id % 3 <> 1 OR source IN ('src1', 'src2', 'src3')) AND (query_id % 5 <> 2 OR (pf <= 4 AND pt >= 3))),
+    ds AS (SELECT q.id AS query_id, d.id AS id, sum(d.w * q.w) AS score FROM d JOIN q USING (idx) GROUP BY 1, 2), ss AS (SELECT sq.id AS query_id, sd.id AS id, CAST(sum(sd.w * sq.w) AS DOUBLE) AS score FROM sd JOIN sq USING (idx) GROUP BY 1, 2),
+    found AS (SELECT 'dense' AS list, ds.* FROM ds JOIN fits USING (query_id, id) WHERE query_id % 4 <> 3 OR score >= 0.1 UNION ALL SELECT 'sparse', ss.* FROM ss JOIN fits USING (query_id, id)),
+    ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id, list ORDER BY round(score, 9) DESC, id) AS rank FROM found JOIN asked USING (query_id) WHERE mode IN ('hybrid', list)),
+    rec AS MATERIALIZED (SELECT * FROM ranks WHERE rank <= prefetch),
+    sh AS (SELECT *, CASE WHEN list = 'dense' THEN wd ELSE ws END AS w, stddev_pop(score) OVER x AS sd, avg(score) OVER x AS m FROM rec WINDOW x AS (PARTITION BY query_id, list)),
+    f AS (SELECT query_id, id, sum(CASE WHEN mode <> 'hybrid' THEN score WHEN fusion = 'rrf' THEN w / (rrf_k + rank) WHEN sd > 1e-12 THEN w * (score - m) / sd ELSE 0 END) AS score, max(CASE WHEN list = 'dense' THEN rank END) AS dr, max(CASE WHEN list = 'sparse' THEN rank END) AS sr FROM sh GROUP BY 1, 2),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, dr NULLS LAST, sr NULLS LAST, id) AS fr FROM f),
+    fused AS MATERIALIZED (SELECT fr.*, top_k, prefetch, rerank FROM fr JOIN asked USING (query_id) WHERE fr <= CASE WHEN mode <> 'hybrid' THEN 4 * top_k ELSE greatest(prefetch, top_k) END),
+    cand AS (SELECT query_id, id FROM fused WHERE rerank AND fr <= greatest(prefetch, top_k)), {_bm25_sql('cand').rsplit(', top AS', 1)[0]},
+    hits AS (SELECT query_id, id, fr AS rank, CAST(NULL AS DOUBLE) AS rerank_score FROM fused WHERE NOT rerank AND fr <= top_k
+        UNION ALL SELECT query_id, id, rank, score FROM (SELECT bm.*, top_k, row_number() OVER (PARTITION BY query_id ORDER BY round(bm.score, 9) DESC, fr) AS rank FROM bm JOIN fused USING (query_id, id)) WHERE rank <= top_k)
+    SELECT query_id, CAST(hits.rank AS INTEGER) AS rank, id, source AS doc_id, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score, CAST(dr AS INTEGER) AS dense_rank, CAST(sr AS INTEGER) AS sparse_rank, CAST(fr AS INTEGER) AS fused_rank, length(text) AS n_text, source || ' ' || left(text, 40) AS parent_text
+    FROM hits JOIN fused USING (query_id, id) JOIN documents ON doc_id = id""")
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question by parameters and filters of its own, in one plan."""
+    found = S.search(_requests(spark, sf_dir), _sources(spark, sf_dir))
+    return found.withColumn("n_text", F.length("text").cast("long")).drop("text")

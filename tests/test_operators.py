@@ -199,8 +199,25 @@ def test_recall_in_passes_is_brute_force(spark, monkeypatch):
         got = R.dense_topk(queries, df, k, threshold, skip_self=True).orderBy("query_id", "rank").collect()
         want = [(q, i, s, n + 1) for q in asked for n, (i, s) in enumerate(best(q, k, -99 if threshold is None else threshold))]
         assert [(x.query_id, x.id, x.score, x["rank"]) for x in got] == want
-    postings = lambda vectors: spark.createDataFrame([(i, j, x) for i, v in vectors.items() for j, x in enumerate(v) if x], "id long, idx long, w double")
+    postings = lambda vectors: spark.createDataFrame([(i, [j for j, x in enumerate(v) if x], [x for x in v if x]) for i, v in vectors.items()], "id long, idx array<long>, w array<double>")
+    asking = lambda vectors: postings(vectors).withColumnRenamed("id", "query_id")
     shared = {(q, i): sum(a * b for a, b in zip(x, v)) for q, x in asked.items() for i, v in points.items() if any(a and b for a, b in zip(x, v))}
     want = [(q, i, s, n + 1) for q in asked for n, (s, i) in enumerate(sorted(((s, i) for (a, i), s in shared.items() if a == q), key=lambda x: (-x[0], x[1]))[:4])]
-    assert [(x.query_id, x.id, x.score, x["rank"]) for x in R.postings_topk(postings(asked), postings(points), 4).orderBy("query_id", "rank").collect()] == want
-    assert R.postings_topk(postings(asked).where("id < 0"), postings(points), 4).count() == 0
+    assert [(x.query_id, x.id, x.score, x["rank"]) for x in R.postings_topk(asking(asked), postings(points), 4).orderBy("query_id", "rank").collect()] == want
+    assert R.postings_topk(asking(asked).where("query_id < 0"), postings(points), 4).count() == 0
+
+
+def test_hash_vectors_are_the_postings(spark):
+    rows = [(1, "a b a é 中文 A"), (2, None), (3, ""), (4, "x " * 5_000), (5, "a b a é 中文 A"), (None, "b")]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    for dense, postings in ((True, R.hash_embed_dense(docs, "doc", "text", 7)), (False, R.hash_embed_sparse(docs, "doc", "text", 7))):
+        want = {(x.id, x.idx, round(float(x.w), 12)) for x in postings.collect()}
+        got = R.hash_vectors(docs, "doc", "text", 7, dense).collect()
+        assert len(got) == len(rows) and {(x.id, i, round(w, 12)) for x in got for i, w in zip(x.idx, x.w, strict=True)} == want
+
+
+def test_questions_within_texts(spark):
+    texts = ["one two  three four", "xone two three fourx", "two", "a\ttwo three\nb", "", None, "two three four five six", "atwo threeb"]
+    asked = ["one two three four", "two", "wo thre", "two three", "one two  three", "", None, "ne two three fou", "three four five", "e four f"]
+    got = R.contained(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"))
+    assert sorted(map(tuple, got.collect())) == sorted((q, i) for q, a in enumerate(asked) for i, t in enumerate(texts) if a and t is not None and a in t)
