@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrymill.operators import chunking as C
+from quarrymill.operators import edits as E
 from quarrymill.operators import versions as V
 from quarrymill.sources import html_markdown, layout
 from quarrymill.sources.shared import shared_folder
@@ -80,6 +82,53 @@ def chunk_pages(spark, sf_dir):
     return C.backfilled(C.chunk_markdown(docs, C.Config(size=128, parent_size=512)), layout.synthetic(docs)).select("doc_id", "seq", "is_parent", "page_from", "page_to", "bbox_from", "bbox_to")
 
 
+def _line_chunks(spark, sf_dir):
+    """(docs, chunks, edits): lines of documents as children and every four of them as a parent; by document and line, some are to be edited, some to go, and of some that are first found where they stand, the offsets are wrong."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("md"))
+    lines = docs.select("doc_id", "md", F.posexplode(F.split("md", "\n")).alias("seq", "text"))
+    before = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("a", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int"))
+    kind = F.when((F.col("doc_id") + F.col("seq")) % 11 == 5, "delete").when((F.col("doc_id") + F.col("seq")) % 7 == 3, "edit")
+    off = ((F.col("doc_id") + F.col("seq")) % 3 == 0) & (F.instr("md", F.col("text")) - 1 == F.col("a"))
+    lines = lines.select("doc_id", "seq", "text", "a", (F.col("a") + F.length("text")).alias("b"), kind.alias("kind"), off.alias("off"))
+    new = lambda c: c.withColumns({"token_count": F.lit(0).cast("long"), "text_preview": F.lit("")})
+    children = new(lines.select("doc_id", (F.col("seq") * 2).alias("chunk_id"), F.lit(False).alias("is_parent"), (F.col("a") + F.when(F.col("off"), 3).otherwise(0)).alias("char_start"), (F.col("b") + F.when(F.col("off"), 3).otherwise(0)).alias("char_end"), "text"))
+    parents = new(lines.groupBy("doc_id", (F.floor(F.col("seq") / 4) * 2 + 1).cast("int").alias("chunk_id")).agg(F.lit(True).alias("is_parent"), F.min("a").alias("char_start"), F.max("b").alias("char_end"), F.lit("old").alias("text")))
+    key = F.concat_ws(":", "doc_id", "chunk_id").alias("chunk_id")
+    keyed = lambda c: c.select("doc_id", key, *(x for x in c.columns if x not in ("doc_id", "chunk_id")))
+    edits = lines.where("kind IS NOT NULL").select(F.concat_ws(":", "doc_id", F.col("seq") * 2).alias("chunk_id"), F.when(F.col("kind") == "edit", F.concat(F.lit("new "), F.substring("text", 1, 10))).alias("replacement"))
+    return docs, keyed(children).unionByName(keyed(parents)), edits
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS seq FROM documents),
+    k AS (SELECT *, CASE WHEN (doc_id + seq) % 11 = 5 THEN 'delete' WHEN (doc_id + seq) % 7 = 3 THEN 'edit' ELSE 'keep' END AS kind FROM l),
+    n AS (SELECT *, CASE kind WHEN 'edit' THEN 'new ' || left(t, 10) WHEN 'keep' THEN t END AS nt FROM k),
+    m AS (SELECT doc_id, coalesce(string_agg(nt, chr(10) ORDER BY seq), '') AS md, count(nt) AS kept, count(*) FILTER (kind <> 'keep') AS edits FROM n GROUP BY 1),
+    p AS (SELECT n.*, CAST(coalesce(sum(length(nt) + 1) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM n),
+    q AS (SELECT p.*, least(pos, length(md)) AS a, least(pos + coalesce(length(nt), 0), length(md)) AS b, md FROM p JOIN m USING (doc_id)),
+    par AS (SELECT doc_id, seq // 4 AS g, min(a) AS a, max(b) AS b, any_value(md) AS md, bool_or(kind <> 'keep') AS touched FROM q GROUP BY 1, 2),
+    pt AS (SELECT doc_id, count(*) AS parents, sum(a) AS a, sum(b) AS b, sha256(string_agg(CASE WHEN a < b THEN substr(md, a + 1, b - a) ELSE 'old' END, '|' ORDER BY g)) AS parent_sha256 FROM par GROUP BY 1),
+    ch AS (SELECT doc_id, count(*) AS children, sum(a) AS a, sum(b) AS b FROM q WHERE kind = 'edit' OR kind = 'keep' AND NOT ((doc_id + seq) % 3 = 0) GROUP BY 1)
+    SELECT m.doc_id, sha256(m.md) AS md_sha256, m.kept AS children, edits AS patched, CAST(coalesce(ch.a, 0) AS BIGINT) AS child_starts, CAST(coalesce(ch.b, 0) AS BIGINT) AS child_ends, CAST(pt.a AS BIGINT) AS parent_starts, CAST(pt.b AS BIGINT) AS parent_ends,
+        CASE WHEN edits > 0 THEN parent_sha256 ELSE sha256(array_to_string(list_transform(range(0, parents), lambda i: 'old'), '|')) END AS parent_sha256
+    FROM m JOIN pt USING (doc_id) LEFT JOIN ch USING (doc_id)""")
+def splice_many(spark, sf_dir):
+    """Many edits and deletions of each document in one pass; its text, its chunks' offsets and its parents afterwards. Offsets are summed over edited lines and those of right offsets."""
+    docs, chunks, edits = _line_chunks(spark, sf_dir)
+    after, rows, log = E.apply_edits(docs, chunks, edits)
+    n = F.split("chunk_id", ":")[1].cast("int")
+    right = (F.pmod(F.col("doc_id") + n / 2, F.lit(3)) != 0) | F.col("text").startswith("new ")
+    total = lambda c, where: F.sum(F.when(where, F.col(c)).otherwise(0)).cast("long")
+    parent = F.col("is_parent")
+    parts = F.transform(F.array_sort(F.collect_list(F.when(parent, F.struct(n.alias("n"), "text")))), lambda x: x["text"])
+    per_doc = rows.groupBy("doc_id").agg(
+        F.count_if(~parent).alias("children"), total("char_start", ~parent & right).alias("child_starts"), total("char_end", ~parent & right).alias("child_ends"), total("char_start", parent).alias("parent_starts"), total("char_end", parent).alias("parent_ends"),
+        F.sha2(F.array_join(parts, "|"), 256).alias("parent_sha256"),
+    )
+    patched = log.groupBy("doc_id").agg(F.count_if("patched").alias("patched"))
+    return after.select("doc_id", F.sha2("md", 256).alias("md_sha256")).join(per_doc, "doc_id").join(patched, "doc_id", "left").withColumn("patched", F.coalesce("patched", F.lit(0)))
+
+
 def _versions(spark, sf_dir):
     """Lines as chunks; in the second version every seventh is gone and every fifth says more."""
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "text"))
