@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from quarrymill.operators import chunking as C
 from quarrymill.operators import edits as E
+from quarrymill.operators import history as H
 from quarrymill.operators import versions as V
 from quarrymill.sources import html_markdown, layout
 from quarrymill.sources.shared import shared_folder
@@ -168,3 +169,37 @@ def stream_dedup_counts(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     jobs.upsert_batches(jobs.deduplicated(stream, late="40 days"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return jobs.upserted(spark, f"{at}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _history(spark, sf_dir):
+    """Lines as chunks in two versions (see _versions), of every fourth document without full texts; then versions asked for by document: the first, a missing one, the current one and no number."""
+    left, right = (x.select("doc_id", F.concat_ws(":", "doc_id", "seq").alias("chunk_id"), "seq", F.substring("text", 1, 20).alias("text_preview"), F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("full_text"), F.length("text").cast("long").alias("token_count")) for x in _versions(spark, sf_dir))
+    store = H.change(H.started(left), right)
+    asked = F.get(F.array(F.lit("1"), F.lit("1"), F.lit("9"), F.lit("current"), F.lit("x")), (F.col("doc_id") % 5).cast("int"))
+    return store, store.heads.select("doc_id", asked.alias("version"))
+
+
+_HISTORY = """l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS seq, unnest(string_split(text, chr(10))) AS t FROM documents),
+    v1 AS (SELECT doc_id, count(*) AS n1, sum(length(t)) AS t1, bool_or(t <> '' AND doc_id % 4 <> 0) AS f1, count(*) FILTER (t = '' OR doc_id % 4 = 0) AS deg FROM l GROUP BY 1),
+    v2 AS (SELECT doc_id, count(*) AS n2, sum(length(t) + CASE WHEN seq % 5 = 0 THEN 5 ELSE 0 END) AS t2, bool_or((t <> '' OR seq % 5 = 0) AND doc_id % 4 <> 0) AS f2 FROM l WHERE seq % 7 <> 6 GROUP BY 1),
+    v AS (SELECT *, doc_id % 5 < 2 AS back FROM v1 JOIN v2 USING (doc_id))"""
+
+
+@query(f"""WITH {_HISTORY}, a AS (SELECT doc_id, 1 AS position, 'current' AS version, CASE WHEN back THEN n1 ELSE n2 END AS chunks, CASE WHEN back THEN t1 ELSE t2 END AS tokens, CASE WHEN back THEN f1 OR doc_id % 4 = 0 ELSE f2 END AS has_full_text FROM v
+    UNION ALL SELECT doc_id, 2, '2', n2, t2, f2 FROM v WHERE back UNION ALL SELECT doc_id, CASE WHEN back THEN 3 ELSE 2 END, '1', n1, t1, f1 FROM v)
+    SELECT doc_id, CAST(position AS INTEGER) AS position, version, chunks, CAST(tokens AS BIGINT) AS tokens, CASE WHEN version = 'current' AND doc_id % 4 = 0 AND doc_id % 5 < 2 THEN tokens > 0 ELSE has_full_text END AS has_full_text FROM a""")
+def version_listing(spark, sf_dir):
+    """The versions of documents after a change and a restore."""
+    store, asked = _history(spark, sf_dir)
+    return H.listing(H.restore(store, asked)[0])
+
+
+@query(f"""WITH {_HISTORY} SELECT doc_id, ['1', '1', '9', 'current', 'x'][CAST(doc_id % 5 AS INTEGER) + 1] AS version, ['restored', 'restored', 'missing', 'current', 'invalid'][CAST(doc_id % 5 AS INTEGER) + 1] AS outcome, CASE WHEN back THEN 3 END AS restored_version,
+    CASE WHEN back THEN n1 END AS chunk_count, CASE WHEN back THEN deg END AS degraded, CASE WHEN back THEN 0 END AS stale, CASE WHEN NOT back OR doc_id % 4 = 0 THEN NULL ELSE CAST(0 AS BIGINT) END AS n_changed FROM v""")
+def version_restore(spark, sf_dir):
+    """Versions restored, and by how many chunks the restored ones then differ from what was asked for (documents whose texts were whole)."""
+    store, asked = _history(spark, sf_dir)
+    after, results = H.restore(store, asked)
+    differs = H.changes(after, F.lit(1), F.col("head")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = (F.col("outcome") == "restored") & (F.col("doc_id") % 4 != 0)
+    return results.join(differs, "doc_id", "left").select(*results.columns, F.when(whole, F.coalesce("n", F.lit(0))).alias("n_changed"))
