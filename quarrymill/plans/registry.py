@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "flagship_search_eval"
-MODULES = ("retrieval", "tables", "documents", "interfaces")
+MODULES = ("retrieval", "tables", "documents", "interfaces", "streams")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
