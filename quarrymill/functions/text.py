@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 # One CJK, kana or hangul character, or a word of letters and digits that may go on with _ ' ’ -.
 TOKEN = r"[㐀-䶿一-鿿豈-﫿぀-ヿ가-힯]|[\p{L}\p{N}][\p{L}\p{N}_'’-]*"
-WIDE = r"[ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹏＀-｠￠-￦]"
-CJK = r"[㐀-䶿一-鿿豈-﫿]"
+WIDE = "[\u1100-\u115f\u2e80-\ua4cf\uac00-\ud7af\uf900-\ufaff\ufe30-\ufe6f\uff00-\uffef]"  # takes two cells
+CJK = "[\u4e00-\u9fff]"  # of rough token counts
+CJK_RUN = "[\u4e00-\u9fa5]{2,}"  # of marks in hits
+LATIN_WORD = "[A-Za-z][A-Za-z0-9_-]+"
+ZERO_WIDTH = "[\u200b-\u200d\u2060\ufeff]"
+BLANK = "[ \t\n\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 CHUNK_NAMESPACE = "9f8b7c6d-5e4f-4a3b-8c1d-0e9f8a7b6c5d"
 STATUS_MAP = {"queued": "waiting", "parsing": "parsing", "chunking": "splitting", "embedding": "indexing", "upserting": "indexing", "ready": "completed", "failed": "error"}
 RETRY_MS = (2_000, 8_000, 30_000)
@@ -71,22 +75,23 @@ def bigrams(text: Column) -> Column:
 
 
 def highlight_tokens(query: Column) -> Column:
-    """what to mark in hits: ASCII words of two and more characters, CJK runs and their grams of two to four, longest first."""
-    words = F.regexp_extract_all(F.lower(query), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
-    runs = F.regexp_extract_all(query, F.lit(CJK + "+"), F.lit(0))
+    """what to mark in hits: Latin words of two and more characters in their own case, each as often as it stands there, then CJK runs of two and more and their grams of two to four, each once; the longest first, else in that order."""
+    words = F.regexp_extract_all(query, F.lit(LATIN_WORD), F.lit(0))
+    runs = F.regexp_extract_all(query, F.lit(CJK_RUN), F.lit(0))
 
     def grams(run: Column) -> Column:
         of = lambda k: F.when(F.length(run) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - k + 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
         return F.concat(F.array(run), of(2), of(3), of(4))
 
-    found = F.array_distinct(F.concat(words, F.flatten(F.transform(runs, grams))))
-    return F.transform(F.array_sort(F.transform(found, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda s: s["t"])
+    found = F.concat(words, F.array_distinct(F.flatten(F.transform(runs, grams))))
+    return F.transform(F.array_sort(F.transform(found, lambda t, i: F.struct((-F.length(t)).alias("n"), i.alias("i"), t.alias("t")))), lambda s: s["t"])
 
 
 def rough_tokens(text: Column) -> Column:
-    """F8: CJK characters count one, four others one, never under one."""
-    cjk = F.regexp_count(text, F.lit(CJK))
-    return F.greatest(F.lit(1), F.floor(cjk + (F.length(text) - cjk) / 4 + 0.5)).cast("long")
+    """F8: CJK characters count one, four others one; under one only an empty text, which has none."""
+    said = F.coalesce(text, F.lit(""))
+    cjk = F.regexp_count(said, F.lit(CJK))
+    return F.when(said == "", 0).otherwise(F.greatest(F.lit(1), F.floor(cjk + (F.length(said) - cjk) / 4 + 0.5))).cast("long")
 
 
 def display_width(text: Column) -> Column:
@@ -95,9 +100,8 @@ def display_width(text: Column) -> Column:
 
 
 def clean_inline(text: Column) -> Column:
-    """zero-width characters go, all white space becomes single spaces."""
-    plain = F.regexp_replace(F.regexp_replace(text, "[​‌‍﻿⁠]", ""), "[ 　]", " ")
-    return F.trim(F.regexp_replace(plain, r"[ \t\r\n\f\x0B]+", " "))
+    """zero-width characters go, all white space becomes single spaces; those at the ends stay."""
+    return F.regexp_replace(F.regexp_replace(text, ZERO_WIDTH, ""), f"{BLANK}+", " ")
 
 
 def clean_markdown(text: Column) -> Column:
@@ -108,10 +112,11 @@ def clean_markdown(text: Column) -> Column:
     return F.when(out != "", F.concat(out, F.lit("\n"))).otherwise(out)
 
 
-def safe_filename(name: Column) -> Column:
-    """no characters that file systems refuse, no dots or spaces at the ends, at most 80 characters."""
-    plain = F.regexp_replace(F.regexp_replace(name, r'[\\/:*?"<>|\x00-\x1F]+', " "), r"\s+", " ")
-    return F.substring(F.regexp_replace(plain, r"^[ .]+|[ .]+$", ""), 1, 80)
+def safe_filename(name: Column, fallback: Column | None = None) -> Column:
+    """control characters, what file systems refuse and zero-width ones become spaces, white space single ones, dots and spaces go at the ends; at most 80 characters; the fallback where nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(name, r'[\x00-\x1F\x7F\\/:*?"<>|]', " "), ZERO_WIDTH, " ")
+    cleaned = F.regexp_replace(F.regexp_replace(plain, f"{BLANK}+", " "), r"^[. ]+|[. ]+\z", "")
+    return F.substring(F.when(cleaned != "", cleaned).otherwise(F.lit("") if fallback is None else fallback), 1, 80)
 
 
 def js_round(x: Column, digits: int = 0) -> Column:
@@ -141,12 +146,31 @@ def probe_backoff_ms(fails: Column) -> Column:
     return F.least(F.lit(60_000), F.lit(5_000) * F.pow(F.lit(2), F.least(fails, F.lit(4)))).cast("long")
 
 
+def human_count(n: Column) -> Column:
+    """whole numbers by thousands with K, M and B, without zeros after the point; a dash for null. Halves go up."""
+
+    def scaled(unit: int, digits: int, name: str) -> Column:
+        steps = 10**digits
+        rounded = F.floor((n * steps * 2 + unit) / (2 * unit)).cast(f"decimal(20,{digits})") / F.lit(steps)
+        return F.concat(F.regexp_replace(rounded.cast(f"decimal(20,{digits})").cast("string"), r"\.?0+\z", ""), F.lit(name))
+
+    by = F.when(n < 1_000, n.cast("string")).when(n < 1_000_000, scaled(1_000, 1, "K")).when(n < 1_000_000_000, scaled(1_000_000, 2, "M")).otherwise(scaled(1_000_000_000, 2, "B"))
+    return F.coalesce(by, F.lit("\u2014"))
+
+
 def human_bytes(n: Column) -> Column:
-    """F26."""
+    """Bytes by powers of 1 024."""
     by = lambda power, unit: F.concat(F.format_string("%.1f", n / 1024**power), F.lit(unit))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, by(1, " KB")).when(n < 1024**3, by(2, " MB")).otherwise(by(3, " GB"))
 
 
-def masked_key(key: Column) -> Column:
-    """its first eight and last four characters."""
-    return F.when(F.length(key) <= 12, F.lit("****")).otherwise(F.concat(F.substring(key, 1, 8), F.lit("…"), F.substring(key, -4, 4)))
+def key_columns(key: Column) -> Column:
+    """what is stored of a key: a placeholder by which it is unique, its hash, and its first 12 characters to show."""
+    digest = F.sha2(key, 256)
+    return F.struct(F.concat(F.lit("sha256:"), F.substring(digest, 1, 16)).alias("key"), digest.alias("key_hash"), F.substring(key, 1, 12).alias("key_prefix"))
+
+
+def key_preview(key: Column, prefix: Column) -> Column:
+    """the prefix that is stored; of a row from before there were any, the key itself up to 12 characters, else its first eight and last four."""
+    old = F.when(F.length(key) <= 12, key).otherwise(F.concat(F.substring(key, 1, 8), F.lit("\u2026"), F.substring(key, -4, 4)))
+    return F.when(F.coalesce(prefix, F.lit("")) != "", F.concat(prefix, F.lit("\u2026"))).otherwise(old)

@@ -93,6 +93,23 @@ def scroll(points: DataFrame, key: str, after: int | None, size: int) -> DataFra
     return rest.orderBy(key).limit(max(1, min(1_000, size)))
 
 
+def scroll_by(points: DataFrame, order: str, key: str, after: tuple | None, size: int, vector: str | None = None, with_vector: bool = False) -> DataFrame:
+    """The next points by another column and then the key, after the (order, key) last seen; points without a value of order come last and are paged by key, after (None, key). Vectors come if asked for."""
+    o, k = F.col(order), F.col(key)
+    rest = points
+    if after is not None:
+        seen, last = after
+        rest = points.where(o.isNull() & (k > last)) if seen is None else points.where((o > seen) | ((o == seen) & (k > last)) | o.isNull())
+    out = rest.orderBy(o.asc_nulls_last(), k).limit(max(1, min(1_000, size)))
+    return out.drop(vector) if vector and not with_vector else out
+
+
+def points(table: DataFrame, ids: DataFrame, key: str, vector: str | None = None, with_vector: bool = False) -> DataFrame:
+    """The points of ids, each once; ids of no point don't come. Vectors come if asked for, else they aren't read."""
+    rows = table.drop(vector) if vector and not with_vector else table
+    return rows.join(ids.select(key), key, "left_semi")
+
+
 def key_diff(rows: DataFrame, before: str, after: str) -> DataFrame:
     """A row for each key of either of two JSON objects whose values differ: the other columns, key, before and after (null where it has none)."""
     of = lambda c: F.coalesce(F.from_json(F.col(c), "map<string,string>"), F.create_map().cast("map<string,string>"))

@@ -34,13 +34,54 @@ def compat_projection(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at"), X.status_of(named).alias("status"), (state == "error").alias("failed"))
 
 
-@query("SELECT event_id, greatest(CAST(user_id % 40 AS INTEGER), 16) AS size, CAST(greatest(0, least(user_id % 30, floor((user_id % 40) / 4.0))) AS INTEGER) AS overlap, CASE WHEN event_type = 'click' THEN 'token' ELSE 'hybrid' END AS strategy FROM events")
+_CONFIGS = (
+    '{"size":%d,"overlap":%d,"strategy":"token"}', '{"size":"%d","overlap":%d,"strategy":"title","protects":["code",5]}', '{"size":%d,"overlap":true,"parentSize":%d,"strategy":"heading"}', '{"size":null,"overlap":1,"strategy":5,"n":%d}', "no json %d", '{"size":%d.5,"size":1}', '{"size":%d,"protects":"code","strategy":"hybrid"}',
+)
+
+
+@query("""WITH e AS (SELECT event_id, CAST(event_id % 7 AS INTEGER) AS k, user_id % 400 AS a, user_id % 300 AS b FROM events),
+    c AS (SELECT event_id, k, CASE WHEN k IN (0, 2, 6) THEN a ELSE 512 END AS size, CASE k WHEN 0 THEN b WHEN 1 THEN b WHEN 3 THEN 1 ELSE 0 END AS overlap, CASE k WHEN 2 THEN b ELSE 2000 END AS parent FROM e)
+    SELECT event_id, CAST(greatest(size, 16) AS INTEGER) AS size, CAST(greatest(0, least(overlap, size // 4)) AS INTEGER) AS overlap, CAST(greatest(size, parent) AS INTEGER) AS parent_size, CASE k WHEN 0 THEN 'token' WHEN 1 THEN 'title' ELSE 'hybrid' END AS strategy, CASE k WHEN 1 THEN ['code'] ELSE ['code', 'table'] END AS protects FROM c""")
 def config_sanitise(spark, sf_dir):
-    """P2, P3, C13, F25."""
-    strategy = F.when(F.col("event_type") == "click", "token").otherwise(F.col("event_type"))
-    json = F.to_json(F.struct((F.col("user_id") % 40).alias("size"), (F.col("user_id") % 30).alias("overlap"), strategy.alias("strategy")))
-    c = K.chunk_config(json)
-    return read(spark, sf_dir, "events").select("event_id", c["size"].alias("size"), c["overlap"].alias("overlap"), c["strategy"].alias("strategy"))
+    """Configurations with known and unknown strategies, numbers as texts, nulls, repeated keys and no JSON."""
+    e = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % len(_CONFIGS)).cast("int").alias("k"), (F.col("user_id") % 400).alias("a"), (F.col("user_id") % 300).alias("b"))
+    json = F.get(F.array(*(F.format_string(x, *(F.col(c) for c in "ab"[: x.count("%d")])) for x in _CONFIGS)), F.col("k"))
+    return e.select("event_id", K.chunk_config(json).alias("c")).select("event_id", "c.*")
+
+
+@query("""WITH e AS (SELECT vec_id, label, CAST(vec_id % 8 AS INTEGER) AS k FROM embeddings)
+    SELECT vec_id, CAST(CASE WHEN k IN (0, 1, 4) THEN label + 0.5 WHEN k IN (2, 5) THEN label + 0.25 WHEN k = 3 THEN 2.0 END AS DOUBLE) AS first_weight, CASE WHEN k IN (0, 4) THEN 2 WHEN k IN (1, 2, 3, 5) THEN 1 END AS n FROM e""")
+def sparse_probe(spark, sf_dir):
+    """V3: answers of embedding services in all shapes: arrays, pairs with a repeated index, an object with a zero and with a repeated index, nested, with data or of unequal lengths, and none; their first weight and how many there are."""
+    i, w = F.col("vec_id"), F.col("label")
+    shapes = (
+        '{"sparse_embedding":{"indices":[9,3],"values":[7,%s.5]}}', '{"sparse":[[4,1],[4,%s.5]]}', '{"lexical_weights":{"5":0,"6":%s.25,"x":1}}', '{"sparse":{"8":1.0,"8":2.0},"label":%s}', '{"embeddings":{"sparse":{"indices":[1,2],"data":[%s.5,1]}}}',
+        '{"sparse_indices":{"indices":[1,2],"values":[1]},"sparse":{"7":%s.25}}', '{"sparse":[[1,"%s"]]}', '{"sparse":null,"dense":[%s]}',
+    )
+    json = F.get(F.array(*(F.format_string(x, w) for x in shapes)), (i % len(shapes)).cast("int"))
+    found = K.sparse_probe(json)
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.get(F.map_values(found), F.lit(0)).alias("first_weight"), F.when(found.isNotNull(), F.size(found)).alias("n"))
+
+
+@query("SELECT count(DISTINCT label) AS collections, count(*) AS points FROM embeddings")
+def points_total(spark, sf_dir):
+    """Labels as collections, and the points of all."""
+    each = read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("points"))
+    return each.agg(F.count("label").alias("collections"), F.coalesce(F.sum("points"), F.lit(0)).alias("points"))
+
+
+@query("SELECT vec_id, label, len(embedding) AS dim, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def points_by_id(spark, sf_dir):
+    """Points of given ids with their vectors; ids of no point don't come, and repeated ones once."""
+    ids = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    points = T.points(read(spark, sf_dir, "embeddings"), ids.unionByName(ids).withColumnRenamed("doc_id", "vec_id"), "vec_id", vector="embedding", with_vector=True)
+    return points.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label > 3 OR label = 3 AND vec_id > 100 ORDER BY label, vec_id LIMIT 200")
+def scroll_by_label(spark, sf_dir):
+    """The page behind the point 100 of label 3, by label and id, without vectors."""
+    return T.scroll_by(read(spark, sf_dir, "embeddings"), "label", "vec_id", after=(3, 100), size=200, vector="embedding")
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN left(text, 60) WHEN 2 THEN 'in ' || source ELSE 'summary: ' || source || chr(10) || 'body: ' || left(text, 60) END AS text FROM documents WHERE trim(left(text, 60)) <> ''""")

@@ -1,9 +1,8 @@
 """Fragments of the DuckDB SQL that the queries are compared with."""
 
-from quarrymill.functions.text import CJK, TOKEN, WIDE
+from quarrymill.functions.text import TOKEN
 
 TOK = TOKEN.replace("'", "''")
-CJK_RE, WIDE_RE = CJK, WIDE
 
 
 def toks(text: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrymill.functions import contracts as K
 from quarrymill.functions import text as X
 from quarrymill.operators import tables as T
 from quarrymill.plans import sql
@@ -98,22 +99,87 @@ def clean_markdown(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(F.col("text")).alias("text"))
 
 
-@query(r"""SELECT item_id, list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')), lambda t: {'n': -len(t), 't': t})), lambda s: s.t) AS tokens FROM benchmark""")
+_MARKED = " State-of-the-art 2024 x RAG a_b RAG 知识库召回 中 知识库"
+
+
+@query(rf"""WITH t AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text || '{_MARKED}' ELSE text END AS t FROM benchmark),
+    r AS (SELECT item_id, regexp_extract_all(t, '[A-Za-z][A-Za-z0-9_-]+') AS w, regexp_extract_all(t, '[一-龥]{{2,}}') AS runs FROM t),
+    g AS (SELECT item_id, w, flatten(list_transform(runs, lambda x: list_concat([x], flatten(list_transform([2, 3, 4], lambda n: list_transform(range(1, greatest(length(x) - n + 2, 1)), lambda i: substr(x, i, n))))))) AS g FROM r),
+    f AS (SELECT item_id, list_concat(w, list_filter(g, lambda x, i: list_position(g, x) = i)) AS f FROM g)
+    SELECT item_id, list_transform(list_sort(list_transform(f, lambda x, i: {{'n': -length(x), 'i': i, 't': x}})), lambda x: x.t) AS tokens FROM f""")
 def highlight_tokens(spark, sf_dir):
-    """F7 (the questions have no CJK runs; the tests have)."""
-    return read(spark, sf_dir, "benchmark").select("item_id", X.highlight_tokens(F.col("text")).alias("tokens"))
+    """F7; every other question with hyphens, repeated words, numbers and CJK runs added."""
+    text = F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit(_MARKED))).otherwise(F.col("text"))
+    return read(spark, sf_dir, "benchmark").select("item_id", X.highlight_tokens(text).alias("tokens"))
+
 
+_WIDE_SQL = r"[\x{1100}-\x{115F}\x{2E80}-\x{A4CF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FFEF}]"
+_WIDTH_TAILS = ("", "ｱｲ﹐ 中文㐀", "…\U0001f600カ￦", "가ㄱ豈")
 
-@query(f"SELECT doc_id, CAST(greatest(1, floor(len(regexp_extract_all(text, '{sql.CJK_RE}')) + (length(text) - len(regexp_extract_all(text, '{sql.CJK_RE}'))) / 4.0 + 0.5)) AS BIGINT) AS rough, CAST(length(text) + len(regexp_extract_all(text, '{sql.WIDE_RE}')) AS BIGINT) AS width FROM documents")
+
+@query(rf"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE text || list_extract(['{_WIDTH_TAILS[0]}', '{_WIDTH_TAILS[1]}', '{_WIDTH_TAILS[2]}', '{_WIDTH_TAILS[3]}'], CAST(doc_id % 4 AS INTEGER) + 1) END AS t FROM documents),
+    n AS (SELECT doc_id, t, length(t) AS n, len(regexp_extract_all(t, '[一-鿿]')) AS c FROM t)
+    SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE greatest(1, floor(c + (n - c) / 4.0 + 0.5)) END AS BIGINT) AS rough, CAST(n + len(regexp_extract_all(t, '{_WIDE_SQL}')) AS BIGINT) AS width FROM n""")
 def rough_tokens_width(spark, sf_dir):
-    """F8, F9."""
-    return read(spark, sf_dir, "documents").select("doc_id", X.rough_tokens(F.col("text")).alias("rough"), X.display_width(F.col("text")).alias("width"))
+    """F8, F9; with wide, half-width and compatibility characters, and some empty texts."""
+    text = F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.concat("text", F.get(F.array(*(F.lit(x) for x in _WIDTH_TAILS)), (F.col("doc_id") % 4).cast("int"))))
+    return read(spark, sf_dir, "documents").select("doc_id", X.rough_tokens(text).alias("rough"), X.display_width(text).alias("width"))
+
+
+_BLANK_SQL = r"[ \t\n\x0b\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 
-@query(r"""SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(url, '[\\/:*?"<>|]+', ' ', 'g'), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), 80) AS filename FROM pages""")
+@query(rf"""WITH n AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '. ' || url || chr(127) || chr(8203) || 'x' || chr(12288) || chr(7) || 'y.' WHEN 2 THEN ' .' || chr(65279) || ' ?.' ELSE repeat(url || ' ', 5) END AS name FROM pages),
+    c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '[\x00-\x1F\x7F\\/:*?"<>|]', ' ', 'g'), '[\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}\x{{A0}}\x{{3000}}]', ' ', 'g'), '{_BLANK_SQL}', ' ', 'g'), '^[. ]+|[. ]+$', '', 'g') AS name FROM n)
+    SELECT page_id, left(CASE WHEN name = '' THEN 'page-' || page_id ELSE name END, 80) AS filename FROM c""")
 def safe_filename(spark, sf_dir):
-    """F12, S16."""
-    return read(spark, sf_dir, "pages").select("page_id", X.safe_filename(F.col("url")).alias("filename"))
+    """F12, S16; names with control, zero-width and wide characters, with nothing left, and too long."""
+    url, kind = F.col("url"), F.col("page_id") % 4
+    name = F.when(kind == 0, url).when(kind == 1, F.concat(F.lit(". "), url, F.lit("\x7f\u200bx\u3000\x07y."))).when(kind == 2, F.lit(" .\ufeff ?.")).otherwise(F.repeat(F.concat(url, F.lit(" ")), 5))
+    return read(spark, sf_dir, "pages").select("page_id", X.safe_filename(name, F.concat(F.lit("page-"), "page_id")).alias("filename"))
+
+
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(chr(160) || left(text, 200) || chr(8203) || chr(8233) || chr(12288) || chr(11) || ' .' || chr(65279) || ' ', '[\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]', '', 'g'), '{_BLANK_SQL}', ' ', 'g') AS text FROM documents""")
+def clean_inline(spark, sf_dir):
+    """beginnings of documents between spaces of all kinds."""
+    return read(spark, sf_dir, "documents").select("doc_id", X.clean_inline(F.concat(F.lit("\u00a0"), F.substring("text", 1, 200), F.lit("\u200b\u2029\u3000\x0b .\ufeff "))).alias("text"))
+
+
+@query("""WITH n AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN CAST(o_custkey AS BIGINT) WHEN 2 THEN o_orderkey * 1000 WHEN 3 THEN o_orderkey * 1000003 + 950000 ELSE o_orderkey * 5000000 + 999999 END AS n FROM orders),
+    d AS (SELECT o_orderkey, n, CASE WHEN n < 1000 THEN '' WHEN n < 1000000 THEN CAST((n * 20 + 1000) // 2000 // 10 AS VARCHAR) || '.' || (n * 20 + 1000) // 2000 % 10
+        WHEN n < 1000000000 THEN CAST((n * 200 + 1000000) // 2000000 // 100 AS VARCHAR) || '.' || lpad(CAST((n * 200 + 1000000) // 2000000 % 100 AS VARCHAR), 2, '0') ELSE CAST((n * 200 + 1000000000) // 2000000000 // 100 AS VARCHAR) || '.' || lpad(CAST((n * 200 + 1000000000) // 2000000000 % 100 AS VARCHAR), 2, '0') END AS t FROM n)
+    SELECT o_orderkey, CASE WHEN n IS NULL THEN '—' WHEN n < 1000 THEN CAST(n AS VARCHAR) ELSE rtrim(rtrim(t, '0'), '.') || CASE WHEN n < 1000000 THEN 'K' WHEN n < 1000000000 THEN 'M' ELSE 'B' END END AS shown FROM d""")
+def human_counts(spark, sf_dir):
+    """F26."""
+    k = F.col("o_orderkey").cast("long")
+    n = F.when(k % 5 == 1, F.col("o_custkey").cast("long")).when(k % 5 == 2, k * 1000).when(k % 5 == 3, k * 1000003 + 950000).when(k % 5 == 4, k * 5000000 + 999999)
+    return read(spark, sf_dir, "orders").select("o_orderkey", X.human_count(n).alias("shown"))
+
+
+@query("""WITH k AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'k' || c_custkey ELSE 'sk-' || c_name || '-' || c_custkey END AS k FROM customer)
+    SELECT c_custkey, 'sha256:' || left(sha256(k), 16) AS key, sha256(k) AS key_hash, left(k, 12) AS key_prefix, CASE WHEN c_custkey % 2 = 0 THEN left(k, 12) || '…' WHEN length(k) <= 12 THEN k ELSE left(k, 8) || '…' || right(k, 4) END AS shown FROM k""")
+def key_columns(spark, sf_dir):
+    """what is stored of keys, and how those with and without a stored prefix are shown."""
+    i = F.col("c_custkey")
+    key = F.when(i % 3 == 0, F.concat(F.lit("k"), i)).otherwise(F.concat(F.lit("sk-"), "c_name", F.lit("-"), i))
+    c = read(spark, sf_dir, "customer").select("c_custkey", key.alias("k"), X.key_columns(key).alias("x"))
+    return c.select("c_custkey", "x.*", X.key_preview(F.col("k"), F.when(i % 2 == 0, F.col("x.key_prefix"))).alias("shown"))
+
+
+_CODES = ("A0202", "-10001", "-30002", "-60002", "-60018", "404", "429", "503", "401", "200", "none of these", "-60003")
+_WAITS = ("5", "0", "1e1", "31", "-1", "soon", "", " 7.5 ", "Mon, 01 Jan 2024 00:00:20 GMT", "Mon, 01 Jan 2024 00:05:00 GMT", "Sun, 31 Dec 2023 23:59:00 GMT")
+
+
+@query(f"""WITH e AS (SELECT event_id, CASE WHEN event_id % 13 = 12 THEN NULL ELSE {list(_CODES)}[CAST(event_id % 13 AS INTEGER) + 1] END AS code, {list(_WAITS)}[CAST(event_id % 11 AS INTEGER) + 1] AS header FROM events),
+    c AS (SELECT *, CASE WHEN code IN ('A0202', 'A0211', '401') THEN 'MINERU_AUTH' WHEN code IN ('-30001', '-30002', '-30003') THEN 'MINERU_AGENT_LIMIT' WHEN code = '-60002' THEN 'MINERU_BAD_FILE' WHEN code IN ('-60004', '-60005', '-60006', '-60017', '-60018', '-60019') THEN 'MINERU_QUOTA' WHEN code IN ('400', '403', '404') THEN 'MINERU_API' END AS class FROM e)
+    SELECT event_id, class, class IS NULL AS retryable, CAST(CASE WHEN try_cast(trim(header) AS DOUBLE) >= 0 THEN least(try_cast(trim(header) AS DOUBLE) * 1000, 30000)
+        WHEN header LIKE '%GMT' THEN least(greatest(epoch_ms(strptime(header, '%a, %d %b %Y %H:%M:%S GMT')) - epoch_ms(TIMESTAMP '2024-01-01'), 0), 30000) END AS BIGINT) AS wait_ms FROM c""")
+def retry_policies(spark, sf_dir):
+    """classes of error codes, and what Retry-After headers say on the first of January 2024."""
+    at = lambda values, n: F.get(F.array(*(F.lit(x) for x in values)), (F.col("event_id") % n).cast("int"))
+    code = at(_CODES, 13)
+    now = F.timestamp_seconds(F.lit(1_704_067_200))
+    return read(spark, sf_dir, "events").select("event_id", K.error_class(code).alias("class"), K.is_retryable(code).alias("retryable"), K.retry_after_ms(at(_WAITS, 11), now).alias("wait_ms"))
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages""")

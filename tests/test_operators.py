@@ -42,7 +42,14 @@ def test_text_functions(spark):
     assert one(spark, X.js_round, -2.5, "double") == -2.0
     assert one(spark, X.display_width, "a中b") == 4
     assert one(spark, X.status_of, "upserting") == "indexing"
-    assert one(spark, X.masked_key, "sk-1234567890abcd") == "sk-12345…abcd"
+    assert one(spark, X.highlight_tokens, "State-of-the-art RAG 2024 中 a RAG x1") == ["State-of-the-art", "RAG", "RAG", "x1"]
+    assert {t: one(spark, X.display_width, t) for t in ("ｱｲ﹐", "", "㐀a")} == {"ｱｲ﹐": 6, "": 0, "㐀a": 3}
+    assert {t: one(spark, X.rough_tokens, t) for t in ("", None, "a", "中中", "abcdef")} == {"": 0, None: 0, "a": 1, "中中": 2, "abcdef": 2}
+    assert one(spark, X.clean_inline, " \u00a0a\u200b\u2028b ") == " a b "
+    assert one(spark, lambda n: X.safe_filename(n, F.lit("page")), "\x7f. ..") == "page" and one(spark, X.safe_filename, "a\u200b/\u3000b.") == "a b"
+    assert {n: one(spark, X.human_count, n, "long") for n in (None, -5, 999, 1_000, 1_250, 999_950, 1_000_000, 1_234_567, 2_500_000_000)} == {None: "—", -5: "-5", 999: "999", 1_000: "1K", 1_250: "1.3K", 999_950: "1000K", 1_000_000: "1M", 1_234_567: "1.23M", 2_500_000_000: "2.5B"}
+    assert one(spark, lambda k: X.key_preview(k, F.lit("")), "sk-1234567890abcd") == "sk-12345…abcd" and one(spark, lambda k: X.key_preview(k, F.lit(None)), "short-key") == "short-key"
+    assert one(spark, X.key_columns, "hello").asDict() == {"key": "sha256:2cf24dba5fb0a30e", "key_hash": "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824", "key_prefix": "hello"}
 
 
 def test_fusion(spark):
@@ -174,7 +181,16 @@ def test_contracts(spark):
         assert not one(spark, K.is_private, address), address
     payloads = {'{"text": 5, "content": " ", "chunk": " x "}': " x ", '{"_node_content": "{\\"text\\": \\"in\\"}", "a": "b"}': "in", '{"_a": "x", "c": "d", "n": 1, "b": "e"}': "c: d\nb: e", "[1]": "", "no": ""}
     assert {p: one(spark, K.payload_text, p) for p in payloads} == payloads
-    assert one(spark, K.is_retryable, "503") and not one(spark, K.is_retryable, "404")
+    assert {c: one(spark, K.error_class, c) for c in ("503", "404", "-10001", "A0211", "-60019", "zzz", None)} == {"503": None, "404": "MINERU_API", "-10001": None, "A0211": "MINERU_AUTH", "-60019": "MINERU_QUOTA", "zzz": None, None: None}
+    now = F.timestamp_seconds(F.lit(1_704_067_200))
+    waits = {"5": 5_000, "0": 0, "99": 30_000, "-1": None, "soon": None, "": None, None: None, "Mon, 01 Jan 2024 00:00:07 GMT": 7_000, "Sun, 31 Dec 2023 00:00:00 GMT": 0, "Tue, 02 Jan 2024 00:00:00 GMT": 30_000}
+    assert {h: one(spark, lambda x: K.retry_after_ms(x, now), h) for h in waits} == waits
+    repeated = {'{"a":"x","a":"y","b":"z"}': "a: y\nb: z", '{"text":"x","text":" "}': "text:  ", '{"text":"x","text":"y"}': "y"}
+    assert {p: one(spark, K.payload_text, p) for p in repeated} == repeated
+    sparse = {'[[1,0.5],[1,2]]': {1: 2.0}, '[{"index":1,"value":1},{"index":1,"value":2}]': {1: 2.0}, '{"1":1,"1":3}': {1: 3.0}, '{"indices":[2,1],"weights":[1,0]}': {1: 0.0, 2: 1.0}, '[[1,"x"]]': None, "[]": None, "{}": None, "no": None, None: None, '{"indices":[1],"values":[1,2]}': None}
+    assert {j: one(spark, K.sparse_field, j) for j in sparse} == sparse
+    configs = {'{"strategy":"title"}': ("title", 512), '{"strategy":"heading","size":"64"}': ("hybrid", 512), '{"size":64.9}': ("hybrid", 64), '{"size":1,"size":2}': ("hybrid", 512), "null": ("hybrid", 512), None: ("hybrid", 512)}
+    assert {j: (c["strategy"], c["size"]) for j in configs for c in [one(spark, K.chunk_config, j)]} == configs
 
 
 def test_upserts_of_a_key_in_two_batches(spark, tmp_path):
