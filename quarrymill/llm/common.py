@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,34 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+GIVE_BACK_EVERY = 8
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Arrow and the C library keep it, and a worker lives on to other stages beside an executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over the batches of a partition, giving memory back at its end, and Arrow's every few batches."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for k, out in enumerate(run(batches), 1):
+                yield out
+                del out
+                if k % GIVE_BACK_EVERY == 0:
+                    pa.default_memory_pool().release_unused()
+        finally:
+            give_back()
+
+    return over
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; where it is unset, a new one of our own if all runs on one machine, as in tests, and an error on a cluster."""
     sc = spark.sparkContext

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrymill.llm.common import ALNUM_WORDS, LOWER, bitmap, broadcast_bytes, in_bitmap, lists, materialize, pairs_of, sha256_hex, signed, text_slices, words
+from quarrymill.llm.common import ALNUM_WORDS, LOWER, bitmap, broadcast_bytes, giving_back, in_bitmap, lists, materialize, pairs_of, sha256_hex, signed, text_slices, words
 
 WINDOW = 13
 BROADCAST_ROWS = 50_000
@@ -68,7 +68,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item
                 )
 
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
-    split_items = items.mapInArrow(split, "item_id string, words array<string>, shingles array<long>").where(F.size("words") > 0)
+    split_items = items.mapInArrow(giving_back(split), "item_id string, words array<string>, shingles array<long>").where(F.size("words") > 0)
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0))))
     return split_items.withColumn("start", starts).select("item_id", "start", F.slice("words", F.col("start") + 1, F.lit(window)).alias("words"), F.slice("shingles", F.col("start") + 1, F.least(F.size("shingles"), F.lit(max(1, window - 1)))).alias("shingles"))
 
@@ -85,7 +85,7 @@ def _counts(docs: DataFrame, bits) -> DataFrame:
                 found, n = np.unique(both[in_bitmap(known, both)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
-    return docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(giving_back(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
 def _candidates(docs: DataFrame, bits, window: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _candidates(docs: DataFrame, bits, window: int) -> DataFrame:
                 np.cumsum(np.bincount(of, minlength=len(n_words)) if len(at) else np.zeros(len(n_words), dtype=np.int64), out=counts[1:])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.array(signed(whole)), pa.array(n_words.astype(np.int64)), pa.ListArray.from_arrays(pa.array(counts), found)], ["doc_id", "text_key", "n_words", "found"])
 
-    return docs.select("doc_id", "text").mapInArrow(find, schema)
+    return docs.select("doc_id", "text").mapInArrow(giving_back(find), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import LOWER, SPACED_WORDS, bitmap, broadcast_bytes, in_bitmap, lists, materialize, mix, pairs_of_two, signed, text_slices, words
+from quarrymill.llm.common import LOWER, SPACED_WORDS, bitmap, broadcast_bytes, give_back, giving_back, in_bitmap, lists, materialize, mix, pairs_of_two, signed, text_slices, words
 from quarrymill.llm.graph import components
 
 UNIVERSE_BITS = 32  # two texts of a million distinct shingles have one in ten thousand places in common by chance
@@ -83,7 +83,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
                 flat = np.concatenate(bands) if bands else np.empty(0, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), lists(signed(flat), np.array(n_bands), pa.int64())], ["doc_id", "n_shingles", "set_id", "bands"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return docs.mapInArrow(giving_back(sign), "doc_id long, n_shingles long, set_id binary, bands array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(known, batch.column("node").to_numpy(zero_copy_only=False))))
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").mapInArrow(pick, "node long, text string")
+    return docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").mapInArrow(giving_back(pick), "node long, text string")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -118,7 +118,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = _texts(docs, wanted)
     with_b = pairs.join(texts.toDF("b", "text_b"), "b")
-    return with_b.join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return with_b.join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(giving_back(check), "a long, b long")
 
 
 def _tiled(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -162,6 +162,8 @@ def _tiled(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFra
         union = sizes[asking][:, None] + sizes[~asking][None, :] - both
         i, j = np.nonzero((both > 0) & (100 * both >= percent * union) & (label[asking][:, None] != label[~asking][None, :]))
         found = pd.DataFrame({"a": node[asking][i], "b": node[~asking][j], "label": label[~asking][j]})
+        del sets, row, column, both, union, batch
+        give_back()
         return found.drop_duplicates(["a", "label"])[["a", "b"]].astype("int64")
 
     return asks.unionByName(holds).groupBy("key", "i", "j").applyInPandas(tile, "a long, b long")
@@ -191,7 +193,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(known, batch.column("key").to_numpy(zero_copy_only=False))))
 
-    members = materialize(banded.mapInArrow(pick, "node long, n long, key long").join(shared, "key"))
+    members = materialize(banded.mapInArrow(giving_back(pick), "node long, n long, key long").join(shared, "key"))
     degree = members.groupBy("node").agg(F.sum("members").alias("degree"))
     ranked = members.join(degree, "node")
     leaders = ranked.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("leader"), F.col("n").alias("leader_n")), F.struct("degree", -F.col("node"))).alias("lead")).select("key", "lead.*")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import BASE, in_small_batches, lists, lists_of
+from quarrymill.llm.common import BASE, giving_back, in_small_batches, lists, lists_of
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -24,7 +24,7 @@ SCALE, ZIPF_SHIFT = 10_000, 100
 N_BEST = 4
 FAR = -(1 << 60)
 LONG_UNIT = 48
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000
 GROUP_UNITS = 8_192
 BATCH_CHARACTERS = 2_500_000
 
@@ -354,7 +354,7 @@ def encode(docs: DataFrame, n: int = N_BEST, model_file: str = MODEL_FILE, id_co
                 at += len(some)
 
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_pieces long, ids array<int>, n_best array<struct<score:long,changes:array<struct<at:int,n:int,ids:array<int>>>>>"
-    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(run), schema)
 
 
 def decode_ids(v: Vocabulary, ids: list[int]) -> str:
@@ -373,4 +373,4 @@ def decode(encoded: DataFrame, model_file: str = MODEL_FILE, keep: tuple[str, ..
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(text, pa.string())], [*keep, "text"])
 
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return in_small_batches(encoded).select(*dict.fromkeys((*keep, "ids"))).mapInArrow(run, f"{schema}, text string")
+    return in_small_batches(encoded).select(*dict.fromkeys((*keep, "ids"))).mapInArrow(giving_back(run), f"{schema}, text string")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import byte_class, in_small_batches, text_slices
+from quarrymill.llm.common import byte_class, giving_back, in_small_batches, text_slices
 
 # The three base patterns and the least lengths of what they match.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -156,7 +156,7 @@ def score_histogram(docs: DataFrame) -> DataFrame:
         band, bin_ = np.nonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(bin_), pa.array(seen[band, bin_])], ["band", "bin", "n"])
 
-    return docs.mapInArrow(count, "band long, bin long, n long").groupBy("band", "bin").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(giving_back(count), "band long, bin long, n long").groupBy("band", "bin").agg(F.sum("n").alias("n"))
 
 
 def thresholds(histogram: list[tuple[int, int, int]], false_share: float = FALSE_SHARE) -> list[float]:
@@ -236,7 +236,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in _batch_spans(batch, limits)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(find, f"doc_id {docs.schema[id_col].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int>>")
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(find), f"doc_id {docs.schema[id_col].dataType.simpleString()}, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def _batch_spans(batch: pa.RecordBatch, limits: list[float]) -> list[list[tuple[str, int, int]]]:
@@ -265,7 +265,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
                 out.append("".join([*parts, said[at:]]) if spans else said)
             yield batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(out, pa.string()))
 
-    return in_small_batches(docs).mapInArrow(masked, docs.schema)
+    return in_small_batches(docs).mapInArrow(giving_back(masked), docs.schema)
 
 
 def digest(spans: Column) -> Column:

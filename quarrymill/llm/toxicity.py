@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import SPACED_WORDS, in_small_batches, materialize, text_slices, words
+from quarrymill.llm.common import SPACED_WORDS, giving_back, in_small_batches, materialize, text_slices, words
 
 DECAY = 0.6
 SPAN = 7  # a subsequence spreads over at most so many characters
@@ -274,7 +274,7 @@ def _words_of(rows: DataFrame) -> DataFrame:
                 found = pa.array(sorted(training_words(text.as_py())), pa.string())
                 yield pa.RecordBatch.from_arrays([found, pa.array(np.full(len(found), label.as_py(), dtype=np.int32))], ["word", "label"])
 
-    counted = rows.select("text", "toxic").mapInArrow(cut, "word string, label int").groupBy("word")
+    counted = rows.select("text", "toxic").mapInArrow(giving_back(cut), "word string, label int").groupBy("word")
     return counted.agg(F.sum("label").cast("long").alias("toxic"), F.sum(1 - F.col("label")).cast("long").alias("clean"))
 
 
@@ -285,7 +285,7 @@ def _over(words_: DataFrame, of, schema: str) -> DataFrame:
         for batch in batches:
             yield of(batch.column("word"), batch.column("toxic").to_numpy().astype(float), batch.column("clean").to_numpy().astype(float))
 
-    return words_.select("word", "toxic", "clean").mapInArrow(apply, schema)
+    return words_.select("word", "toxic", "clean").mapInArrow(giving_back(apply), schema)
 
 
 def _sums(words_: DataFrame, terms, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,7 +302,7 @@ def _sums(words_: DataFrame, terms, size: int) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([square[np.triu_indices(size)].tobytes()], pa.binary()), pa.array([linear.tobytes()], pa.binary())], ["square", "linear"])
 
     square, linear = np.zeros((size, size)), np.zeros(size)
-    for row in words_.select("word", "toxic", "clean").mapInArrow(apply, "square binary, linear binary").collect():
+    for row in words_.select("word", "toxic", "clean").mapInArrow(giving_back(apply), "square binary, linear binary").collect():
         square[np.triu_indices(size)] += np.frombuffer(bytes(row.square))
         linear += np.frombuffer(bytes(row.linear))
     return square + np.triu(square, 1).T, linear
@@ -386,7 +386,7 @@ def train(rows: DataFrame) -> Model | None:
             top = top_margins(last.value, batch, "text", known)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(top[:, 0]), pa.array(top[:, 1])], ["toxic", "a", "b"])
 
-    tops = sorted((r.toxic, r.a, r.b) for r in rows.select("text", "toxic").mapInArrow(of_texts, "toxic int, a double, b double").collect())
+    tops = sorted((r.toxic, r.a, r.b) for r in rows.select("text", "toxic").mapInArrow(giving_back(of_texts), "toxic int, a double, b double").collect())
     label, x = np.array([t[0] for t in tops], dtype=float), _evidence(np.array([t[1:] for t in tops]))
     v, ridge = np.zeros(3), np.array([0.5, 0.5, 0.01])
     for _ in range(200):  # logistic regression by damped Newton steps
@@ -424,7 +424,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.scores(top_margins(sent.value, batch, "text", known)))], ["doc_id", "score"])
 
-    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(apply, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(apply), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
 def not_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -438,4 +438,4 @@ def not_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
         for batch in batches:
             yield batch.filter(pa.array(sent.value.scores(top_margins(sent.value, batch, text_col, known)) < threshold))
 
-    return in_small_batches(docs).mapInArrow(apply, docs.schema)
+    return in_small_batches(docs).mapInArrow(giving_back(apply), docs.schema)
