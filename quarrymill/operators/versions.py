@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def snapshot(history: DataFrame, chunks: DataFrame, version: int) -> DataFrame:
@@ -33,19 +34,42 @@ def dice(a: str, b: str) -> float:
 
 
 def anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence; where there is a choice, the left side moves on first."""
-    length = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    right = np.array(b, dtype=object)
-    for i in range(len(a) - 1, -1, -1):
-        same = right == a[i]
-        for j in range(len(b) - 1, -1, -1):
-            length[i, j] = length[i + 1, j + 1] + 1 if same[j] else max(length[i + 1, j], length[i, j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
+    """Index pairs of a longest common subsequence; where there is a choice, the left side moves on first.
+
+    Rows of the table of lengths are kept as bits, one for each place of b at which a length doesn't grow, and one row follows from the next
+    by a few operations on big integers. Only every so many rows are kept, those between are computed again as the path comes to them:
+    20 000 against 20 000 take seconds and some megabytes.
+    """
+    n, m = len(a), len(b)
+    full = (1 << m) - 1
+    places: dict[str, int] = {}
+    for j, x in enumerate(reversed(b)):
+        places[x] = places.get(x, 0) | 1 << j
+
+    def before(row: int, i: int) -> int:
+        """The row of a[i:] from that of a[i + 1:]."""
+        met = row & places.get(a[i], 0)
+        return (row + met | row - met) & full
+
+    step = math.isqrt(n) + 1
+    kept = {n: full}
+    row = full
+    for i in range(n - 1, -1, -1):
+        row = before(row, i)
+        if i % step == 0:
+            kept[i] = row
+    common = lambda row, j: m - j - (row & ((1 << m - j) - 1)).bit_count()  # noqa: E731  of what is left of both
+    out, i, j, block = [], 0, 0, {}
+    while i < n and j < m:
+        if i not in block or i + 1 not in block:
+            end = min(n, (i // step + 1) * step)
+            row, block = kept[end], {end: kept[end]}
+            for k in range(end - 1, i - 1, -1):
+                row = block[k] = before(row, k)
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif length[i + 1, j] >= length[i, j + 1]:
+        elif common(block[i + 1], j) >= common(block[i], j + 1):
             i += 1
         else:
             j += 1
@@ -56,32 +80,38 @@ def diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """(doc_id, kind, left_seq, right_seq, similarity) of two versions (doc_id, seq, fingerprint, text) of documents.
 
     Equal fingerprints in order are the same; between them, what is left over is paired in order as changed, with the similarity of
-    the texts, and the rest is removed or added. A document's chunks of one version are one group, which the store holds under 500.
+    the texts, and the rest is removed or added. A document's fingerprints of both versions meet in one group, without their texts; of
+    those only the changed pairs' are joined, and compared wherever they come to. Null fingerprints are equal.
     """
-    schema = "doc_id long, kind string, left_seq int, right_seq int, similarity double"
+    schema = "doc_id long, kind string, left_seq int, right_seq int"
 
     def align(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a.columns = b.columns = ["doc_id", "seq", "fingerprint", "text"]
-        a, b = a.sort_values("seq"), b.sort_values("seq")
-        rows, i, j = [], 0, 0
-        for x, y in [*anchors(list(a["fingerprint"]), list(b["fingerprint"])), (len(a), len(b))]:
-            gap = min(x - i, y - j)
-            for k in range(max(x - i, y - j)):
-                if k < gap:
-                    rows.append((key[0], "changed", a["seq"].iloc[i + k], b["seq"].iloc[j + k], dice(a["text"].iloc[i + k], b["text"].iloc[j + k])))
-                elif k < x - i:
-                    rows.append((key[0], "removed", a["seq"].iloc[i + k], None, None))
-                else:
-                    rows.append((key[0], "added", None, b["seq"].iloc[j + k], None))
+        a.columns = b.columns = ["doc_id", "seq", "fingerprint"]
+        a, b = a.sort_values("seq", kind="stable"), b.sort_values("seq", kind="stable")
+        of_a, of_b, rows, i, j = a["seq"].tolist(), b["seq"].tolist(), [], 0, 0
+        for x, y in [*anchors(a["fingerprint"].tolist(), b["fingerprint"].tolist()), (len(a), len(b))]:
+            paired = min(x - i, y - j)
+            rows += [("changed", of_a[i + k], of_b[j + k]) for k in range(paired)]
+            rows += [("removed", s, None) for s in of_a[i + paired : x]] + [("added", None, s) for s in of_b[j + paired : y]]
             if x < len(a):
-                rows.append((key[0], "same", a["seq"].iloc[x], b["seq"].iloc[y], 1.0))
+                rows.append(("same", of_a[x], of_b[y]))
             i, j = x + 1, y + 1
-        out = pd.DataFrame(rows, columns=["doc_id", "kind", "left_seq", "right_seq", "similarity"])
-        return out.astype({"left_seq": "Int32", "right_seq": "Int32", "similarity": "float64"})
+        out = pd.DataFrame(rows, columns=["kind", "left_seq", "right_seq"])
+        out.insert(0, "doc_id", key[0])
+        return out.astype({"left_seq": "Int32", "right_seq": "Int32"})
 
     # New names for the columns, as the two versions may come from one table.
     left, right = (x.select(*(F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "seq", "fingerprint", "text"))) for x, side in ((left, "a"), (right, "b")))
-    return left.groupBy("a_doc_id").cogroup(right.groupBy("b_doc_id")).applyInPandas(align, schema)
+    aligned = left.drop("a_text").groupBy("a_doc_id").cogroup(right.drop("b_text").groupBy("b_doc_id")).applyInPandas(align, schema)
+    texts = lambda x, side: x.select(F.col(f"{side}_doc_id").alias("doc_id"), F.col(f"{side}_seq").cast("int").alias("left_seq" if side == "a" else "right_seq"), F.col(f"{side}_text"))
+    changed = F.col("kind") == "changed"
+    met = aligned.where(changed).join(texts(left, "a"), ["doc_id", "left_seq"]).join(texts(right, "b"), ["doc_id", "right_seq"]).select("doc_id", "kind", "left_seq", "right_seq", _similar("a_text", "b_text").alias("similarity"))
+    return aligned.where(~changed).withColumn("similarity", F.when(F.col("kind") == "same", 1.0)).unionByName(met)
+
+
+@F.pandas_udf(DoubleType())
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([dice(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def summary(changes: DataFrame) -> DataFrame:
@@ -92,3 +122,12 @@ def summary(changes: DataFrame) -> DataFrame:
 def report_lines(changes: DataFrame) -> DataFrame:
     """A line of a Markdown report for each change but the same."""
     return changes.where("kind <> 'same'").select("doc_id", F.coalesce("left_seq", "right_seq").alias("at"), F.format_string("- %s: %s → %s", "kind", F.coalesce(F.col("left_seq").cast("string"), F.lit("–")), F.coalesce(F.col("right_seq").cast("string"), F.lit("–"))).alias("line"))
+
+
+def report_json(changes: DataFrame) -> DataFrame:
+    """(doc_id, report) with a JSON document for each: how many changes there are of each kind, and all of them but the same in order. A document's changes become one value, as the reader of a report gets it."""
+    n = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
+    order = F.struct(F.coalesce("left_seq", "right_seq").alias("at"), "kind", "left_seq", "right_seq", F.round("similarity", 4).alias("similarity"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("kind") != "same", order)))
+    per_doc = changes.groupBy("doc_id").agg(*(n(k) for k in ("same", "changed", "added", "removed")), listed.alias("changes"))
+    return per_doc.select("doc_id", F.to_json(F.struct(F.struct("same", "changed", "added", "removed").alias("summary"), "changes"), {"ignoreNullFields": "false"}).alias("report"))
