@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -11,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import TOKEN, chunk_id, fingerprint16
+from quarrymill.functions.text import TOKEN, chunk_id, fingerprint16, uuid5
 from quarrymill.operators.tables import overlaps
 
 _TOKEN = regex.compile(TOKEN)
@@ -169,7 +170,7 @@ def children(parent: list[Part], config: Config) -> list[Part]:
 
 
 BLOCK_SCHEMA = "doc_id long, idx int, kind string, level int, char_start long, char_end long, text string, n_tokens long"
-CHUNK_SCHEMA = "doc_id long, seq int, is_parent boolean, parent_seq int, doc_type string, text string, token_count long, char_start long, char_end long"
+CHUNK_SCHEMA = "doc_id long, seq int, is_parent boolean, parent_seq int, doc_type string, text string, token_count long, char_start long, char_end long, parent_hash string"
 
 
 def md_blocks(docs: DataFrame) -> DataFrame:
@@ -198,20 +199,26 @@ def chunk_markdown(docs: DataFrame, config: Config = Config()) -> DataFrame:
                 md, seq = (md or "").replace("\r\n", "\n"), 0
                 for group in parents(blocks(md), config):
                     top, text = seq, md[group[0].start : group[-1].end]
-                    rows.append((doc, top, True, None, "text", text, count(text), group[0].start, group[-1].end))
+                    digest = hashlib.sha256(text.encode()).hexdigest()[:16]
+                    rows.append((doc, top, True, None, "text", text, count(text), group[0].start, group[-1].end, None))
                     for seq, c in enumerate(children(group, config), top + 1):
-                        rows.append((doc, seq, False, top, c.kind, c.text, c.tokens, c.start, c.end))
+                        rows.append((doc, seq, False, top, c.kind, c.text, c.tokens, c.start, c.end, digest))
                     seq += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "seq", "is_parent", "parent_seq", "doc_type", "text", "token_count", "char_start", "char_end"])
+            out = pd.DataFrame(rows, columns=["doc_id", "seq", "is_parent", "parent_seq", "doc_type", "text", "token_count", "char_start", "char_end", "parent_hash"])
             yield out.astype({"parent_seq": "Int32"})
 
     return docs.select("doc_id", "md").mapInPandas(cut, CHUNK_SCHEMA)
 
 
-def with_ids(chunks: DataFrame, kb: str) -> DataFrame:
-    """Chunk and parent ids, fingerprints, previews, and the parent's text where it has at most 2 000 tokens."""
-    named = chunks.withColumns({"chunk_id": chunk_id(F.lit(kb), F.col("doc_id").cast("string"), F.col("seq").cast("string"), F.col("text")), "fingerprint": fingerprint16(F.col("is_parent"), F.col("text")), "text_preview": F.substring("text", 1, 500)})
-    top = named.where("is_parent").select("doc_id", F.col("seq").alias("parent_seq"), F.col("chunk_id").alias("parent_id"), F.when(F.col("token_count") <= 2_000, F.col("text")).alias("parent_text"))
+def with_ids(chunks: DataFrame, kb: str, parent_text: bool = False) -> DataFrame:
+    """Chunk and parent ids, fingerprints, previews and, if asked for, the parent's text where it has at most 2 000 tokens. A parent's id follows from the hash that the cut has left with its children; only its text is a join."""
+    doc = F.col("doc_id").cast("string")
+    parent = F.when(F.col("parent_hash").isNotNull(), uuid5(F.concat_ws(":", F.lit(kb), doc, F.col("parent_seq").cast("string"), F.col("parent_hash"))))
+    columns = {"chunk_id": chunk_id(F.lit(kb), doc, F.col("seq").cast("string"), F.col("text")), "parent_id": parent, "fingerprint": fingerprint16(F.col("is_parent"), F.col("text")), "text_preview": F.substring("text", 1, 500)}
+    named = chunks.withColumns(columns).drop("parent_hash")
+    if not parent_text:
+        return named
+    top = chunks.where("is_parent").select("doc_id", F.col("seq").alias("parent_seq"), F.when(F.col("token_count") <= 2_000, F.col("text")).alias("parent_text"))
     return named.join(top, ["doc_id", "parent_seq"], "left")
 
 

@@ -10,12 +10,16 @@ from pyspark.sql.window import Window
 from quarrymill.operators import chunking as C
 from quarrymill.operators import edits as E
 from quarrymill.operators import history as H
+from quarrymill.operators import inference as I
 from quarrymill.operators import versions as V
+from quarrymill.plans import sql
 from quarrymill.sources import html_markdown, layout
 from quarrymill.sources.shared import shared_folder
 from quarrymill.streaming import jobs
 
 QUERIES, ORACLES = {}, {}
+_WIDE_SQL = r"[\x{1100}-\x{115F}\x{2E80}-\x{A4CF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FFEF}]"
+_EMBEDDED = f"WITH {sql.postings('d', 'documents', 'doc_id', 'text', 1024, True)} SELECT id AS doc_id, count(*) AS n_components, round(sum(w * w), 6) AS norm, round(max(w), 6) AS largest, round(sum(w), 6) AS total FROM d GROUP BY 1"
 
 
 def query(oracle: str | None = None):
@@ -76,6 +80,26 @@ def chunk_stats(spark, sf_dir):
     return C.stats(C.chunk_markdown(_docs_md(spark, sf_dir), C.Config(size=128, parent_size=512)))
 
 
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE trim(text) <> ''),
+    w AS (SELECT doc_id, t, n, 0 AS a, 1 AS page, greatest(1, CAST(ceil((n + len(regexp_extract_all(t, '{_WIDE_SQL}'))) / 88.0) AS BIGINT)) AS need FROM d
+    UNION ALL SELECT doc_id, t, n, c, page + 1, greatest(1, CAST(ceil((n - c + len(regexp_extract_all(substr(t, c + 1), '{_WIDE_SQL}'))) / 88.0) AS BIGINT)) FROM (SELECT *, a + greatest(1, CAST(floor((n - a) * least(0.95::DOUBLE, 46.0::DOUBLE / need)) AS BIGINT)) AS c FROM w WHERE need > 46))
+    SELECT doc_id, CAST(page - 1 AS INTEGER) AS idx, CAST(page AS INTEGER) AS page, CAST(a AS BIGINT) AS b_start, CAST(CASE WHEN need > 46 THEN a + greatest(1, CAST(floor((n - a) * least(0.95::DOUBLE, 46.0::DOUBLE / need)) AS BIGINT)) ELSE n END AS BIGINT) AS b_end,
+        CAST(842 - 50 - 16 * least(need, 46) AS DOUBLE) AS bottom, CASE WHEN need > 46 THEN left(substr(t, a + 1, greatest(1, CAST(floor((n - a) * least(0.95::DOUBLE, 46.0::DOUBLE / need)) AS BIGINT))), 200) ELSE left(t, 200) END AS text FROM w""")
+def synthetic_layout(spark, sf_dir):
+    """Documents, each one paragraph, on made-up pages."""
+    rows = layout.synthetic(_docs_md(spark, sf_dir))
+    return rows.select("doc_id", "idx", "page", "b_start", "b_end", F.get("bbox", F.lit(1)).alias("bottom"), "text")
+
+
+@query(_EMBEDDED)
+def embed_batched(spark, sf_dir):
+    """V2, V1: documents embedded by a model in batches of 64; the model is the local one, so the vectors are those of hash_embed_dense_norm."""
+    v = I.embedded(read(spark, sf_dir, "documents").select("doc_id", "text"), I.local_embedder(1024), "text", dim=1024).drop("text")
+    there = v.select("doc_id", F.filter("vector", lambda x: x != 0).alias("v")).where(F.size("v") > 0)
+    total = lambda f: F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + f(x)), 6)
+    return there.select("doc_id", F.size("v").cast("long").alias("n_components"), total(lambda x: x * x).alias("norm"), F.round(F.array_max("v"), 6).alias("largest"), total(lambda x: x).alias("total"))
+
+
 @query()
 def chunk_pages(spark, sf_dir):
     """Pages and boxes of chunks by a made-up layout."""

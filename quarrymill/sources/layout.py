@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,51 +10,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LINES_PER_PAGE, WIDTH_UNITS, PAGE_W, PAGE_H, MARGIN = 46, 88, 595.0, 842.0, 56.0
-LAYOUT_SCHEMA = "doc_id long, idx int, page int, b_start long, b_end long, bbox array<double>, text string"
+from quarrymill.functions.text import WIDE
 
+# A page of A4 in points, its margin and line height, how many units of width a line has, and how much of a block's text its layout keeps.
+PAGE_W, PAGE_H, MARGIN, LINE_H, WIDTH_UNITS, KEPT = 595, 842, 50, 16, 88, 200
+LINES_PER_PAGE = (PAGE_H - 2 * MARGIN) // LINE_H
+KINDS = {"heading": "title", "code": "code", "table": "table", "image": "image"}
+PREFIX = 60
+LAYOUT_SCHEMA = "doc_id long, idx int, type string, page int, b_start long, b_end long, bbox array<double>, text string"
+_WIDE = re.compile(WIDE)
 
-def located(blocks: DataFrame) -> DataFrame:
-    """Blocks (doc_id, idx, page, text) of docs with md: each is looked for by its first 60 characters from where the last one ended; one not found has no width there and the last page found."""
 
-    def find(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        md, at, page, out = rows["md"].iloc[0] or "", 0, 0, []
-        for r in rows.itertuples():
-            start = md.find((r.text or "")[:60], at) if r.text else -1
+def located(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks (doc_id, idx, page, text) of docs (doc_id, md) with the offsets b_start and b_end: each is looked for by its first 60 characters from where the last one ended; one not found has no width there and the last page found.
+
+    A document's text meets its blocks once, beside them, not on each of their rows. Blocks of unknown documents and of null texts are found nowhere; documents without blocks have no rows.
+    """
+
+    def find(key: tuple, of: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        md = next((x for x in of["own_md"] if x), "") if len(of) else ""
+        at, page, out = 0, 0, []
+        for r in rows.sort_values("idx").itertuples():
+            start = md.find(r.text[:PREFIX], at) if r.text else -1
             if start >= 0:
                 at, page = start + len(r.text), r.page
-                out.append((key[0], r.idx, page, start, at))
-            else:
-                out.append((key[0], r.idx, page, at, at))
+            out.append((key[0], r.idx, page, start if start >= 0 else at, at))
         return pd.DataFrame(out, columns=["doc_id", "idx", "page", "b_start", "b_end"])
 
-    return blocks.groupBy("doc_id").applyInPandas(find, "doc_id long, idx int, page int, b_start long, b_end long")
+    texts = docs.select(F.col("doc_id").alias("own_id"), F.col("md").alias("own_md"))
+    return texts.groupBy("own_id").cogroup(blocks.select("doc_id", "idx", "page", "text").groupBy("doc_id")).applyInPandas(find, "doc_id long, idx int, page int, b_start long, b_end long")
+
+
+def fill_pages(blocks: list[tuple[str, int, int, str]]) -> list[tuple]:
+    """(type, page from 1, start, end, box, text) of the blocks (kind, start, end, text) of a document, set line after line.
+
+    A block of more lines than are left on its page goes to the next one; only one of over a page is cut, by the share of its lines that
+    fits and at most 95 % of its characters, and goes on there. The last part of a block keeps the beginning of its text, others their
+    own. The box of a part that is cut reaches to its page's last line.
+    """
+    out, page, line = [], 1, 0
+    box = lambda top, bottom: [float(MARGIN), float(PAGE_H - MARGIN - bottom * LINE_H), float(PAGE_W - MARGIN), float(PAGE_H - MARGIN - top * LINE_H)]
+    for kind, start, end, text in blocks:
+        at = 0
+        while text.strip() and at < len(text):
+            rest = len(text) - at
+            need = max(1, -(-(rest + len(_WIDE.findall(text, at))) // WIDTH_UNITS))
+            free = LINES_PER_PAGE - line
+            if need <= free:
+                out.append((KINDS.get(kind, "text"), page, start + at, end, box(line, line + need), text[:KEPT]))
+                line, at = line + need, len(text)
+                continue
+            if free > 0 and need > LINES_PER_PAGE:
+                cut = max(1, int(rest * min(0.95, free / need)))
+                out.append((KINDS.get(kind, "text"), page, start + at, start + at + cut, box(line, LINES_PER_PAGE), text[at : at + cut][:KEPT]))
+                at += cut
+            page, line = page + 1, 0
+    return out
 
 
 def synthetic(docs: DataFrame) -> DataFrame:
-    """A layout for docs (doc_id, md) of A4 pages of 46 lines of 88 units, wide characters taking two; a block over a page's end gives a part on each."""
+    """A layout for docs (doc_id, md); see fill_pages. Empty and null texts have none."""
 
     def lay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from quarrymill.operators.chunking import blocks
-        from quarrymill.sources.html_markdown import _width
 
-        height = (PAGE_H - 2 * MARGIN) / LINES_PER_PAGE
         for frame in frames:
             rows = []
             for doc, md in zip(frame["doc_id"], frame["md"], strict=True):
-                line = idx = 0
-                for b in blocks((md or "").replace("\r\n", "\n")):
-                    need = sum(max(1, -(-_width(x) // WIDTH_UNITS)) for x in b.text.split("\n"))
-                    done, at = 0, b.start
-                    while done < need:
-                        take = min(need - done, LINES_PER_PAGE - line % LINES_PER_PAGE)
-                        end = b.end if done + take == need else b.start + len(b.text) * (done + take) // need
-                        top = PAGE_H - MARGIN - (line % LINES_PER_PAGE) * height
-                        rows.append((doc, idx, line // LINES_PER_PAGE, at, end, [MARGIN, top - take * height, PAGE_W - MARGIN, top], b.text[at - b.start : end - b.start]))
-                        at, done, line, idx = end, done + take, line + take, idx + 1
-                    line += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "idx", "page", "b_start", "b_end", "bbox", "text"])
+                set_ = fill_pages([(b.kind, b.start, b.end, b.text) for b in blocks((md or "").replace("\r\n", "\n"))])
+                rows += [(doc, idx, *x) for idx, x in enumerate(set_)]
+            yield pd.DataFrame(rows, columns=["doc_id", "idx", "type", "page", "b_start", "b_end", "bbox", "text"])
 
     return docs.select("doc_id", "md").mapInPandas(lay, LAYOUT_SCHEMA)
 

@@ -60,9 +60,12 @@ def test_html():
 def test_layout(spark):
     docs = spark.createDataFrame([(1, "\n\n".join(["line"] * 60)), (2, None)], "doc_id long, md string")
     rows = layout.synthetic(docs).collect()
-    assert {r.doc_id for r in rows} == {1} and {r.page for r in rows} == {0, 1, 2} and all(r.text == "line" for r in rows)
-    blocks = spark.createDataFrame([(1, 0, 0, "ab", "ab cd ab"), (1, 1, 1, "zz", "ab cd ab"), (1, 2, 2, "ab", "ab cd ab")], "doc_id long, idx int, page int, text string, md string")
-    assert [(r.b_start, r.b_end, r.page) for r in layout.located(blocks).orderBy("idx").collect()] == [(0, 2, 0), (2, 2, 0), (6, 8, 2)]
+    assert {r.doc_id for r in rows} == {1} and [r.page for r in rows] == [1] * 46 + [2] * 14 and all(r.text == "line" and r.type == "text" for r in rows)
+    assert (rows[0].bbox, rows[1].bbox, rows[46].bbox) == ([50, 776, 545, 792], [50, 760, 545, 776], [50, 776, 545, 792])
+    texts = spark.createDataFrame([(1, "ab cd ab"), (2, None), (4, "x")], "doc_id long, md string")
+    blocks = spark.createDataFrame([(1, 0, 0, "ab"), (1, 1, 1, "zz"), (1, 2, 2, "ab"), (1, 3, 3, None), (2, 0, 5, "a"), (3, 0, 1, "b")], "doc_id long, idx int, page int, text string")
+    got = [tuple(r) for r in layout.located(texts, blocks).orderBy("doc_id", "idx").collect()]
+    assert got == [(1, 0, 0, 0, 2), (1, 1, 0, 2, 2), (1, 2, 2, 6, 8), (1, 3, 2, 8, 8), (2, 0, 0, 0, 0), (3, 0, 0, 0, 0)]
     lines = layout.text_lines(spark.createDataFrame([(1, 0, 10.0, 700.1, 5.0, "b"), (1, 0, 0.0, 700.0, 5.0, "a"), (1, 0, 0.0, 690.0, 5.0, "c")], "doc_id long, page int, x double, y double, w double, text string"))
     assert sorted(r.text for r in lines.collect()) == ["a b", "c"]
     parts = spark.createDataFrame([(1, 0, "abc", 2), (1, 1, "d", 3)], "doc_id long, part int, md string, pages int")
@@ -86,3 +89,18 @@ def test_sinks(spark, tmp_path):
     sinks.create_collection(spark, "kb_test", 4)
     sinks.create_collection(spark, "kb_test", 4)
     assert spark.table("kb_test").count() == 0
+
+
+def test_blocks_fill_pages():
+    fill = lambda *texts: [(p, a, b, t) for _, p, a, b, _, t in layout.fill_pages([("paragraph", 0, len(t), t) for t in texts])]
+    assert fill("", " \n", "x") == [(1, 0, 1, "x")]
+    # Forty lines, then ten that don't fit in the six left, then one.
+    assert [x[:3] for x in fill("a" * 40 * 88, "b" * 10 * 88, "c")] == [(1, 0, 3_520), (2, 0, 880), (2, 0, 1)]
+    # Of 100 lines, 46 fit the first page and 46 the second; what is cut keeps its own text, the end the beginning of all.
+    long = "".join(chr(97 + k // 88 % 26) for k in range(8_800))
+    assert [x[:3] for x in fill(long)] == [(1, 0, 4_048), (2, 4_048, 8_096), (3, 8_096, 8_800)]
+    assert [x[3] for x in fill(long)] == [long[:200], long[4_048:4_248], long[:200]]
+    # A block over a page after another: six lines are left of the first, and no more than 95 % go at once.
+    assert [x[:3] for x in fill("a" * 40 * 88, "b" * 47 * 88)] == [(1, 0, 3_520), (1, 0, 528), (2, 528, 4_136)]
+    assert fill("\u4e2d" * 44)[0][:3] == (1, 0, 44) and len(fill("\u4e2d" * 44 * 46)) == 1 and len(fill("\u4e2d" * 44 * 47)) == 2
+    assert layout.fill_pages([("heading", 5, 8, "# x"), ("code", 9, 10, "y")])[1][:4] == ("code", 1, 9, 10)
