@@ -28,12 +28,14 @@ SCOPES = frozenset("article aside body div footer form header html main nav ol s
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ASIDE_TAGS = frozenset("aside button dialog footer form head header input label menu nav select title".split())
 ASIDE_MARKS = frozenset("ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar".split())
+# Of marks of several words, what the last one or, before a word for a container, the first one says counts; what only tells that something is there does not.
+CONTAINERS = frozenset("area bar block box button buttons container content form group inner item items left links list outer panel posts right section signup slot text thread top unit widget wrap wrapper".split())
+TELLING = frozenset("has is no not show with without".split())
 MAIN_TAGS, MAIN_MARKS = ("article", "main"), frozenset({"main", "article"})
 
 MAX_DEPTH = 150
-TEMPLATE_PAGES = 8
 MERGE_FAN = 16
-BROADCAST_HOSTS = 10_000
+BROADCAST_CHARS = 16 << 20
 
 
 class Node:
@@ -186,11 +188,29 @@ def regular_expression(node: Node) -> str:
     return f"({said})" + ("*" if node.optional and node.repeated else "?" if node.optional else "+") if node.optional or node.repeated else said
 
 
-def _is_aside(key: str) -> bool:
+def _says(mark: str) -> str:
+    """The aside that a word of a class, id or role names; empty for none."""
+    first, *rest = [x for x in re.split(r"[_-]+", mark) if x] or [""]
+    if not rest:
+        return first if first in ASIDE_MARKS else ""
+    if first in TELLING:
+        return ""
+    return rest[-1] if rest[-1] in ASIDE_MARKS else first if first in ASIDE_MARKS and rest[-1] in CONTAINERS else ""
+
+
+def _aside(key: str) -> str:
+    """What of the page an element is, if it is none of its article: header, form or aside; empty for none."""
     name, *marks = key.split(" ")
     if name in ("html", "body", "main", "article"):
-        return False
-    return name in ASIDE_TAGS or any(x in ASIDE_MARKS for m in marks for x in re.split(r"[=_-]+", m))
+        return ""
+    said = {_says(m.split("=", 1)[-1]) for m in marks} - {""}
+    if name in ASIDE_TAGS - {"header", "form"} or said - {"header"}:
+        return "aside"
+    return "form" if name == "form" else "header" if name == "header" or said else ""
+
+
+def _is_aside(key: str) -> bool:
+    return _aside(key) != ""
 
 
 def _is_main(key: str, name: str) -> bool:
@@ -209,11 +229,9 @@ class _Met:
 
     __slots__ = ("key", "nodes", "kids", "changing", "chars")
 
-    def __init__(self, model: Node, nodes: list[Node], template: set[int]) -> None:
+    def __init__(self, model: Node, nodes: list[Node]) -> None:
         self.key, self.nodes, self.kids, self.changing, self.chars = model.key, nodes, [], 0.0, 0.0
         if model.key == "#":
-            if model.text is not None and model.pages >= TEMPLATE_PAGES:
-                template.update(map(id, nodes))
             self.chars = model.chars / model.pages
             # A text of one page isn't known to be the same in others.
             self.changing = self.chars if model.text is None or model.pages == 1 else 0.0
@@ -228,7 +246,7 @@ class _Met:
                     if found is not None:
                         at = found
                         held.setdefault(found, []).append(k)
-            self.kids = [_Met(model.kids[i], x, template) for i, x in sorted(held.items())]
+            self.kids = [_Met(model.kids[i], x) for i, x in sorted(held.items())]
             self.changing, self.chars = sum(k.changing for k in self.kids), sum(k.chars for k in self.kids)
 
 
@@ -245,24 +263,40 @@ def changing_parts(at: _Met) -> list[Node]:
 def article_text(page: Node, wrapper: Node) -> str:
     """The text of a page's article: of all its article elements, or its main elements; where it has none with text, of changing_parts.
 
-    Left out are menus, headers, footers and the like within it, and what the wrapper has as template: text slots that say the same in
-    each of at least TEMPLATE_PAGES pages of the host that have them. A page of which nothing else is left keeps these.
+    Left out are menus, footers, adverts and the like within it (by tags and marks), and headers but those of articles and main elements.
+    Nothing is left out because other pages of the host say the same, so a page gives one text beside any number of others of its layout.
     """
-    template: set[int] = set()
-    met = _Met(wrapper, [page], template)
-    for skipped in (template, set()):
-        for name, anywhere in [(n, a) for a in (False, True) for n in MAIN_TAGS]:
-            if (chosen := _marked(page, name, anywhere)) and (said := _text_of(page, chosen, skipped)):
-                return said
-        if said := _text_of(page, changing_parts(met), skipped):
+    for name, anywhere in [(n, a) for a in (False, True) for n in MAIN_TAGS]:
+        if (chosen := _marked(page, name, anywhere)) and (said := _text_of(page, chosen, True)):
             return said
-    return ""
+    return _text_of(page, changing_parts(_Met(wrapper, [page])), False)
 
 
-def _text_of(page: Node, chosen: list[Node], template: set[int]) -> str:
+def _whole_forms(page: Node) -> set[int]:
+    """The forms that hold over half of a page's text, which are the page and not a part of it to fill in."""
+    sizes: dict[int, int] = {}
+    forms: list[Node] = []
+
+    def size(node: Node) -> int:
+        if node.key == "#":
+            return len(node.text.strip())
+        sizes[id(node)] = 0 if node.key.split(" ")[0] in ASIDE_TAGS - {"form", "header"} else sum(map(size, node.kids))
+        if node.key.split(" ")[0] == "form":
+            forms.append(node)
+        return sizes[id(node)]
+
+    whole = size(page)
+    return {id(f) for f in forms if 2 * sizes[id(f)] > whole}
+
+
+def _text_of(page: Node, chosen: list[Node], own_headers: bool) -> str:
     blocks: list[str] = []
     open_block: list[str] = []
-    starts = set(map(id, chosen))
+    starts, forms = set(map(id, chosen)), _whole_forms(page)
+
+    def kept(node: Node) -> bool:
+        kind = _aside(node.key)
+        return not kind or kind == "header" and own_headers or kind == "form" and id(node) in forms
 
     def flush() -> None:
         if said := " ".join(html.unescape("".join(open_block)).split()):
@@ -272,13 +306,13 @@ def _text_of(page: Node, chosen: list[Node], template: set[int]) -> str:
     def walk(node: Node, inside: bool) -> None:
         for k in node.kids:
             if k.key == "#":
-                if inside and id(k) not in template:
+                if inside:
                     open_block.append(k.text)
                 continue
             breaks = k.key.split(" ")[0] not in INLINE
             if breaks:
                 flush()
-            walk(k, id(k) in starts or (inside and not _is_aside(k.key)))
+            walk(k, id(k) in starts or (inside and kept(k)))
             if breaks:
                 flush()
 
@@ -339,7 +373,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("host", _host())
     wrappers = materialize(infer_wrappers(rows))
-    if wrappers.count() <= BROADCAST_HOSTS:
+    if (wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS:
         joined = rows.join(F.broadcast(wrappers.select("host", "wrapper")), "host")
     else:
         salted = wrappers.select("host", "wrapper", F.explode(F.sequence(F.lit(0), F.lit(MERGE_FAN - 1))).alias("salt"))

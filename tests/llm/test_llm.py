@@ -567,12 +567,26 @@ def test_closed_and_open_ends_of_what_machines_read():
     assert of(deep) == "a b c d"
 
 
-def test_what_a_host_repeats_is_template(spark):
+def test_a_page_says_the_same_beside_any_others(spark):
     said = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
-    rows = [(i, "http://a.example/x", f"<article><h1>t{i}</h1><div class=k7>Read our rules first</div><p>{said(i)}</p><div class=k8>by {i % 3}</div></article><div>end</div>") for i in range(20)]
-    rows += [(100 + i, "http://b.example/x", "<article><p>the same text everywhere</p></article>") for i in range(20)]
+    page = lambda i: f"<article><h1>Title {i}</h1><h2>Ingredients</h2><p>{said(i)}</p><div class=k8>by {i % 3}</div></article><div>end</div>"
+    plain = lambda i: f"<div class=top>Home</div><div id=c><h1>Title {i}</h1><h2>Ingredients</h2><p>{said(i)}</p></div><div class=bottom>All rights</div>"
+    rows = [(1_000 * n + i, f"http://h{n}.example/x", page(i)) for n in (1, 2, 7, 8, 60) for i in range(n)] + [(100_000 + 1_000 * n + i, f"http://p{n}.example/x", plain(i)) for n in (2, 7, 8, 60) for i in range(n)]
+    rows += [(200_000 + i, "http://b.example/x", "<article><p>the same text everywhere</p></article>") for i in range(20)]
     got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
-    assert got == {i: f"t{i} {said(i)} by {i % 3}" for i in range(20)} | {100 + i: "the same text everywhere" for i in range(20)}
+    want = {1_000 * n + i: f"Title {i} Ingredients {said(i)} by {i % 3}" for n in (1, 2, 7, 8, 60) for i in range(n)}
+    want |= {100_000 + 1_000 * n + i: f"Title {i} Ingredients {said(i)}" for n in (2, 7, 8, 60) for i in range(n)} | {200_000 + i: "the same text everywhere" for i in range(20)}
+    assert got == want
+
+
+def test_marks_of_several_words():
+    of = lambda h: wrappers.article_text(wrappers.parse(h), wrappers.expression(wrappers.parse(h)))
+    kept = {"section-header": "Results", "share-price": "12", "post_header": "h", "with-sidebar": "x", "has-ads": "y", "navy": "z", "header": "own", "promotional": "p"}
+    gone = ["site-footer", "comment-list", "ad-slot", "cookie-banner", "share-buttons", "nav", "article-comments", "ad", "related-posts", "main-menu"]
+    assert of("<article>" + "".join(f"<div class='a {c}'>{t}</div>" for c, t in kept.items()) + "".join(f"<div class='b {c}'>no</div>" for c in gone) + "</article>") == " ".join(kept.values())
+    assert of("<header>site</header><article><header><h1>Head</h1><nav>menu</nav><p>by me</p></header><p>text</p><footer>f</footer></article>") == "Head by me text"
+    assert of("<body><form action=x><div class=menu>m</div><h1>T</h1><p>All of the page is in a form.</p><input><button>Go</button></form></body>") == "T All of the page is in a form."
+    assert of("<form><article><p>inside</p><form><label>name</label></form></article></form>") == "inside"
 
 
 def test_wrapper_expression():
