@@ -42,8 +42,7 @@ BANDS = (20, 24, 32, 40, 48, 64, 96, 128)  # least token lengths of the bands
 EDGES = np.array([0.0, 1e-4, 1e-3, 5e-3, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 1.0])
 LEAST_CUT = 1e-3
 FALSE_SHARE = 0.05
-FEW_TOKENS = 4_000  # with so many, two standard errors of the count of random ones are 3 % of it
-DEFAULT_CUT = 0.01
+DEFAULT_CUT, MOST_CUT = 0.01, 0.1  # no threshold loses more than a tenth of what is random
 
 
 def inferred_encoding(token: str) -> tuple[str, str] | None:
@@ -163,8 +162,8 @@ def thresholds(histogram: list[tuple[int, int, int]], false_share: float = FALSE
     """For each length band the p-value above which a token counts as random: the least at which at most false_share of what it lets through can be other than random.
 
     Random tokens' p-values are uniform, so those above a half show how many there are in all; what the band holds beyond them is not
-    random. Only shares count, so that the same mixture has the same threshold at any size. DEFAULT_CUT is that of bands with fewer than
-    FEW_TOKENS tokens over LEAST_CUT, whose shares tell nothing, and of those where no threshold under a half reaches the share.
+    random. Only shares count, so that the same mixture has the same threshold at any size, that of a few tokens being as rough as they
+    are few. DEFAULT_CUT is that of bands without tokens over LEAST_CUT, and of those where no threshold up to MOST_CUT reaches the share.
     """
     out = []
     for band in range(len(BANDS)):
@@ -172,12 +171,12 @@ def thresholds(histogram: list[tuple[int, int, int]], false_share: float = FALSE
         for b, k, n in histogram:
             if b == band:
                 bins[k] += n
-        least, half = (int(np.flatnonzero(EDGES == x)[0]) for x in (LEAST_CUT, 0.5))
+        least, most, half = (int(np.flatnonzero(EDGES == x)[0]) for x in (LEAST_CUT, MOST_CUT, 0.5))
         random = 2 * bins[half:].sum()
         chosen = DEFAULT_CUT
-        for k in range(least, half) if bins[least:].sum() >= FEW_TOKENS else ():
+        for k in range(least, most + 1):
             passing = bins[k:].sum()
-            if passing - random * (1 - EDGES[k]) <= false_share * passing:
+            if passing and passing - random * (1 - EDGES[k]) <= false_share * passing:
                 chosen = float(EDGES[k])
                 break
         out.append(chosen)

@@ -169,9 +169,11 @@ def test_thresholds_of_one_mixture_at_any_size():
     # Others just over the least edge, others up to a tenth, others everywhere (so that no threshold reaches the share), and none.
     for others, want in (({3: 3_000}, 0.01), ({k: 2_000 for k in range(2, 7)}, 0.1), ({k: 20_000 // k for k in range(2, 15)}, secret_scan.DEFAULT_CUT), ({}, 0.001)):
         assert of(1, others) == of(100, others) == of(10_000, others) == want
-    # Too few to tell have what many of them have.
     small, large = ([(2, 3, 10 * n), (2, 9, 20 * n), (2, 15, 20 * n)] for n in (1, 100))
     assert secret_scan.thresholds(small) == secret_scan.thresholds(large)
+    # 100 tokens and many more of one mixture, random ones alone or with three others to ten.
+    for shares in ({7: 10, 15: 40, 16: 50}, {3: 30, 7: 7, 15: 28, 16: 35}):
+        assert len({secret_scan.thresholds([(2, k, n * times) for k, n in shares.items()])[2] for times in (1, 10, 40, 41, 1_000)}) == 1
 
 
 def test_values_names_of_paths_and_upper_case(spark, docs_of):
@@ -188,6 +190,26 @@ def test_values_names_of_paths_and_upper_case(spark, docs_of):
     assert masked[1] == "AWS_SECRET_ACCESS_KEY=[SECRET]" and masked[2] == "https://x.example/a?sig=[SECRET]&b=1"
 
 
+def test_what_passes_is_mostly_random():
+    r = random.Random(11)
+    alphabet = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(r.choice("etaoinshr") for _ in range(r.randint(2, 6)))
+
+    def name() -> str:  # words in camel case with a number, as identifiers are
+        made = ""
+        while len(made) < 34:
+            made += word().capitalize()
+        return made[:34] + str(r.randint(10, 99))
+
+    for n_random, n_names in ((40, 10), (400, 100), (3_000, 3_000)):
+        tokens = [(True, "".join(r.choice(alphabet) for _ in range(36))) for _ in range(n_random)] + [(False, name()) for _ in range(n_names)]
+        scored = [(truth, p) for truth, t in tokens if (p := secret_scan.randomness_p(t)) is not None]
+        bins = Counter(int(np.searchsorted(secret_scan.EDGES, p, side="right")) - 1 for _, p in scored)
+        limit = secret_scan.thresholds([(2, k, n) for k, n in bins.items()])[2]
+        passed = [truth for truth, p in scored if p > limit]
+        assert sum(passed) >= 0.85 * n_random and passed.count(False) <= 0.1 * len(passed), (n_random, limit, len(passed))
+
+
 def test_redaction(spark, docs_of):
     out = {r.doc_id: r for r in secret_scan.redact(docs_of([(1, 'a token = "0123456789abcdef0123456789abcdef" b'), (2, None), (3, "plain")], extra=True)).collect()}
     assert out[1].text == 'a [SECRET]" b' and out[2].text is None and out[3].text == "plain" and out[1].key == "x"
