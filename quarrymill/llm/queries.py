@@ -13,23 +13,28 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all other vectors for each whose id is divisible by 50, by integer inner products; null vectors and those with null or non-finite components take no part, ties go to the smaller id, an empty table gives no rows."""
     return topk.self_top_k(_read(spark, sf_dir, "embeddings"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words, those in benchmark windows, and its items; null texts have no words, items without words no windows, and rows that repeat an id are each judged by their own text."""
     documents, _ = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return documents.drop("text_key")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes, groups of equal texts together unless one is over its fair share; null texts have size 1."""
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of two-word shingles and its component at a Jaccard similarity of 0.8; texts without words are linked with nothing, equal texts always."""
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=2)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by importance resampling towards those labelled 1; see quality.resample for ties, nulls and tables without labels."""
     return quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
@@ -47,6 +52,7 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's spans of the fixed patterns and of random tokens; a null text has none, an empty table gives no rows."""
     found = secret_scan.scan(_read(spark, sf_dir, "documents"))
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] != "random")
@@ -55,10 +61,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page by its marks or its host's wrapper; null html gives an empty text, null urls share one host."""
     return wrappers.extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's score, from 0 to 1, by a model of the labelled ones that aren't held out; null and empty texts have the score of no words, and without labels of both kinds all score 0."""
     docs = _read(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.training_rows(docs, _read(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
