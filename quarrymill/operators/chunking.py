@@ -64,7 +64,7 @@ class Part:
 
 
 def count(text: str) -> int:
-    return sum(1 for _ in _TOKEN.finditer(text))
+    return len(_TOKEN.findall(text))
 
 
 def _part(kind: str, start: int, text: str) -> Part:

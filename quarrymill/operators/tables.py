@@ -17,6 +17,17 @@ def keep_newest(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
+KEPT_RUNS = 20
+
+
+def run_history(runs: DataFrame, keep: int = KEPT_RUNS) -> DataFrame:
+    """Runs (kb, run_id, ts, status, hit_rate, ...) that are kept, with their position in their knowledge base from the newest: all that go on and, of the ended ones, the newest; only those that are done have a hit rate."""
+    ended = F.col("status") != "running"
+    newest = [F.col("ts").desc(), F.col("run_id").desc()]
+    kept = runs.where(~ended).unionByName(keep_newest(runs.where(ended), ["kb"], newest, keep))
+    return kept.withColumns({"position": F.row_number().over(Window.partitionBy("kb").orderBy(*newest)).cast("int"), "hit_rate": F.when(F.col("status") == "done", F.col("hit_rate"))})
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """K2: whole rows replaced by key, new ones added; both have the same columns, and rows has a key once."""
     return table.join(rows.select(key), key, "left_anti").unionByName(rows)

@@ -10,6 +10,7 @@ from quarrymill.functions import contracts as K
 from quarrymill.functions import text as X
 from quarrymill.operators import tables as T
 from quarrymill.plans import sql
+from quarrymill.sources import html_markdown
 
 QUERIES, ORACLES = {}, {}
 
@@ -182,10 +183,31 @@ def retry_policies(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", K.error_class(code).alias("class"), K.is_retryable(code).alias("retryable"), K.retry_after_ms(at(_WAITS, 11), now).alias("wait_ms"))
 
 
-@query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1 FROM pages""")
+_DECODED = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
+_TITLE_SQL = f"trim(regexp_replace({_DECODED.format('regexp_replace(t, {0}<[^>]*>{0}, {0}{0}, {0}g{0})'.format(chr(39)))}, '{_BLANK_SQL}', ' ', 'g'))"
+
+
+@query(rf"""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN replace(replace(html, '<title>', '<TITLE lang="x" data-t=''>''>  '), '<h1>', '<h1 class="a b"> <em>x</em>&nbsp;') ELSE replace(replace(html, '<title>', '<title>&lt;b&gt; '), '<h1>', '<!-- <h1>no</h1> --><h1>') END AS html FROM pages),
+    t AS (SELECT page_id, regexp_extract(html, '(?is)<title(?:[^>'']|''[^'']*'')*>(.*?)</title>', 1) AS t, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS html FROM p),
+    h AS (SELECT page_id, t AS title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM t)
+    SELECT page_id, {_TITLE_SQL.replace("regexp_replace(t,", "regexp_replace(title,")} AS title, {_TITLE_SQL.replace("regexp_replace(t,", "regexp_replace(h1,")} AS h1 FROM h""")
 def html_title(spark, sf_dir):
-    """S4c."""
-    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
+    """Pages as they are, with attributes and elements within, and with references and a heading in a comment."""
+    html, kind = F.col("html"), F.col("page_id") % 3
+    put = lambda x, a, b: F.replace(x, F.lit(a), F.lit(b))
+    marked = F.when(kind == 1, put(put(html, "<title>", "<TITLE lang=\"x\" data-t='>'>  "), "<h1>", '<h1 class="a b"> <em>x</em>&nbsp;')).when(kind == 2, put(put(html, "<title>", "<title>&lt;b&gt; "), "<h1>", "<!-- <h1>no</h1> --><h1>")).otherwise(html)
+    return html_markdown.page_titles(read(spark, sf_dir, "pages").select("page_id", marked.alias("html")))
+
+
+@query("""WITH r AS (SELECT user_id AS kb, event_id AS run_id, ts, CASE event_type WHEN 'signup' THEN 'running' WHEN 'error' THEN 'error' ELSE 'done' END AS status, value FROM events),
+    k AS (SELECT *, row_number() OVER (PARTITION BY kb, status = 'running' ORDER BY ts DESC, run_id DESC) AS n FROM r)
+    SELECT kb, run_id, CAST(row_number() OVER (PARTITION BY kb ORDER BY ts DESC, run_id DESC) AS INTEGER) AS position, status, CASE WHEN status = 'done' THEN round(value / 500, 4) END AS hit_rate FROM k WHERE status = 'running' OR n <= 20""")
+def test_run_history(spark, sf_dir):
+    """The runs of each knowledge base from the newest, all that go on and the last 20 that ended, with the hit rate of those that are done."""
+    e = read(spark, sf_dir, "events")
+    state = F.when(F.col("event_type") == "signup", "running").when(F.col("event_type") == "error", "error").otherwise("done")
+    runs = e.select(F.col("user_id").alias("kb"), F.col("event_id").alias("run_id"), "ts", state.alias("status"), (F.col("value") / 500).alias("hit_rate"))
+    return T.run_history(runs).select("kb", "run_id", "position", "status", F.round("hit_rate", 4).alias("hit_rate"))
 
 
 _DOMAIN = ["signup", "error", "click", "view", "purchase", "cancelled", "retrying"]

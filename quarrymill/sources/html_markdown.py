@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.text import CLEANING
+from quarrymill.functions.text import BLANK, CLEANING, ZERO_WIDTH
 
 # What is dropped whole, what breaks a block, and where the main content is looked for.
 DROPPED = frozenset("script style noscript template svg canvas iframe object embed form button input select textarea nav header footer aside link meta".split())
@@ -209,3 +209,43 @@ def html_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str =
         return html.map(lambda x: to_markdown(x or ""))
 
     return pages.select(id_col, render(F.col(html_col)).alias("markdown"))
+
+
+class _Titles(HTMLParser):
+    """Gathers the text of the first title and the first h1 of a page, wherever they stand."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.said: dict[str, list[str]] = {}
+        self.open: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("title", "h1") and tag not in self.said:
+            self.said[tag] = []
+            self.open.append(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.open:
+            self.open.remove(tag)
+
+    def handle_data(self, data: str) -> None:
+        for tag in self.open:
+            self.said[tag].append(data)
+
+
+def titles_of(text: str) -> tuple[str, str]:
+    """(title, h1) of a page, as F10 cleans them, without spaces at the ends; empty where there is none."""
+    parser = _Titles()
+    parser.feed(text)
+    parser.close()
+    return tuple(re.sub(f"{BLANK}+", " ", re.sub(ZERO_WIDTH, "", "".join(parser.said.get(tag, [])))).strip(" ") for tag in ("title", "h1"))
+
+
+def page_titles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, title, h1) of each row; null html has none."""
+
+    @F.pandas_udf("title string, h1 string")
+    def of(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([titles_of(x or "") for x in html], columns=["title", "h1"])
+
+    return pages.select(id_col, of(F.col(html_col)).alias("said")).select(id_col, "said.*")
