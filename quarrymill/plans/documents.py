@@ -61,9 +61,14 @@ def md_headings(spark, sf_dir):
     return blocks.groupBy("doc_id").agg(F.count_if(F.col("kind") == "heading").alias("headings"))
 
 
-@query()
+# Turns are plain text, so each is a heading and a paragraph of its conversation's Markdown.
+_TURNS = f"""t AS (SELECT conv_id AS doc_id, '## ' || role AS h, text AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, CAST(coalesce(sum(length(role) + length(text) + 7) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM conversations)"""
+
+
+@query(f"""WITH {_TURNS} SELECT doc_id, CAST(2 * k AS INTEGER) AS idx, 'heading' AS kind, 2 AS level, a AS char_start, a + length(h) AS char_end, CAST(len({sql.toks('h')}) AS BIGINT) AS n_tokens FROM t
+    UNION ALL SELECT doc_id, CAST(2 * k + 1 AS INTEGER), 'paragraph', 0, a + length(h) + 2, a + length(h) + 2 + length(p), CAST(len({sql.toks('p')}) AS BIGINT) FROM t""")
 def md_blocks(spark, sf_dir):
-    """C1, C2."""
+    """Blocks of conversations with their offsets and tokens."""
     return C.md_blocks(_conversation_md(spark, sf_dir)).drop("text")
 
 
@@ -74,6 +79,15 @@ def chunk_markdown(spark, sf_dir):
     return chunks.select("doc_id", "seq", "is_parent", "parent_seq", "parent_id", "chunk_id", "doc_type", "token_count", "char_start", "char_end", "fingerprint", "text_preview")
 
 
+@query(f"""WITH {_TURNS}, s AS (SELECT doc_id, k, a, h || chr(10) || chr(10) || p AS text FROM t), c AS (SELECT doc_id, 2 * k AS seq, true AS is_parent, NULL AS parent_seq, a, text FROM s UNION ALL SELECT doc_id, 2 * k + 1, false, 2 * k, a, text FROM s)
+    SELECT doc_id, CAST(seq AS INTEGER) AS seq, is_parent, CAST(parent_seq AS INTEGER) AS parent_seq, a AS char_start, a + length(text) AS char_end, CAST(len({sql.toks('text')}) AS BIGINT) AS token_count, sha256(text) AS text_sha256, left(sha1(is_parent || '|' || text), 16) AS fingerprint, left(text, 500) AS text_preview,
+        CASE WHEN NOT is_parent THEN text END AS parent_text FROM c""")
+def chunk_sections(spark, sf_dir):
+    """Conversations cut by headings alone, so that each turn is a parent with one child that shows its parent's text."""
+    chunks = C.with_ids(C.chunk_markdown(_conversation_md(spark, sf_dir), C.Config(size=100_000, parent_size=100_000, strategy="title")), "kb1", parent_text=True)
+    return chunks.select("doc_id", "seq", "is_parent", "parent_seq", "char_start", "char_end", "token_count", F.sha2("text", 256).alias("text_sha256"), "fingerprint", "text_preview", "parent_text")
+
+
 @query()
 def chunk_stats(spark, sf_dir):
     """A10 over children."""
