@@ -400,10 +400,10 @@ _BLOCKS = "b AS (SELECT doc_id, i - 1 AS idx, l, CAST(list_sum(list_transform(li
 
 
 def _blocks(spark, sf_dir):
-    lines = F.split("text", "\n")
-    ends = F.aggregate(lines, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x) + 1)))
-    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.arrays_zip(lines.alias("l"), F.slice(ends, 1, F.size(lines)).alias("s"))).alias("idx", "x"))
-    return d.select("doc_id", "idx", F.col("x.s").alias("b_start"), (F.col("x.s") + F.length("x.l")).alias("b_end"))
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
+    before = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long")
+    return lines.withColumn("b_start", start).select("doc_id", "idx", "b_start", (F.col("b_start") + F.length("line")).alias("b_end"))
 
 
 def _chunks(spark, sf_dir):
