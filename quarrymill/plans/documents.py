@@ -186,6 +186,17 @@ def version_diff_summary(spark, sf_dir):
     return V.summary(V.diff(left, right))
 
 
+@query("""WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS seq FROM documents)
+    SELECT doc_id, count(*) FILTER (seq % 7 <> 6 AND seq % 5 <> 0) AS same, count(*) FILTER (seq % 7 <> 6 AND seq % 5 = 0) AS changed, count(*) FILTER (seq % 7 = 6) AS removed, CAST(0 AS BIGINT) AS added, count(*) FILTER (seq % 7 = 6 OR seq % 5 = 0) AS listed,
+        'changed' AS first_kind FROM l GROUP BY 1""")
+def diff_report(spark, sf_dir):
+    """Reports of differences as JSON, read back."""
+    left, right = _versions(spark, sf_dir)
+    of = lambda path: F.get_json_object("report", path)
+    counts = [of(f"$.summary.{k}").cast("long").alias(k) for k in ("same", "changed", "removed", "added")]
+    return V.report_json(V.diff(left, right)).select("doc_id", *counts, F.json_array_length(of("$.changes")).cast("long").alias("listed"), of("$.changes[0].kind").alias("first_kind"))
+
+
 @query("""WITH p AS (SELECT item_id, substr(text, i, 2) AS g FROM (SELECT item_id, text, unnest(range(1, length(text))) AS i FROM benchmark)), q AS (SELECT item_id, substr(t, i, 2) AS g FROM (SELECT item_id, t, unnest(range(1, length(t))) AS i FROM (SELECT item_id, substr(text, 5) || ' end' AS t FROM benchmark))),
     a AS (SELECT item_id, g, count(*) AS n FROM p GROUP BY ALL), b AS (SELECT item_id, g, count(*) AS n FROM q GROUP BY ALL), m AS (SELECT item_id, sum(least(a.n, b.n)) AS both FROM a JOIN b USING (item_id, g) GROUP BY 1)
     SELECT item_id, round(2.0 * coalesce(m.both, 0) / (length(text) - 1 + length(substr(text, 5) || ' end') - 1), 6) AS dice FROM benchmark LEFT JOIN m USING (item_id)""".replace(" AS both", " AS shared").replace("m.both", "m.shared"))
