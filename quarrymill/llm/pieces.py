@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, product
 from operator import itemgetter
 
@@ -26,7 +26,7 @@ FAR = -(1 << 60)
 LONG_UNIT = 48
 CACHE_UNITS = 200_000
 GROUP_UNITS = 8_192
-BATCH_CHARACTERS = 2_500_000
+BATCH_CHARACTERS = 1_000_000
 
 
 class Vocabulary:
@@ -337,7 +337,14 @@ def encode(docs: DataFrame, n: int = N_BEST, model_file: str = MODEL_FILE, id_co
     and one segmentation, of score 0; repeated rows are encoded each. One scan, no shuffle.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(model_file))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(giving_back(_encoding(vocabulary, n)), f"doc_id {docs.schema[id_col].dataType.simpleString()}, {ENCODED}")
 
+
+ENCODED = "n_pieces long, ids array<int>, n_best array<struct<score:long,changes:array<struct<at:int,n:int,ids:array<int>>>>>"
+
+
+def _encoding(vocabulary, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value, n)
         for batch in batches:
@@ -353,8 +360,7 @@ def encode(docs: DataFrame, n: int = N_BEST, model_file: str = MODEL_FILE, id_co
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(some)), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), best], ["doc_id", "n_pieces", "ids", "n_best"])
                 at += len(some)
 
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_pieces long, ids array<int>, n_best array<struct<score:long,changes:array<struct<at:int,n:int,ids:array<int>>>>>"
-    return in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(run), schema)
+    return run
 
 
 def decode_ids(v: Vocabulary, ids: list[int]) -> str:
@@ -365,12 +371,23 @@ def decode_ids(v: Vocabulary, ids: list[int]) -> str:
 def decode(encoded: DataFrame, model_file: str = MODEL_FILE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., text): the text that each row's ids write; no ids, or none at all, give an empty text."""
     vocabulary = encoded.sparkSession.sparkContext.broadcast(load(model_file))
+    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
+    return in_small_batches(encoded).select(*dict.fromkeys((*keep, "ids"))).mapInArrow(giving_back(_decoding(vocabulary, keep)), f"{schema}, text string")
+
 
+def _decoding(vocabulary, keep: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("ids")
             text = [decode_ids(vocabulary.value, x.values.to_numpy() if x.is_valid else []) for x in column]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(text, pa.string())], [*keep, "text"])
 
-    schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep)
-    return in_small_batches(encoded).select(*dict.fromkeys((*keep, "ids"))).mapInArrow(giving_back(run), f"{schema}, text string")
+    return run
+
+
+def encode_and_decode(docs: DataFrame, n: int = N_BEST, model_file: str = MODEL_FILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_pieces, ids, n_best, text): encode, and decode of its ids, one after another in the same worker, so that a task needs one and the pieces don't leave it in between."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(load(model_file))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    encoding, decoding = _encoding(vocabulary, n), _decoding(vocabulary, ("doc_id", "n_pieces", "ids", "n_best"))
+    return rows.mapInArrow(giving_back(lambda batches: decoding(encoding(batches))), f"doc_id {docs.schema[id_col].dataType.simpleString()}, {ENCODED}, text string")

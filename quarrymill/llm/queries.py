@@ -47,8 +47,8 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's best pieces, the other segmentations of its n best, and the hash of the text that the pieces write."""
-    encoded = pieces.encode(_read(spark, sf_dir, "documents"))
-    return pieces.decode(encoded, keep=("doc_id", "n_pieces", "ids", "n_best")).withColumn("decoded_sha256", F.sha2("text", 256)).drop("text")
+    done = pieces.encode_and_decode(_read(spark, sf_dir, "documents"))
+    return done.withColumn("decoded_sha256", F.sha2("text", 256)).drop("text")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,14 @@ def test_n_best_is_brute_force():
             assert (x["score"], ids) in every
 
 
+def test_one_worker_does_what_two_do(docs_of, monkeypatch):
+    monkeypatch.setattr(pieces, "BATCH_CHARACTERS", 1_000)
+    docs = docs_of([*EDGES, (20, "then the other ing\nthe é😀 then  "), (21, "▁ a")], extra=True)
+    two = pieces.decode(pieces.encode(docs), keep=("doc_id", "n_pieces", "ids", "n_best"))
+    one = pieces.encode_and_decode(docs)
+    assert one.schema.simpleString() == two.schema.simpleString() and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def test_many_texts_at_once_are_each_alone():
     v, r = pieces.load(), random.Random(3)
     texts = ["".join(r.choice("then é▁er ing中😀\n") for _ in range(r.randint(0, 200))) for _ in range(40)]
