@@ -48,8 +48,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids and n_best of every document, and the hash of the text that its ids decode to."""
-    decoded = pieces.decode(pieces.encode(docs), keep=("doc_id", "n_pieces", "ids", "n_best"))
-    return decoded.withColumn("decoded_sha256", F.sha2("text", 256)).drop("text")
+    return pieces.encode_and_decode(docs).withColumn("decoded_sha256", F.sha2("text", 256)).drop("text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
