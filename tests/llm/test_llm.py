@@ -15,7 +15,7 @@ from compare import rows_of, rows_of_sql
 from conftest import SF
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import SPACED_WORDS, text_slices, words
+from quarrymill.llm.common import BITMAP_BITS, SPACED_WORDS, broadcast_bytes, text_slices, words
 from quarrymill.llm import decontaminate, minhash, pieces, quality, queries, repeats, secret_scan, sharding, topk, toxicity, wrappers
 
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "é😀" * 3_000), (6, "same text here " * 40), (7, "same text here " * 40), (7, "same text here " * 40), (None, "no id but a text of some words"), (8, None)]
@@ -530,6 +530,36 @@ def test_repeats_are_brute_force(spark, docs_of, monkeypatch, hot):
     assert repeats.remove_repeats(docs_of([])).count() == 0
 
 
+def test_suffixes_are_sorted_while_tied(monkeypatch):
+    r = random.Random(3)
+    noise = bytes(r.choice(b"abcdefgh ") for _ in range(20_000))
+    raw = noise + b"\xff" + noise[5_000:8_000] + b"\xff" + b"ab" * 200 + b"\xff"
+    sorted_, sort = [], np.argsort
+    monkeypatch.setattr(repeats.np, "argsort", lambda x, *a, **k: (sorted_.append(len(x)), sort(x, *a, **k))[1])
+    order = repeats.suffix_order(np.frombuffer(raw, dtype=np.uint8))
+    assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    assert sum(sorted_) < 3 * len(raw)  # what is alone in its place is not sorted again
+
+
+def test_run_index_leaves_out_short_matches():
+    r = random.Random(4)
+    passage = bytes(r.choice(b"abcd ") for _ in range(90))
+    texts = [bytes(r.choice(b"abcd ") for _ in range(n)) + passage[k:] for n, k in ((30, 0), (5, 20), (50, 60))] + [passage]
+    whole, cut = repeats.RunIndex(texts, 300).matching_statistics(), repeats.RunIndex(texts, 300, 40).matching_statistics()
+    inside = np.concatenate([np.arange(len(t) + 1, 0, -1) > 40 for t in texts])
+    assert ((whole >= 40) == (cut >= 40))[inside].all() and (cut >= 40)[inside].sum() > 100
+
+
+def test_contents_of_a_batch_leave_once(docs_of, spark):
+    """Equal segments are sent once however many slices of a batch hold them."""
+    r = random.Random(6)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(3_000))
+    rows = [(i, passage) for i in range(400)]
+    every = broadcast_bytes(spark, b"\xff" * (BITMAP_BITS // 8))
+    sent = repeats._segments_of(docs_of(rows).coalesce(1), every, 400, contents=True).select("anchor", "seg").collect()
+    assert len(sent) == len(set(sent))
+
+
 def test_run_index():
     texts = [b"banana", b"ananas", b"bandana"]
     index = repeats.RunIndex(texts, 20)
