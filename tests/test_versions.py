@@ -3,6 +3,7 @@
 import json
 import random
 import time
+from collections import Counter
 
 import pytest
 
@@ -62,3 +63,33 @@ def test_differences_and_their_report(version):
     report = {x.doc_id: json.loads(x.report) for x in V.report_json(changes).collect()}
     assert report[1]["summary"] == {"same": 2, "changed": 1, "added": 1, "removed": 0} and [x["kind"] for x in report[1]["changes"]] == ["changed", "added"] and report[4]["changes"] == []
     assert V.diff(left.limit(0), right.limit(0)).count() == 0
+
+
+def test_likeness_without_what_both_begin_and_end_with():
+    r = random.Random(5)
+    by_pairs = lambda a, b: 1.0 if a == b else 0.0 if min(len(a), len(b)) < 2 else 2 * sum((Counter(zip(a, a[1:])) & Counter(zip(b, b[1:]))).values()) / (len(a) + len(b) - 2)
+    for _ in range(3000):
+        a, b = ("".join(r.choice("abé") for _ in range(r.randint(0, 9))) for _ in range(2))
+        assert V.dice(a, b) == by_pairs(a, b)
+    long = "".join(r.choice("abcdefgh ") for _ in range(1_000_000))
+    assert V.dice(long, long[:500_000] + "x" + long[500_000:]) == by_pairs(long, long[:500_000] + "x" + long[500_000:])
+
+
+def test_documents_pass_by_one_after_another(spark, version):
+    """Differences are computed once, by one pass over sorted rows, wherever a batch ends."""
+    r = random.Random(7)
+    sides = [{d: [(k * 2, r.choice("ABCD"), r.choice([None, "", "night", "nacht"])) for k in range(r.randint(0, 9))] for d in range(60)} for _ in range(2)]
+    left, right = (version([(d, *x) for d, of in side.items() for x in r.sample(of, len(of))]) for side in sides)
+    want = []
+    for d in range(60):
+        a, b = (side[d] for side in sides)
+        for kind, i, j in V.steps([x[1] for x in a], [x[1] for x in b]):
+            alike = {"same": 1.0, "changed": V.dice(a[i][2] or "", b[j][2] or "") if i is not None and j is not None else None}.get(kind)
+            want.append((d, kind, None if i is None else a[i][0], None if j is None else b[j][0], alike))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, V.diff(left, right).collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = V.report_json(V.diff(left, right))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InArrow") == 1 and "CoGroup" not in plan and "Join" not in plan
