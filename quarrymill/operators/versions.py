@@ -108,15 +108,25 @@ def diff(left: DataFrame, right: DataFrame) -> DataFrame:
     the texts, and the rest is removed or added. Null fingerprints are equal. The rows of both versions are sorted by document and pass
     by one after another, so a task holds those of one document and of one batch; only changed pairs' texts become Python strings.
     """
+    return _passed(left, right, ["text"], ", similarity double")
+
+
+def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Diff without the similarity, of versions (doc_id, seq, fingerprint): no text is read or moved."""
+    return _passed(left, right, [], "")
+
+
+def _passed(left: DataFrame, right: DataFrame, more: list[str], schema: str) -> DataFrame:
     kind = left.schema["doc_id"].dataType.simpleString()
-    both = [x.select("doc_id", F.lit(side).alias("side"), F.col("seq").cast("int").alias("seq"), "fingerprint", "text") for side, x in enumerate((left, right))]
+    both = [x.select("doc_id", F.lit(side).alias("side"), F.col("seq").cast("int").alias("seq"), "fingerprint", *more) for side, x in enumerate((left, right))]
     rows = both[0].unionByName(both[1]).repartition("doc_id").sortWithinPartitions("doc_id", "side", "seq", "fingerprint")
-    return rows.mapInArrow(_compare, f"doc_id {kind}, kind string, left_seq int, right_seq int, similarity double")
+    return rows.mapInArrow(_compare, f"doc_id {kind}, kind string, left_seq int, right_seq int{schema}")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """diff of rows (doc_id, side, seq, fingerprint, text) in order."""
+    """diff of rows (doc_id, side, seq, fingerprint, text) in order; without texts, aligned."""
     names, kinds = ["doc_id", "kind", "left_seq", "right_seq", "similarity"], [None, pa.string(), pa.int32(), pa.int32(), pa.float64()]
+    texts = None
     # Of the document that passes by: seqs, fingerprints and where the texts are, by side.
     doc, own, out = None, (([], [], []), ([], [], [])), [[] for _ in names]
 
@@ -124,22 +134,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (a, of_a, at_a), (b, of_b, at_b) = own
         for kind, i, j in steps(of_a, of_b):
             alike = 1.0 if kind == "same" else None
-            if kind == "changed":
-                alike = dice(*(texts[k].as_py() or "" for texts, k in (at_a[i], at_b[j])))
+            if kind == "changed" and texts is not None:
+                alike = dice(*(column[k].as_py() or "" for column, k in (at_a[i], at_b[j])))
             for to, x in zip(out, (doc, kind, None if i is None else a[i], None if j is None else b[j], alike), strict=True):
                 to.append(x)
         for part in (*own[0], *own[1]):
             part.clear()
 
     def given() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+        n = len(names) - (texts is None)
+        batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out[:n], kinds, strict=False)], names[:n])
         for x in out:
             x.clear()
         return batch
 
     for batch in batches:
         kinds[0] = batch.schema.field("doc_id").type
-        texts = batch.column("text")
+        texts = batch.column("text") if "text" in batch.schema.names else None
         for k, (of, side, seq, fingerprint) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "side", "seq", "fingerprint")), strict=True)):
             if of != doc:
                 end()

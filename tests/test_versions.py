@@ -6,8 +6,10 @@ import time
 from collections import Counter
 
 import pytest
+from conftest import SF
 
 from quarrymill.operators import versions as V
+from quarrymill.plans import documents
 
 
 def _by_table(a, b):
@@ -93,3 +95,13 @@ def test_documents_pass_by_one_after_another(spark, version):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = V.report_json(V.diff(left, right))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("InArrow") == 1 and "CoGroup" not in plan and "Join" not in plan
+
+
+def test_counts_of_changes_move_no_text(spark, version):
+    left = version([(1, k, f, f"text {f}") for k, f in enumerate("ABCD")] + [(2, 0, "Z", None)])
+    right = version([(1, k, f, f"text {f}") for k, f in enumerate("AXCDE")])
+    assert {x["kind"]: x["n"] for x in V.summary(V.aligned(left, right)).collect()} == {"same": 3, "changed": 1, "added": 1, "removed": 1}
+    assert sorted(map(tuple, V.aligned(left, right).collect()), key=str) == sorted((tuple(x)[:4] for x in V.diff(left, right).collect()), key=str)
+    plan = documents.QUERIES["version_diff_summary"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    moved = [x for x in plan.split("\n") if "MapInArrow" in x]
+    assert len(moved) == 1 and "text" not in moved[0] and "Join" not in plan and "CoGroup" not in plan
