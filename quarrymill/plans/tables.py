@@ -183,14 +183,16 @@ def retry_policies(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", K.error_class(code).alias("class"), K.is_retryable(code).alias("retryable"), K.retry_after_ms(at(_WAITS, 11), now).alias("wait_ms"))
 
 
-_DECODED = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')"
-_TITLE_SQL = f"trim(regexp_replace({_DECODED.format('regexp_replace(t, {0}<[^>]*>{0}, {0}{0}, {0}g{0})'.format(chr(39)))}, '{_BLANK_SQL}', ' ', 'g'))"
+_FIRST_SQL = r"""regexp_extract(html, '(?is)<{0}(?:\s(?:[^>''"]|''[^'']*''|"[^"]*")*)?>(.*?)</{0}\s*>', 1)"""
+_ZERO_WIDTH_SQL = r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
 
 
 @query(rf"""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN replace(replace(html, '<title>', '<TITLE lang="x" data-t=''>''>  '), '<h1>', '<h1 class="a b"> <em>x</em>&nbsp;') ELSE replace(replace(html, '<title>', '<title>&lt;b&gt; '), '<h1>', '<!-- <h1>no</h1> --><h1>') END AS html FROM pages),
-    t AS (SELECT page_id, regexp_extract(html, '(?is)<title(?:[^>'']|''[^'']*'')*>(.*?)</title>', 1) AS t, regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS html FROM p),
-    h AS (SELECT page_id, t AS title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1 FROM t)
-    SELECT page_id, {_TITLE_SQL.replace("regexp_replace(t,", "regexp_replace(title,")} AS title, {_TITLE_SQL.replace("regexp_replace(t,", "regexp_replace(h1,")} AS h1 FROM h""")
+    t AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '<!>', 'g') AS html FROM p),
+    h AS (SELECT page_id, [{_FIRST_SQL.format("title")}, {_FIRST_SQL.format("h1")}] AS said FROM t),
+    d AS (SELECT page_id, list_transform(said, lambda x: {sql.html_text("x")}) AS said FROM h, ({sql.REFERENCES})),
+    c AS (SELECT page_id, list_transform(said, lambda x: trim(regexp_replace(regexp_replace(x, '{_ZERO_WIDTH_SQL}', '', 'g'), '{_BLANK_SQL}', ' ', 'g'), ' ')) AS said FROM d)
+    SELECT page_id, said[1] AS title, said[2] AS h1 FROM c""")
 def html_title(spark, sf_dir):
     """Pages as they are, with attributes and elements within, and with references and a heading in a comment."""
     html, kind = F.col("html"), F.col("page_id") % 3

@@ -56,3 +56,16 @@ def test_hard_cut_goes_by_mean_characters():
 def test_chunk_pages_follow_offsets(spark):
     rows = [r for r in registry.QUERIES["chunk_pages"](spark, SF).collect() if r.page_from is not None]
     assert rows and all(r.page_from <= r.page_to for r in rows)
+
+
+def test_titles_with_all_references_equal_their_sql(spark, tmp_path):
+    """Without a semicolon, by number, of no name, beside tags, and with what cleaning drops."""
+    parts = ["and&amp", "&am", "&amp;&amp", "&ampamp;", "&notit;", "&copyx", "&hellip;", "&#65", "&#x41;", "&#X4g", "&#0;", "&#128;", "&#xD800;", "&#99999999999;", "&#;", "&", "& ", "&amp<i>;</i>", "&quot", '<b class="a>b">x</b>', "<!-- c -->", "​", "﻿", "　", "é", "'"]
+    rows = [(n, f"<html><head><title>{a} {b}</title></head><body><h1 id='q'>{b}{a}</h1></body></html>") for n, (a, b) in enumerate((a, b) for a in parts for b in parts)]
+    rows += [(len(rows) + n, x) for n, x in enumerate([None, "", "<p>x", "<!-- <title>no</title> --><title>yes</title>", "<script>'<title>no</title>'</script><TITLE >yes</TITLE >"])]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/made")
+    next(tmp_path.glob("made/part-*.parquet")).rename(tmp_path / "pages.parquet")
+    got = registry.QUERIES["html_title"](spark, str(tmp_path))
+    columns, want = rows_of_sql(registry.ORACLES["html_title"], str(tmp_path))
+    assert rows_of(got, columns) == want and len(want) == len(rows)
+    assert {r.title for r in got.collect()} >= {"and& &am", "&& &"}
