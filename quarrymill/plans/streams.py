@@ -72,7 +72,11 @@ def job_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("doc_id", "last.*")
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts) // 100000 AS ms, event_id, value / 10 AS v, event_type = 'purchase' AND event_id % 10 = 0 AS force, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 100000, event_id) AS n FROM events),
+# Whole steps of 100 seconds, rounded down as unix_millis and floor do; epoch_ms would round what is behind the milliseconds, and // to zero.
+_STEP_SQL = "(epoch_us(ts) - (epoch_us(ts) % 100000000 + 100000000) % 100000000) // 100000000"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, {_STEP_SQL} AS ms, event_id, value / 10 AS v, event_type = 'purchase' AND event_id % 10 = 0 AS force, row_number() OVER (PARTITION BY user_id ORDER BY {_STEP_SQL}, event_id) AS n FROM events),
     f AS (SELECT user_id, n, event_id, ms, v, ms AS last_ms, v AS last_v, true AS goes FROM e WHERE n = 1
     UNION ALL SELECT user_id, n, event_id, ms, v, CASE WHEN goes THEN ms ELSE last_ms END, CASE WHEN goes THEN v ELSE last_v END, goes FROM
         (SELECT e.*, last_ms, last_v, e.force OR e.ms - last_ms >= 400 OR abs(e.v - last_v) >= 5 AS goes FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))

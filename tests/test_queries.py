@@ -69,3 +69,17 @@ def test_titles_with_all_references_equal_their_sql(spark, tmp_path):
     columns, want = rows_of_sql(registry.ORACLES["html_title"], str(tmp_path))
     assert rows_of(got, columns) == want and len(want) == len(rows)
     assert {r.title for r in got.collect()} >= {"and& &am", "&& &"}
+
+
+def test_throttled_steps_equal_their_sql_at_the_edges(spark, tmp_path):
+    """Events within a millisecond, and within microseconds, of a step's edge, on both sides of 1970."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    at = [k * 100_000_000 + d for k in (-3, 0, 1, 17_061_961) for d in (-100_000_000, -501, -500, -400, -1, 0, 1, 499_999)]
+    rows = [(n, t, n % 3, "purchase", 20.0 * (n % 2), "{}") for n, t in enumerate(at)]
+    columns = {"event_id": pa.int64(), "ts": pa.timestamp("us"), "user_id": pa.int64(), "event_type": pa.string(), "value": pa.float64(), "props": pa.string()}
+    pq.write_table(pa.table([pa.array(x, k) for x, k in zip(zip(*rows), columns.values())], list(columns)), tmp_path / "events.parquet")
+    got = registry.QUERIES["progress_throttle"](spark, str(tmp_path))
+    columns, want = rows_of_sql(registry.ORACLES["progress_throttle"], str(tmp_path))
+    assert rows_of(got, columns) == want and want
