@@ -13,11 +13,12 @@ from quarrymill.sources.shared import stored
 # The states in which a document can't be changed.
 RUNNING = ("queued", "parsing", "chunking", "embedding", "upserting")
 INTERVAL = ("valid_from", "valid_to")
+NOTES = ("_same", "_full")  # a hash of all of a chunk's columns, and whether it has a full text: noted where rows begin, so that comparing and counting moves no texts
 CURRENT = "current"
 
 
 class Store(NamedTuple):
-    """heads: doc_id, head (its version's number from 1), status. snapshots: doc_id, version of those that are archived. rows: doc_id, chunk_id and the chunk's columns (token_count, text_preview and full_text among them), valid_from and valid_to (the version that no longer has it; null in the current one)."""
+    """heads: doc_id, head (its version's number from 1), status. snapshots: doc_id, version of those that are archived. rows: doc_id, chunk_id and the chunk's columns (token_count, text_preview and full_text among them), valid_from and valid_to (the version that no longer has it; null in the current one); NOTES are added where they lack, and are to be dropped by who changes a row's chunk by hand."""
 
     heads: DataFrame
     snapshots: DataFrame
@@ -27,18 +28,32 @@ class Store(NamedTuple):
 def started(chunks: DataFrame, status: str = "ready") -> Store:
     """Chunks (doc_id, chunk_id, ...) as the first version of their documents."""
     heads = chunks.select("doc_id").distinct().withColumns({"head": F.lit(1), "status": F.lit(status)})
-    rows = chunks.withColumns({"valid_from": F.lit(1), "valid_to": F.lit(None).cast("int")})
+    rows = _noted(chunks).withColumns({"valid_from": F.lit(1), "valid_to": F.lit(None).cast("int")})
     return Store(heads, heads.select("doc_id", F.col("head").alias("version")).limit(0), rows)
 
 
+def _noted(rows: DataFrame, full_text: Column | None = None) -> DataFrame:
+    """rows with NOTES, those of their chunks or, if it is given, of these with another full text."""
+    columns = [c for c in rows.columns if c not in (*INTERVAL, *NOTES)]
+    if full_text is None and set(NOTES) <= set(rows.columns):
+        return rows
+    text = F.col("full_text") if full_text is None else full_text
+    said = F.to_json(F.struct(*(text.alias(c) if c == "full_text" else F.col(c) for c in columns)), {"ignoreNullFields": "false"})
+    return rows.withColumns({"_same": F.unhex(F.sha2(said, 256)), "_full": F.coalesce(text, F.lit("")) != ""})
+
+
 def current(store: Store) -> DataFrame:
     """The chunks as they are."""
-    return store.rows.where("valid_to IS NULL").drop(*INTERVAL)
+    return store.rows.where("valid_to IS NULL").drop(*INTERVAL, *NOTES)
 
 
 def as_of(store: Store, versions: DataFrame) -> DataFrame:
     """The chunks as they were in versions (doc_id, version), with the version; a document may be asked for in several."""
-    met = store.rows.join(versions.select("doc_id", "version").distinct(), "doc_id")
+    return _as_of(store.rows.drop(*NOTES), versions)
+
+
+def _as_of(rows: DataFrame, versions: DataFrame) -> DataFrame:
+    met = rows.join(versions.select("doc_id", "version").distinct(), "doc_id")
     return met.where("valid_from <= version AND (valid_to IS NULL OR version < valid_to)").drop(*INTERVAL)
 
 
@@ -52,31 +67,30 @@ def bump(store: Store, ids: DataFrame) -> Store:
     return Store(moved, store.snapshots.unionByName(fresh), store.rows)
 
 
-def _content(store: Store) -> Column:
-    """A hash of all of a row's columns but its interval."""
-    return F.sha2(F.to_json(F.struct(*(c for c in store.rows.columns if c not in INTERVAL)), {"ignoreNullFields": "false"}), 256)
-
-
 def _replace(store: Store, docs: DataFrame, chunks: DataFrame) -> Store:
-    """The current chunks of docs (doc_id, head) replaced by chunks: rows that are the same in all columns go on, others end with the head, and new ones begin there."""
-    columns = [c for c in store.rows.columns if c not in INTERVAL]
-    same = _content(store)
-    new = chunks.select(*columns).withColumn("_same", same).select("doc_id", "chunk_id", "_same", F.struct(*columns).alias("_new"))
-    rows = store.rows.withColumn("_open", F.col("valid_to").isNull())
-    live = rows.where("_open").join(docs.select("doc_id", "head"), "doc_id", "left").withColumn("_same", F.when(F.col("head").isNotNull(), same))
-    kept = live.join(new.select("doc_id", "chunk_id", "_same", F.lit(True).alias("_stays")), ["doc_id", "chunk_id", "_same"], "left")
-    ended = kept.withColumn("valid_to", F.when(F.col("head").isNotNull() & F.col("_stays").isNull(), F.col("head")))
+    """The current chunks of docs (doc_id, head) replaced by chunks: rows that are the same in all columns go on, others end with the head, and new ones begin there.
+
+    What ends and what begins is found by hashes, which have all columns and so the ids in them; texts meet only the result, and not that where nobody reads them.
+    """
+    keys = ["doc_id", "_same"]
+    rows, heads = _noted(store.rows), docs.select("doc_id", "head")
+    new = _noted(chunks).select(*(c for c in rows.columns if c not in INTERVAL))
+    live = rows.where("valid_to IS NULL")
+    touched = live.select(*keys).join(heads, "doc_id")
+    coming = new.select(*keys).distinct()
+    ends = touched.join(coming, keys, "left_anti").withColumnRenamed("head", "_end").distinct()
+    begins = coming.join(touched, keys, "left_anti").join(heads, "doc_id")
     # A row that began with this very head and ends with it was in no version.
-    ended = ended.where("valid_to IS NULL OR valid_from < valid_to").select(*store.rows.columns)
-    gone = live.where("head IS NOT NULL").select("doc_id", "chunk_id", "_same")
-    added = new.join(gone, ["doc_id", "chunk_id", "_same"], "left_anti").join(docs.select("doc_id", "head"), "doc_id").select("_new.*", F.col("head").alias("valid_from"), F.lit(None).cast("int").alias("valid_to"))
-    return store._replace(rows=rows.where("NOT _open").select(*store.rows.columns).unionByName(ended).unionByName(added.select(*store.rows.columns)))
+    ended = live.join(ends, keys, "left").withColumn("valid_to", F.col("_end")).where("valid_to IS NULL OR valid_from < valid_to")
+    added = new.join(begins, keys).withColumns({"valid_from": F.col("head"), "valid_to": F.lit(None).cast("int")})
+    return store._replace(rows=rows.where("valid_to IS NOT NULL").unionByName(ended.select(*rows.columns)).unionByName(added.select(*rows.columns)))
 
 
 def change(store: Store, chunks: DataFrame) -> Store:
     """Archives each document that chunks (all of a document's, with the store's columns) are of and that can be changed, and makes these its current ones."""
     docs = stored(chunks.select("doc_id").distinct().join(store.heads, "doc_id").where(~F.col("status").isin(*RUNNING)).select("doc_id", (F.col("head") + 1).alias("head")))
-    return _replace(bump(store, docs), docs, chunks.join(docs, "doc_id", "left_semi"))
+    after = _replace(bump(store, docs), docs, _noted(chunks))
+    return after._replace(rows=stored(after.rows))
 
 
 def restore(store: Store, requests: DataFrame) -> tuple[Store, DataFrame]:
@@ -89,15 +103,17 @@ def restore(store: Store, requests: DataFrame) -> tuple[Store, DataFrame]:
     number = F.when(F.col("version").rlike("^[0-9]{1,9}$"), F.col("version").cast("int"))
     last = requests.groupBy("doc_id").agg(F.max_by("version", F.struct(F.coalesce(number, F.lit(-1)), F.col("version"))).alias("version")).withColumn("number", number)
     known = last.join(store.heads, "doc_id", "left").join(store.snapshots.select("doc_id", F.col("version").alias("number"), F.lit(True).alias("_there")), ["doc_id", "number"], "left")
-    sizes = as_of(store, last.where("number IS NOT NULL").select("doc_id", F.col("number").alias("version"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("full_text"), F.lit("")) == "").alias("degraded"))
+    rows = _noted(store.rows)
+    asked = last.where("number IS NOT NULL").select("doc_id", F.col("number").alias("version"))
+    sizes = _as_of(rows.select("doc_id", "_full", *INTERVAL), asked).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_full")).alias("degraded"))
     outcome = (
         F.when(F.col("head").isNull(), "unknown").when(F.col("version") == CURRENT, "current").when(F.col("status").isin(*RUNNING), "running").when(F.coalesce(F.col("number"), F.lit(0)) < 1, "invalid")
         .when(F.col("_there").isNull(), "missing").when(F.col("n").isNull(), "empty").otherwise("restored")
     )
     judged = stored(known.join(sizes, "doc_id", "left").withColumn("outcome", outcome).select("doc_id", "version", "number", "head", "n", "degraded", "outcome"))
     right = judged.where("outcome = 'restored'")
-    old = as_of(store, right.select("doc_id", F.col("number").alias("version"))).drop("version")
-    whole = stored(old.withColumn("full_text", F.when(F.coalesce(F.col("full_text"), F.lit("")) == "", F.col("text_preview")).otherwise(F.col("full_text"))))
+    text = F.when(F.coalesce(F.col("full_text"), F.lit("")) == "", F.col("text_preview")).otherwise(F.col("full_text"))
+    whole = _as_of(_noted(store.rows, text), right.select("doc_id", F.col("number").alias("version"))).drop("version").withColumn("full_text", text)
     stale = current(store).join(right, "doc_id", "left_semi").select("doc_id", "chunk_id").join(whole, ["doc_id", "chunk_id"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("stale"))
     docs = right.select("doc_id", (F.col("head") + 1).alias("head"))
     after = _replace(bump(store, docs), docs, whole)
@@ -126,16 +142,13 @@ def listing(store: Store) -> DataFrame:
     Rows count from the version they begin with until the one they end with, as running sums over a document's versions, so no row meets
     all versions that have it.
     """
-    full = F.when(F.coalesce(F.col("full_text"), F.lit("")) != "", 1).otherwise(0)
-    tokens = F.coalesce(F.col("token_count"), F.lit(0))
-    sums = {"chunks": F.lit(1), "tokens": tokens, "full": full}
-
-    def steps(at: str, sign: int) -> DataFrame:
-        return store.rows.where(F.col(at).isNotNull()).groupBy("doc_id", F.col(at).alias("at")).agg(*(F.sum(sign * x).alias(c) for c, x in sums.items())).withColumn("version", F.lit(None).cast("string"))
-
+    sums = {"chunks": F.lit(1), "tokens": F.coalesce(F.col("token_count"), F.lit(0)), "full": F.col("_full").cast("int")}
+    ends = F.explode(F.array(*(F.struct(F.col(c).alias("at"), F.lit(sign).alias("sign")) for c, sign in zip(INTERVAL, (1, -1), strict=True))))
+    steps = _noted(store.rows).select("doc_id", *(x.alias(c) for c, x in sums.items()), ends.alias("end")).where("end.at IS NOT NULL")
+    steps = steps.groupBy("doc_id", F.col("end.at").alias("at")).agg(*(F.sum(F.col("end.sign") * F.col(c)).alias(c) for c in sums)).withColumn("version", F.lit(None).cast("string"))
     asked = store.snapshots.select("doc_id", F.col("version").alias("at"), F.col("version").cast("string").alias("version")).unionByName(store.heads.select("doc_id", F.col("head").alias("at"), F.lit(CURRENT).alias("version")))
     order = Window.partitionBy("doc_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = steps("valid_from", 1).unionByName(steps("valid_to", -1)).unionByName(asked.withColumns({c: F.lit(0).cast("long") for c in sums}))
+    totals = steps.unionByName(asked.withColumns({c: F.lit(0).cast("long") for c in sums}))
     out = totals.select("doc_id", "at", "version", *(F.coalesce(F.sum(c).over(order), F.lit(0)).alias(c) for c in sums)).where("version IS NOT NULL")
     place = Window.partitionBy("doc_id").orderBy(F.when(F.col("version") == CURRENT, 0).otherwise(1), F.col("at").desc())
     return out.select("doc_id", F.row_number().over(place).alias("position"), "version", "chunks", "tokens", (F.col("full") > 0).alias("has_full_text"))
@@ -145,5 +158,5 @@ def changes(store: Store, left: Column, right: Column) -> DataFrame:
     """(doc_id, chunk_id) of chunks that only one of two versions of a document has, or that differ in any column; each version is an expression over heads (doc_id, head)."""
     asked = store.heads.select("doc_id", left.cast("int").alias("l"), right.cast("int").alias("r"))
     within = lambda v: F.coalesce((F.col("valid_from") <= F.col(v)) & (F.col("valid_to").isNull() | (F.col(v) < F.col("valid_to"))), F.lit(False))
-    met = store.rows.join(asked, "doc_id").where(within("l") != within("r")).withColumn("_same", _content(store))
+    met = _noted(store.rows).join(asked, "doc_id").where(within("l") != within("r"))
     return met.groupBy("doc_id", "chunk_id", "_same").agg(F.count_if(within("l")).alias("in_l"), F.count_if(within("r")).alias("in_r")).where("in_l <> in_r").select("doc_id", "chunk_id").distinct()

@@ -90,3 +90,23 @@ def test_archiving_twice_and_nothing(frame):
     assert again.snapshots.count() == 1
     empty = H.started(frame([]))
     assert H.listing(empty).count() == 0 and H.restore(empty, frame([], "doc_id long, version string"))[1].count() == 0
+
+
+def test_listing_moves_no_texts(spark, frame):
+    """What a restored store's listing shuffles has no text in it; nor does what tells which versions are whole."""
+    store = H.change(H.started(frame([_chunk(1, k, f"t{k}") for k in range(9)] + [_chunk(2, 0, None)])), frame([_chunk(1, 0, "new"), _chunk(2, 0, "x")]))
+    after, results = H.restore(store, frame([(1, "1"), (2, "1")], "doc_id long, version string"))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    for df in (H.listing(after), results):
+        said = df._jdf.queryExecution().explainString(mode).split("\n\n")
+        moved = [x for x in said if "Exchange\n" in x]
+        assert moved and not any("text" in x for x in moved)
+    assert [(x.doc_id, x.version, x.chunks, x.has_full_text) for x in H.listing(after).orderBy("doc_id", "position").collect()] == [(1, "current", 9, True), (1, "2", 1, True), (1, "1", 9, True), (2, "current", 1, False), (2, "2", 1, True), (2, "1", 1, False)]
+
+
+def test_a_store_without_notes(frame):
+    noted = H.change(H.started(frame([_chunk(1, 0, "a"), _chunk(1, 1, "b"), _chunk(2, 0, None)])), frame([_chunk(1, 0, "a"), _chunk(1, 1, "B")]))
+    plain = noted._replace(rows=noted.rows.drop(*H.NOTES))
+    after = [H.restore(s, frame([(1, "1"), (2, "1")], "doc_id long, version string"))[0] for s in (noted, plain)]
+    assert _state(H.current(after[0]).collect()) == _state(H.current(after[1]).collect()) == _state([_chunk(1, 0, "a"), _chunk(1, 1, "b"), _chunk(2, 0, None)])
+    assert _state(H.listing(after[0]).collect()) == _state(H.listing(after[1]).collect())
