@@ -13,7 +13,7 @@ from quarrymill.sources.shared import stored
 # The states in which a document can't be changed.
 RUNNING = ("queued", "parsing", "chunking", "embedding", "upserting")
 INTERVAL = ("valid_from", "valid_to")
-NOTES = ("_same", "_full")  # a hash of all of a chunk's columns, and whether it has a full text: noted where rows begin, so that comparing and counting moves no texts
+NOTES = ("_same", "_full")  # 128 bits of a hash of all of a chunk's columns, compared within a document, and whether it has a full text: noted where rows begin, so that comparing and counting moves no texts
 CURRENT = "current"
 
 
@@ -39,7 +39,7 @@ def _noted(rows: DataFrame, full_text: Column | None = None) -> DataFrame:
         return rows
     text = F.col("full_text") if full_text is None else full_text
     said = F.to_json(F.struct(*(text.alias(c) if c == "full_text" else F.col(c) for c in columns)), {"ignoreNullFields": "false"})
-    return rows.withColumns({"_same": F.unhex(F.sha2(said, 256)), "_full": F.coalesce(text, F.lit("")) != ""})
+    return rows.withColumns({"_same": F.unhex(F.substring(F.sha2(said, 256), 1, 32)), "_full": F.coalesce(text, F.lit("")) != ""})
 
 
 def current(store: Store) -> DataFrame:

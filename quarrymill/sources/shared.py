@@ -21,5 +21,5 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df, written as a table of its own to the shared folder and read again: it is computed once, whoever reads it, and survives lost executors."""
     at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(at)
