@@ -93,8 +93,8 @@ def shifted(spans: DataFrame, placed: DataFrame) -> DataFrame:
     e = F.col("last")
     removed = e["end"] - e["start"]
     new = F.when(e.isNull(), F.col("pos")).when(F.col("pos") >= e["end"], F.col("pos") + e["before"] + e["added"] - removed).otherwise(e["start"] + e["before"] + F.when(F.col("is_end"), e["added"]).otherwise(0))
-    both = merged.withColumn("new", new).groupBy("doc_id", "key").agg(F.max(F.when(~F.col("is_end"), F.col("new"))).alias("new_a"), F.max(F.when(F.col("is_end"), F.col("new"))).alias("new_b"))
-    return spans.join(both, ["doc_id", "key"])
+    of_end = lambda c, name: (F.max(F.when(F.col("is_end") == is_end, F.col(c))).alias(f"{name}{x}") for x, is_end in (("a", False), ("b", True)))
+    return merged.withColumn("new", new).groupBy("doc_id", "key").agg(*of_end("pos", ""), *of_end("new", "new_"))
 
 
 def apply_edits(docs: DataFrame, chunks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -118,9 +118,13 @@ def apply_edits(docs: DataFrame, chunks: DataFrame, edits: DataFrame) -> tuple[D
 
     moved = shifted(chunks.select("doc_id", F.col("chunk_id").alias("key"), F.col("char_start").alias("a"), F.col("char_end").alias("b")), placed).select("doc_id", F.col("key").alias("chunk_id"), "new_a", "new_b")
     changes = done.where("action <> 'refused'").select("doc_id", "chunk_id", "action", "replacement", "at")
-    rows = chunks.join(moved, ["doc_id", "chunk_id"], "left").join(changes, ["doc_id", "chunk_id"], "left").where("action IS NULL OR action <> 'delete'")
-    size = after.select("doc_id", F.length("md").alias("n"), F.when(F.col("changed"), F.col("md")).alias("new_md"))
-    rows = rows.join(size, "doc_id", "left")
+    size = after.select("doc_id", F.length("md").alias("n"))
+    # Where chunks go is a table without their texts, so those meet it once, and only parents meet the texts of documents.
+    moves = stored(moved.join(changes, ["doc_id", "chunk_id"], "left").join(size, "doc_id", "left"))
+    rows = chunks.join(moves, ["doc_id", "chunk_id"], "left").where("action IS NULL OR action <> 'delete'")
+    is_parent = F.coalesce("is_parent", F.lit(False))
+    new_md = after.where("changed").select("doc_id", F.col("md").alias("new_md"))
+    rows = rows.where(~is_parent).withColumn("new_md", F.lit(None).cast("string")).unionByName(rows.where(is_parent).join(new_md, "doc_id", "left"))
     held = lambda x: F.greatest(F.least(x, F.coalesce("n", x)), F.lit(0))
     edited = F.col("action").isNotNull()
     # An edit that the document has no place for moves with it, and changes the chunk alone.
